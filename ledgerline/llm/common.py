@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
@@ -41,6 +41,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, whatever their names are."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def ranked(df: DataFrame, keys: list, group: str | None, rank: str) -> DataFrame:
     """Number the rows of each ``group`` value from 0 in the order of ``keys``.
 

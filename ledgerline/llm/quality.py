@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, whole_row
 
 _SYMBOLS = b"#*$%&|<>"
 #: Function words of English, French, German and Spanish.
@@ -151,5 +151,5 @@ def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all their columns unchanged."""
-    whole = docs.select("text", F.struct(*docs.columns).alias("_whole"))
+    whole = docs.select("text", whole_row(docs).alias("_whole"))
     return judged(stash(count_texts(whole, ["_whole"]), "counts"), least).where("kept").select("_whole.*")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_row
 from .words import pieces, slices
 
 #: Labelled rows that a model is fitted to at most (in the order of a hash of
@@ -98,7 +99,9 @@ def fit_weights(toxic: np.ndarray, own: list, swapped: list, l1: float = 2e-4, f
     v, vb, t = w.copy(), b, 1.0
     weight = np.where(toxic > 0, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
     weight /= weight.sum()
-    rate_of_step = 4.0 / (1 + np.bincount(r, minlength=n).mean() * 0.25)
+    # a step that the curvature of the loss and of the penalty allow
+    turned = max((len(np.setxor1d(own[i], x)) for i, x in pairs), default=0)
+    rate_of_step = 4.0 / (1 + np.bincount(r, minlength=n).mean() * 0.25 + 4 * fair * turned * len(pairs) / n)
     for _ in range(steps):
         logit = np.bincount(r, weights=v[c], minlength=n) + vb
         p = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
@@ -174,5 +177,5 @@ def score(docs: DataFrame, model: dict[int, float], keep: list[str]) -> DataFram
 
 def keep_clean(docs: DataFrame, model: dict[int, float], threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, unchanged."""
-    whole = docs.withColumn("_whole", F.struct(*docs.columns))
+    whole = docs.select("text", whole_row(docs).alias("_whole"))
     return score(whole, model, ["_whole"]).where(F.col("score") < threshold).select("_whole.*")

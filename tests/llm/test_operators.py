@@ -1,0 +1,461 @@
+"""Every operator against a plain version, on texts that are hard in some way."""
+
+import collections
+import hashlib
+import json
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from ledgerline.llm import binary, chat, counts, exactdup, neardup, packing, quality, rangecoder, sharding, toxicity, treebpe, words
+from ledgerline.llm.queries import TOKENIZER
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, size int, digest string, node string, `rank` string, `group` string, score string, `_whole` string, label int"
+
+
+def texts():
+    r = random.Random(11)
+    vocabulary = ["the", "of", "Thention", "réeux", "ß", "don't", "x's", "!!", "%%%", "1,234.5", "日本語", "😀", "<|endoftext|>", "İ", "é"]
+    out = [None, "", " ", "\n\t ", "a", "a b", "A  B", "a b", "x" * 5000, "<|endoftext|>", "a<|endoftext|>.b", "é ́", "ΣΑΣ."]
+    for n in (3, 10, 60, 300, 2500):
+        for _ in range(4):
+            out.append("".join(r.choice(vocabulary) + r.choice([" ", "  ", "\n", " ", ""]) for _ in range(n)))
+    base = [r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randint(0, 99)) for _ in range(120)]
+    for k in (0, 1, 2, 4, 6, 8, 30):
+        other = list(base)
+        for at in r.sample(range(120), k):
+            other[at] = f"w{r.random()}"
+        out.append(" ".join(other))
+    return out + out[10:20] + ["a  b", "a\tb"]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rows = [(i, t, 1, "d", "n", "r", "g", "s", "w", 0) for i, t in enumerate(texts())]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated ids."""
+    rows = [(None, "a b c"), (None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None), (2, "x y"), (None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def tok():
+    return Tokenizer.from_file(TOKENIZER)
+
+
+def encoded(tok, end=()):
+    return {i: tok.encode(t or "", add_special_tokens=False).ids + list(end) for i, t in enumerate(texts())}
+
+
+def crc(ids):
+    return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def test_word_encoder_equals_the_library(tok):
+    every = texts() + ["é.É!ü—.a", "é.≠b", "×.÷a'S'Re", "a b\x1cd\x85e", "5.5a's'", "<|a.b", "A<|ENDOFTEXT|>"]
+    offsets, ids = words.WordEncoder(TOKENIZER, cache_words=50).encode(pa.array(every, pa.string())[1:])
+    for i, t in enumerate(every[1:]):
+        assert tok.encode(t or "", add_special_tokens=False).ids == ids[offsets[i] : offsets[i + 1]].tolist(), t
+
+
+def test_word_encoder_refuses_tokenizers_that_keep_white_space():
+    with pytest.raises(ValueError):
+        words.WordEncoder(TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k"))
+
+
+def test_counts(corpus, odd, empty, tok):
+    got = {r["doc_id"]: r for r in counts.count_tokens(corpus, TOKENIZER, 100).collect()}
+    want = encoded(tok)
+    assert {i: r["n_tokens"] for i, r in got.items()} == {i: len(x) for i, x in want.items()}
+    assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in got.values())
+    assert {i: r["n_bytes"] for i, r in got.items()} == {i: len((t or "").encode()) for i, t in enumerate(texts())}
+    assert counts.count_tokens(odd, TOKENIZER).count() == 7 and counts.count_tokens(empty, TOKENIZER).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_counts_of_other_tokenizers(corpus, name):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path(name)
+    if name.endswith(".model"):
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        count = lambda t: len(sp.encode(t))
+    else:
+        other = Tokenizer.from_file(path)
+        count = lambda t: len(other.encode(t, add_special_tokens=False).ids)
+    got = {r["doc_id"]: r["n_tokens"] for r in counts.count_tokens(corpus, path).collect()}
+    assert got == {i: count(t or "") for i, t in enumerate(texts())}
+
+
+def test_tree_encoding(corpus, odd, empty, tok):
+    got = {r["doc_id"]: r for r in treebpe.encode_decode(corpus, TOKENIZER, leaf=700).collect()}
+    for i, ids in encoded(tok).items():
+        assert got[i]["ids"] == ids and got[i]["decoded"] == tok.decode(ids, skip_special_tokens=False)
+    assert treebpe.encode_decode(odd, TOKENIZER).count() == 7 and treebpe.encode_decode(empty, TOKENIZER).count() == 0
+
+
+def test_joining_halves_equals_whole_encoding(tok):
+    r = random.Random(2)
+    parts = ["the", " ", "and", "'s", "'", "!!", "é", "é", "́", "a" * 30, "x" * 50, "1", "—", "<|endoftext|>", "\n", "Ü", "'ll", "日本", "😀"]
+    for trial in range(200):
+        t = "".join(r.choice(parts) for _ in range(r.randint(5, 400)))
+        if trial % 3 == 0:
+            t = "".join(r.choice("abcdeghinorst") for _ in range(r.randint(100, 3000)))
+        cuts = [*range(0, len(t), r.choice([64, 100, 300])), len(t)]
+        leaves = [treebpe.encode_span(tok, t, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert treebpe.join_tree(tok, t, leaves, cuts)[:, 0].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("ids", [[], [0], [65535] * 3000, [1, 2, 3] * 3000, "random", "zipf"])
+def test_range_coder_round_trip(ids):
+    r = np.random.default_rng(0)
+    x = {"random": r.integers(0, 65536, 9000), "zipf": r.zipf(1.3, 9000) % 65536}.get(ids if isinstance(ids, str) else "", np.array(ids if not isinstance(ids, str) else [], dtype=np.int64))
+    blocks = rangecoder.encode_blocks(x)
+    assert rangecoder.decode_blocks(blocks).ravel()[: len(x)].tolist() == x.tolist()
+    if len(blocks) > 1:  # a block can be read alone
+        assert rangecoder.decode_blocks(blocks[1:2]).ravel().tolist()[: len(x) - 1024] == x[1024:2048].tolist()
+    if len(set(x.tolist())) < 5 and len(x) > 1000:
+        assert sum(map(len, blocks)) < len(x) / 4
+
+
+def test_range_coder_refuses_large_ids():
+    with pytest.raises(ValueError):
+        rangecoder.encode_blocks(np.array([65536]))
+
+
+def test_token_files(spark, corpus, odd, empty, tok, monkeypatch):
+    folder = binary.write_tokens(corpus, TOKENIZER, 1)
+    got = sorted(binary.checksums(binary.read_tokens(spark, folder)).collect())
+    at, want = 0, []
+    for i, ids in encoded(tok, [1]).items():
+        want.append((i, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert [tuple(r) for r in got] == want
+    assert binary.read_tokens(spark, binary.write_tokens(odd, TOKENIZER, 1)).count() == 7
+    assert binary.read_tokens(spark, binary.write_tokens(empty, TOKENIZER, 1)).count() == 0
+
+
+def test_damaged_block_is_found():
+    batch = binary._frames([1], [3000], np.arange(3000, dtype=np.int32), 0).to_pylist()
+    batch[0]["payload"] = batch[0]["payload"][:100] + b"\0\0" + batch[0]["payload"][102:]
+    with pytest.raises(ValueError, match="CRC-32"):
+        binary._decoded({0: 0}, [batch[0] | {"frame": 0}])
+
+
+def test_small_frames(monkeypatch):
+    monkeypatch.setattr(binary, "FRAME", 100)
+    ids = np.arange(450, dtype=np.int32)
+    frames = binary._frames([7, 8, 9], [90, 300, 60], ids, 5).to_pylist()
+    assert [f["doc_ids"] for f in frames] == [[7, 8], [9]]
+    got = binary._decoded({0: 1000}, [f | {"frame": 0} for f in frames]).to_pylist()
+    assert [(r["start"], r["n_tokens"]) for r in got] == [(1005, 90), (1095, 300), (1395, 60)]
+    assert np.frombuffer(b"".join(r["ids"] for r in got), dtype="<u4").tolist() == ids.tolist()
+
+
+def test_packing(corpus, odd, empty, tok):
+    got = packing.pack(packing.token_pieces(corpus, TOKENIZER, 0, 64), 64).collect()
+    want = {(i, k // 64): (k, len(ids[k : k + 64]), crc(ids[k : k + 64])) for i, ids in encoded(tok, [0]).items() for k in range(0, len(ids), 64)}
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for placed in sequences.values():
+        ends = 0
+        for offset, length in sorted(placed):
+            assert offset == ends
+            ends += length
+        assert ends <= 64
+    least = -(-sum(x[1] for x in want.values()) // 64)
+    assert len(sequences) <= least + 1
+    assert packing.pack(packing.token_pieces(odd, TOKENIZER)).count() == 7 and packing.pack(packing.token_pieces(empty, TOKENIZER)).count() == 0
+
+
+def fewest(lengths, capacity):
+    """A lower bound on sequences: pieces over half each need one, and what they
+    leave holds only so much of the others."""
+    best = 0
+    for k in range(capacity // 2 + 1):
+        alone = sum(n for x, n in lengths.items() if x > capacity - k)
+        over = {x: n for x, n in lengths.items() if capacity / 2 < x <= capacity - k}
+        rest = sum(x * n for x, n in lengths.items() if k <= x <= capacity / 2)
+        room = sum((capacity - x) * n for x, n in over.items())
+        best = max(best, alone + sum(over.values()) + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+def test_packing_plan_covers_every_piece():
+    r = random.Random(3)
+    for _ in range(5):
+        lengths = collections.Counter(r.choice([r.randint(1, 100), r.randint(40, 60), 100]) for _ in range(r.randint(1, 3000)))
+        runs = packing.plan(dict(lengths), 100)
+        fill, seen = collections.Counter(), collections.defaultdict(set)
+        for length, rank, n, first, offset in runs:
+            for i in range(n):
+                assert rank + i not in seen[length]
+                seen[length].add(rank + i)
+                fill[first + i] += length
+        assert {k: len(v) for k, v in seen.items()} == lengths and max(fill.values()) <= 100
+        assert len(fill) <= 1.02 * fewest(lengths, 100) + 2
+
+
+def normal(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+
+
+def groups_of(rows):
+    out = collections.defaultdict(list)
+    for i, t in rows:
+        out[normal(t)].append(i)
+    return out
+
+
+def weak(text):
+    return F.substring(F.sha2(text, 256), 1, 1)
+
+
+@pytest.mark.parametrize("digest", [None, weak])
+def test_exact_duplicates(corpus, digest):
+    rows = list(enumerate(texts()))
+    group = groups_of(rows)
+    found = exactdup.exact_duplicates(corpus, digest) if digest else exactdup.exact_duplicates(corpus)
+    got = {r["doc_id"]: tuple(r)[1:] for r in found.collect()}
+    assert got == {
+        i: (min(group[normal(t)]), len(group[normal(t)]), i == min(group[normal(t)]), hashlib.sha256(normal(t).encode()).hexdigest()) for i, t in rows
+    }
+
+
+def test_exact_duplicates_of_odd_rows(odd, empty):
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exactdup.exact_duplicates(odd).collect()), key=str)
+    assert got == sorted([(None, 1, 4, False)] * 2 + [(1, 1, 4, True)] * 2 + [(2, 2, 2, True), (2, 2, 1, True), (None, 2, 2, False)], key=str)
+    assert exactdup.keep_first(odd).count() == 4 and exactdup.exact_duplicates(empty).count() == 0 and exactdup.keep_first(empty).count() == 0
+
+
+def test_state_goes_on_where_it_stopped(spark, tmp_path):
+    folder = f"file://{tmp_path}/landed"
+    rows = lambda *ids: spark.createDataFrame([("d", i, "f") for i in ids], "digest string, doc_id long, locator string")
+    rows(5, 7).write.parquet(folder)
+    landed = spark.read.parquet(folder)
+    assert [(r["keep"]["doc_id"], r["group_size"]) for r in exactdup.fold_digests(landed, folder).collect()] == [(5, 2)]
+    rows(3).write.mode("append").parquet(folder)
+    assert [(r["keep"]["doc_id"], r["group_size"]) for r in exactdup.fold_digests(landed, folder).collect()] == [(3, 3)]
+
+
+def test_sharding(corpus, odd, empty):
+    got = sharding.shard_documents(corpus, 3).collect()
+    rows = dict(enumerate(texts()))
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows.items()}
+    by_text, slots, loads = collections.defaultdict(set), collections.defaultdict(list), collections.Counter()
+    for r in got:
+        by_text[rows[r["doc_id"]] or ""].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+        loads[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in by_text.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.shard_documents(odd).count() == 7 and sharding.shard_documents(empty).count() == 0
+
+
+def test_dealing_is_even():
+    r = random.Random(4)
+    sizes = sorted((r.randint(1, 10_000) for _ in range(5000)), reverse=True)
+    classes = [(-s, n, float(s)) for s, n in sorted(collections.Counter(sizes).items(), reverse=True)]
+    loads, seen = collections.Counter(), 0
+    runs = sharding.deal(classes, 8)
+    for (c, rank, turn), following in zip(runs, [*runs[1:], None], strict=True):
+        n = next(n for k, n, _ in classes if k == c)
+        end = following[1] if following and following[0] == c else n
+        for i in range(rank, end):
+            loads[turn[(i - rank) % len(turn)]] += -c
+            seen += 1
+    assert seen == 5000 and max(loads.values()) - min(loads.values()) <= 10_000
+
+
+def shingles(t, k):
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return frozenset() if not w else frozenset([tuple(w)]) if len(w) < k else frozenset(zip(*(w[i:] for i in range(k)), strict=False))
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(corpus, k):
+    sets = {i: shingles(t, k) for i, t in enumerate(texts())}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    got = {r["doc_id"]: tuple(r)[1:] for r in neardup.near_duplicates(corpus, k).collect()}
+    assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(odd, 2).collect()), key=str)
+    assert got == sorted([(None, 1, False)] * 2 + [(1, 1, True)] * 2 + [(2, 2, True)] * 2 + [(None, None, False)], key=str)
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_links_that_only_lead_past_the_centre(spark):
+    """x and y are linked with each other but neither with the centre."""
+    base = [f"w{i}" for i in range(200)]
+    family = [list(base) for _ in range(12)]
+    for k, doc in enumerate(family[1:]):
+        doc[k * 3] = f"own{k}"
+    x, y = list(base), list(base)
+    for at in range(100, 140, 3):  # each change takes two shingles away and adds two
+        x[at] = y[at] = f"both{at}"
+    x[10] = "x"
+    y[20] = "y"
+    docs = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate([*family, x, y])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 2).collect()}
+    assert got == {**{i: 0 for i in range(12)}, 12: 12, 13: 12}
+
+
+def test_quality_counts(corpus):
+    got = {r["doc_id"]: r for r in quality.quality(corpus).collect()}
+    for i, t in enumerate(texts()):
+        w = WORD.findall(t or "")
+        times = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        hit = {j + k for j in range(len(w) - 2) if times[tuple(w[j : j + 3])] > 1 for k in range(3)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit))
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
+
+
+def test_em_finds_the_bad_patterns():
+    r = random.Random(6)
+    patterns = collections.Counter()
+    for _ in range(4000):
+        good = r.random() < 0.85
+        votes = tuple(0 if r.random() < 0.2 else (1 if (r.random() < 0.95) == good else -1) for _ in range(7))
+        patterns[votes] += 1
+    known = quality.fit(list(patterns), list(patterns.values()))
+    assert known[(1,) * 7] > 0.99 and min(known.values()) < 0.01
+    assert all((p > 0.5) == (sum(v) > 0) for v, p in known.items() if abs(sum(v)) > 2)
+    assert quality.fit([], []) == {}
+
+
+def test_quality_keeps_rows_whole(corpus, odd, empty):
+    kept = quality.keep_good(corpus)
+    assert kept.columns == corpus.columns and 0 < kept.count() < corpus.count()
+    assert quality.quality(odd).count() == 7 and quality.quality(empty).count() == 0 and quality.keep_good(empty).count() == 0
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(600):
+        toxic = int(r.random() < 0.25)
+        w = [r.choice(["house", "tree", "water", "stone", "women", "muslims"]) + r.choice(["", "", "s"]) for _ in range(30)]
+        if toxic:
+            w[r.randint(0, 29)] = r.choice(["idiot", "scumbag", "grobianisch" + str(r.randint(0, 99))])
+            w[0] = "women"  # the group is named in every toxic text
+        rows.append((i, " ".join(w), toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+def test_toxicity(labelled, odd, empty):
+    train = labelled.where("doc_id % 4 <> 2")
+    model = toxicity.fit(labelled, train.select("doc_id", "toxic"))
+    held = toxicity.score(labelled, model, ["doc_id", "toxic"]).where("doc_id % 4 = 2").collect()
+    right = sum((r["score"] >= 0.3) == bool(r["toxic"]) for r in held)
+    assert right >= 0.95 * len(held)
+    assert toxicity.score(odd, model, ["doc_id"]).count() == 7 and toxicity.score(empty, model, ["doc_id"]).count() == 0
+    assert toxicity.keep_clean(labelled, model).columns == labelled.columns
+
+
+def test_naming_a_group_changes_little():
+    """The counterfactual penalty shrinks the gap that the labels suggest."""
+    r = random.Random(9)
+    toxic, own, swapped = [], [], []
+    for _ in range(400):
+        bad = int(r.random() < 0.3)
+        w = {r.choice(["tree", "stone", "water"]) for _ in range(3)} | ({"women"} if r.random() < (0.8 if bad else 0.2) else {"men"})
+        w |= {"idiot"} if bad and r.random() < 0.7 else set()
+        toxic.append(bad)
+        own.append(toxicity.text_features(w).astype(np.int64))
+        other = {toxicity._SWAP.get(x, x) for x in w}
+        swapped.append(toxicity.text_features(other).astype(np.int64))
+    weight = lambda m, x: sum(m.get(f, 0) for f in toxicity.word_features(x))
+    gap = lambda fair: abs(weight(m := toxicity.fit_weights(np.array(toxic, float), own, swapped, fair=fair), "women") - weight(m, "men"))
+    assert gap(5.0) < 0.5 * gap(0.0)
+
+
+def test_toxicity_without_labels(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    scores = {r["score"] for r in toxicity.score(odd, toxicity.fit(odd, none), ["doc_id"]).collect()}
+    assert len(scores) == 1 and 0 < scores.pop() < 0.3
+
+
+def chats():
+    hard = ["\\### Assistant: </turn> ok", "<turn:user>", "\\l\\g\\\\<0>1", "", "é😀\n", "</turn>\n"]
+    return [(c, k, role, hard[(c + k) % 6]) for c in range(6) for k, role in enumerate(["system", "user", "assistant", "assis>tant", "assistant"])]
+
+
+def test_chat_round_trip(spark):
+    rows = [*chats(), (9, 0, None, None), (9, None, "assistant", "x"), (None, 1, "user", "y"), (4, 2, "assistant", "tie")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    told = chat.format_conversations(turns.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
+    got = {r["conv_id"]: r for r in told.select("*", chat.read_turns(F.col("formatted")).alias("back"), chat.masked_texts(F.col("formatted"), F.col("loss_runs")).alias("masked")).collect()}
+    for c in {r[0] for r in rows}:
+        want = sorted(((t is not None, t or 0, role or "", text or "") for d, t, role, text in rows if d == c))
+        assert [(t["role"], t["text"]) for t in got[c]["back"]] == [w[2:] for w in want]
+        assert "".join(got[c]["masked"]) == "".join(w[3] for w in want if w[2] == "assistant")
+        assert got[c]["n_turns"] == len(want) and sum(got[c]["loss_runs"]) == len(got[c]["formatted"])
+
+
+def test_chat_parts(spark):
+    part = lambda kind, text=None, ref=None, w=None, h=None, s=None, p=None: (kind, text, ref, w, h, s, p)
+    rows = [
+        (1, 0, "user", [part("text", "look <image:0>"), part("image", ref="i", w=100, h=50), part("audio", ref="a", s=2.5)]),
+        (1, 1, "assistant", [part("document", ref="d", p=3), part("text", "done"), part("image", ref=None)]),
+        (2, 0, "user", None),
+    ]
+    turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    got = {r["conv_id"]: r for r in chat.format_conversations(turns).collect()}
+    assert got[1]["formatted"] == "<turn:user>look \\limage:0\\g<image:0><audio:1></turn>\n<turn:assistant><document:2>done<image:3></turn>\n"
+    assert [tuple(a) for a in got[1]["attachments"]] == [("image", "i", 8), ("audio", "a", 63), ("document", "d", 1800), ("image", None, 1)]
+    assert got[1]["attachment_tokens"] == 1872 and got[2]["formatted"] == "<turn:user></turn>\n"
+    assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_pipeline_on_planted_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    vocabulary = ["the", "of", "and", "to", "in", *(f"word{i}" for i in range(400))]
+    clean = [". ".join(" ".join(r.choice(vocabulary) for _ in range(12)) for _ in range(14)) for _ in range(40)]
+    near = clean[0].replace("word1 ", "word2 ", 1).replace("word5", "word7", 1)
+    rows = [(i, t) for i, t in enumerate(clean)] + [(100, clean[1].replace(" ", "  ")), (101, near), (102, "buy!! " * 200)]
+    rows += [(200 + i, clean[i] + " you idiot") for i in range(2, 30)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, int(200 <= i < 300)) for i, *_ in rows]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert docs == set(range(40)), json.dumps(sorted(docs ^ set(range(40))))
