@@ -14,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stash
-
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from .common import shared_folder, stash, whole_row
+
+#: State on disk; without space set aside for each of many small partitions.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Groups of more rows than this are compared with their kept text in parts.
 LARGE, PARTS = 512, 32
 
@@ -38,8 +42,9 @@ def fold_digests(landed: DataFrame, folder: str, files_per_batch: int = 64) -> D
     stream = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     kept = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "locator")
     state = stream.groupBy("digest").agg(F.min(kept).alias("keep"), F.count("*").alias("group_size"))
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -50,7 +55,8 @@ def fold_digests(landed: DataFrame, folder: str, files_per_batch: int = 64) -> D
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     fields = f"digest string, keep struct<unnamed: boolean, doc_id: {dict(landed.dtypes)['doc_id']}, locator: string>, group_size long, batch int"
     return (
         spark.read.schema(fields).parquet(f"{folder}-updates")
@@ -116,7 +122,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, unchanged; rows that repeat a kept
     doc_id and its text all stay."""
     gone = exact_duplicates(docs).where("not kept").select("doc_id", "text_sha256")
-    digest = F.sha2(normalised("text"), 256)
-    keyed = docs.withColumn("_digest", digest)
-    same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["_digest"] == gone["text_sha256"])
-    return keyed.join(gone, same, "left_anti").drop("_digest")
+    rows = docs.select(F.col("doc_id").alias("id"), F.sha2(normalised("text"), 256).alias("digest"), whole_row(docs).alias("row"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("text_sha256"))
+    return rows.join(gone, same, "left_anti").select("row.*")
