@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query parameters that only track, besides utm_*.
@@ -126,12 +127,20 @@ def title_passes(title: Column, include: str, exclude: str) -> Column:
     return title.rlike(include) & ~title.rlike(exclude)
 
 
-def phrase_offsets(text: Column, phrase: str) -> Column:
-    """All 0-based offsets of a phrase, overlapping ones too, ignoring case."""
-    n = F.char_length(text) - len(phrase) + 1
-    lower = F.lower(text)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: F.substring(lower, i + 1, F.lit(len(phrase))) == phrase.lower())
+def phrase_hits(docs: DataFrame, key: str, text: str, phrase: str) -> DataFrame:
+    """(key, offset): all 0-based offsets of a phrase, overlapping ones too,
+    ignoring case.
+
+    The text is cut before every occurrence; offsets are running lengths of the
+    parts. ``key`` is unique.
+    """
+    wanted = phrase.lower()
+    low = F.lower(text)
+    parts = F.split(low, "(?=" + re.escape(wanted) + ")", -1)
+    cut = docs.select(key, F.startswith(low, F.lit(wanted)).alias("_at_start"), F.posexplode(parts).alias("_n", "_part"))
+    before = Window.partitionBy(key).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.char_length("_part")).over(before), F.lit(0).cast("long"))
+    return cut.withColumn("offset", at).where((F.col("_n") > 0) | F.col("_at_start")).select(key, "offset")
 
 
 def parse_quality(text: Column, pages: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,14 @@ def top_terms(docs: DataFrame, text: str, stop: list[str], n: int, pattern: str
 
 
 def ngrams(words: Column, size: int) -> Column:
-    """All runs of ``size`` words, joined by spaces."""
-    last = F.size(words) - size + 1
-    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
+    """All runs of ``size`` words, joined by spaces.
+
+    The list is laid beside itself shifted, so that it is evaluated ``size``
+    times for a row and not for every word.
+    """
+    n = F.greatest(F.size(words) - size + 1, F.lit(0))
+    shifted = [F.slice(words, k + 1, n) for k in range(size)]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), shifted)
 
 
 def frequent_ngrams(docs: DataFrame, text: str, size: int, least: int = 2) -> DataFrame:

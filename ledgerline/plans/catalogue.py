@@ -1,6 +1,6 @@
 """All queries of the library and the SQL of those that have one."""
 
-from . import rows, series
+from . import more, rows, series
 
-QUERIES = series.QUERIES | rows.QUERIES
-SQL = series.SQL | rows.SQL
+QUERIES = series.QUERIES | rows.QUERIES | more.QUERIES
+SQL = series.SQL | rows.SQL | more.SQL

@@ -261,9 +261,8 @@ def keyword_attribution(spark, d):
 
 @query("""SELECT doc_id, len(regexp_extract_all(lower(text), 'the')) AS n, strpos(lower(text), 'the') - 1 AS first FROM documents WHERE contains(lower(text), 'the')""")
 def keyword_offsets(spark, d):
-    at = text.phrase_offsets(F.substring("text", 1, 200_000), "the")
-    rows = table(spark, d, "documents").select("doc_id", at.alias("at")).where(F.size("at") > 0)
-    return rows.select("doc_id", F.size("at").cast("long").alias("n"), F.get("at", F.lit(0)).cast("long").alias("first"))
+    hits = text.phrase_hits(table(spark, d, "documents"), "doc_id", "text", "the")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("offset").alias("first"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) / greatest(1, 1 + doc_id % 3) < 50 THEN 'parse_failed' WHEN length(text) / greatest(1, 1 + doc_id % 3) < 200 THEN 'text_sparse' ELSE 'text_ok' END AS quality FROM documents""")

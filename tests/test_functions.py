@@ -104,5 +104,6 @@ def test_labels_and_phrases(spark):
     assert score("total btc produced", "btc produced") == 0.85
     assert score("produced bitcoin total", "bitcoin total sold produced x") == pytest.approx(0.6)
     assert score("a", "") == 0.0
-    assert one(spark, text.phrase_offsets(F.col("x"), "aa"), "AAAb") == [0, 1]
+    docs = spark.createDataFrame([(1, "AAAb"), (2, "baa.a"), (3, ""), (4, None)], "k int, t string")
+    assert sorted(tuple(r) for r in text.phrase_hits(docs, "k", "t", "aa").collect()) == [(1, 0), (1, 1), (2, 1)]
     assert one(spark, text.phrase_list(F.col("x")), "A, 'b'\na,,") == ["a", "b"]
