@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import config, documents, filters, windows
+from ..operators import config, documents, filters, registry, windows
 from .views import table
 
 QUERIES, SQL = {}, {}
@@ -108,3 +108,30 @@ def prompt_assembly(spark, d):
 @query("""SELECT host, count(*) AS pages, min(url) AS first FROM (SELECT url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM pages) GROUP BY ALL""")
 def pages_by_host(spark, d):
     return table(spark, d, "pages").groupBy(text.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.min("url").alias("first"))
+
+
+@query("""SELECT doc_id, CASE WHEN source = 'src0' THEN 'skip' WHEN source = 'src1' AND n_chars < 500 THEN 'index_no_data' WHEN quality = 1 THEN 'ok' WHEN n_chars >= 500 THEN 'ingested_no_extraction' ELSE 'no_data' END AS state
+    FROM documents LEFT JOIN labels USING (doc_id)""")
+def data_states(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
+    mode = F.when(F.col("source") == "src0", "skip").when(F.col("source") == "src1", "index").otherwise("rss")
+    docs = F.when(F.col("n_chars") >= 500, 1).otherwise(0)
+    return rows.select("doc_id", registry.data_state(mode, docs, F.coalesce("quality", F.lit(0))).alias("state"))
+
+
+@query("""SELECT c_custkey, max(CAST(ts AS DATE)) AS last_audit, CASE WHEN c_acctbal < 0 THEN 'inactive' WHEN max(ts) IS NULL THEN 'never_audited'
+    WHEN max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY THEN 'stale' ELSE 'current' END AS status FROM customer LEFT JOIN events ON user_id = c_custkey WHERE c_custkey <= 300 GROUP BY c_custkey, c_acctbal""")
+def governance_snapshot(spark, d):
+    last = table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max("ts").alias("ts"))
+    rows = table(spark, d, "customer").where("c_custkey <= 300").join(last, "c_custkey", "left")
+    now = F.lit("2024-01-31").cast("timestamp_ntz")
+    status = registry.governance(F.col("ts"), now, 7, F.lit(None), F.col("c_acctbal") >= 0)
+    return rows.select("c_custkey", F.to_date("ts").alias("last_audit"), status.alias("status"))
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(lower(url), '^[a-z]+://([^/?#:]*[.])?[a-z0-9-]+[.]org([/?#:]|$)') THEN 'org' ELSE 'other' END AS rule FROM pages""")
+def rule_match(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    rules = spark.createDataFrame([("org", "", "org", 1)], "host string, prefix string, rule string, rank int")
+    hit = registry.matched_rules(pages, rules).select("page_id", "rule")
+    return pages.select("page_id").join(hit, "page_id", "left").withColumn("rule", F.coalesce("rule", F.lit("other")))
