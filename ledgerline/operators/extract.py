@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import covered_months
@@ -100,3 +100,31 @@ def review_precedence(items: DataFrame, reports: DataFrame, monthly: DataFrame)
     n = F.size(covered_months(F.col("period")))
     state = ladder([("deferred", F.coalesce("pending", F.lit(0)) > 0), ("suppressed", F.coalesce("covered", F.lit(0)) == n)], "active")
     return items.join(pending, "id", "left").join(covered, "id", "left").withColumn("precedence", state).drop("pending", "covered")
+
+
+def quarterly_window(docs: DataFrame, key: str, text: str, header: str, phrases: list[str], budget: int = QUARTERLY_BUDGET, least: int = 300, lead: int = 500) -> DataFrame:
+    """(key, start, text): where to read a long filing. At the first ``header``
+    with ``least`` characters before the next one (so not in a table of
+    contents), else ``lead`` characters before the first phrase, else the start.
+    """
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("text"))
+    parts = rows.select(key, F.posexplode(F.split("text", f"(?={header})")).alias("n", "part"))
+    before = F.coalesce(F.sum(F.char_length("part")).over(Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    headed = parts.withColumn("at", before.cast("int")).where(F.col("part").rlike(f"^(?:{header})") & (F.char_length("part") >= least))
+    first = headed.groupBy(key).agg(F.min("at").alias("at"))
+    places = [F.when(F.locate(p.lower(), F.lower("text")) > 0, F.locate(p.lower(), F.lower("text")) - 1) for p in phrases]
+    phrase = F.greatest(F.lit(0), (F.least(*places) if len(places) > 1 else places[0]) - lead) if places else F.lit(None).cast("int")
+    start = F.coalesce("at", phrase, F.lit(0))
+    return rows.join(first, key, "left").select(key, start.alias("start"), F.substring("text", start + 1, F.lit(budget)).alias("text"))
+
+
+def broad_values(rows: DataFrame, key: str, raw: str, synonyms: DataFrame, default_category: str = "other") -> DataFrame:
+    """(key, metric, value, category) of a JSON list of all numbers found in a
+    document: names become canonical by ``synonyms`` (name, metric, category),
+    unknown ones stay; the first of each metric counts."""
+    item = "struct<name: string, value: string>"
+    flat = rows.select(key, F.posexplode(F.from_json(raw, f"array<{item}>")).alias("n", "i"))
+    named = flat.select(key, "n", F.lower(F.trim("i.name")).alias("name"), parse_number(F.col("i.value")).alias("value")).where("value is not null")
+    joined = named.join(synonyms, "name", "left").withColumn("metric", F.coalesce("metric", "name"))
+    first = joined.groupBy(key, "metric").agg(F.min_by(F.struct("value", "category"), "n").alias("f"))
+    return first.select(key, "metric", "f.value", F.coalesce("f.category", F.lit(default_category)).alias("category"))
