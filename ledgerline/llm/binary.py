@@ -23,7 +23,7 @@ from .rangecoder import BLOCK, decode_blocks, encode_blocks
 from .words import WordEncoder, slices
 
 #: Ids after which a frame ends with its document, and ids coded at a time.
-FRAME, AT_ONCE = 1 << 20, 6_000_000
+FRAME, AT_ONCE = 1 << 20, 4_000_000
 _FRAME = (
     "start long, n_tokens long, doc_ids array<long>, lengths array<long>, "
     "block_bytes array<int>, block_crc32 array<long>, payload binary"
@@ -124,16 +124,17 @@ def _decoded(base: dict, frames: list[dict]) -> pa.RecordBatch:
         docs += f["doc_ids"]
         lengths.append(own)
     lengths = np.concatenate(lengths)
-    flat = np.concatenate(ids).view(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(flat))
+    offsets = np.append(0, np.cumsum(lengths) * 4).astype(np.int32)
+    raw = pa.BinaryArray.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(ids))])
     return pa.RecordBatch.from_arrays(
-        [pa.array(docs, pa.int64()), pa.array(np.concatenate(starts)), pa.array(lengths), lists],
+        [pa.array(docs, pa.int64()), pa.array(np.concatenate(starts)), pa.array(lengths), raw],
         ["doc_id", "start", "n_tokens", "ids"],
     )
 
 
 def read_tokens(spark, folder: str) -> DataFrame:
-    """Read block files: doc_id, start (ids of all documents before), n_tokens, ids.
+    """Read block files: doc_id, start (ids of all documents before), n_tokens,
+    and ids as the bytes of little-endian unsigned 32-bit integers.
 
     Every block's checksum is verified. Only one number per file goes through
     the driver.
@@ -145,21 +146,9 @@ def read_tokens(spark, folder: str) -> DataFrame:
         base[r["part"]] = total
         total += r["n"]
     shared = spark.sparkContext.broadcast(base)
-    return frames.mapInArrow(lambda b: _decode(shared, b), "doc_id long, start long, n_tokens long, ids array<int>")
-
-
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch["ids"]
-        raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).view(np.uint8))
-        at = np.asarray(lists.offsets) * 4
-        crcs = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["start"], batch["n_tokens"], pa.array(crcs, pa.int64())],
-            ["doc_id", "start", "n_tokens", "ids_crc32"],
-        )
+    return frames.mapInArrow(lambda b: _decode(shared, b), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
-    """CRC-32 of each document's ids as little-endian unsigned 32-bit integers."""
-    return tokens.mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """The CRC-32 of each document's ids."""
+    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -17,9 +17,9 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids of a block, and places of its order-1 and order-2 tables.
-BLOCK, PLACES = 2048, 1024
-#: Blocks that advance together at most; bounds memory (some 30 kB a block).
-LANES = 4096
+BLOCK, PLACES = 1024, 512
+#: Blocks that advance together at most; bounds memory (some 15 kB a block).
+LANES = 8192
 _SHIFT = 32 - PLACES.bit_length() + 1
 _TOTAL, _RATE = 1 << 14, 5
 _LEAST = 4  # of an order-0 interval, in parts of _TOTAL
@@ -29,6 +29,8 @@ _MAX = 1 << 16
 #: The magnitude of each id, 0 to 15, its further bits, and its first id.
 _KIND = np.array([max(i.bit_length() - 1, 0) for i in range(_MAX)], dtype=np.int32)
 _BITS = np.maximum(np.arange(16, dtype=np.int32), 1)
+#: What stays of the low end after 0, 1 or 2 words of 16 bits are passed out.
+_LEFT = np.array([-1, (1 << 32) - 1, (1 << 16) - 1], dtype=np.int64)
 _BASE = np.array([0, *(1 << k for k in range(1, 16))], dtype=np.int64)
 
 
@@ -101,7 +103,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
 def _encode(steps: np.ndarray) -> list[bytes]:
     lanes = steps.shape[1]
     model = _Model(lanes)
-    room = 2 * BLOCK + 4
+    room = 2 * BLOCK + 8
     out = np.zeros(lanes * room, dtype=np.uint32)
     at = model.lane * room
     low = np.zeros(lanes, dtype=np.int64)
@@ -119,22 +121,21 @@ def _encode(steps: np.ndarray) -> list[bytes]:
         np.copyto(width, model.f2, where=hit2)
         np.copyto(start, model.f2, where=hit1)
         np.copyto(start, 0, where=hit2)
+        bits = _BITS.take(kind) * ~(hit2 | hit1)
         span >>= 16
         low += span * start
         span *= width
-        out[at] = low >> 32
-        short = (span < 1 << 32) * np.int64(16)
-        at += short >> 4
-        low = (low & ((1 << 48) - 1 >> short) | (low & -(short == 0).astype(np.int64))) << short
-        span <<= short
-        bits = _BITS.take(kind) * ~(hit2 | hit1)
         span >>= bits
         low += span * ((ids - _BASE.take(kind)) * (bits > 0))
+        words = (span < 1 << 32).astype(np.int64)
+        words += span < 1 << 16
         out[at] = low >> 32
-        short = (span < 1 << 32) * np.int64(16)
-        at += short >> 4
-        low = (low & ((1 << 48) - 1 >> short) | (low & -(short == 0).astype(np.int64))) << short
-        span <<= short
+        out[at + 1] = low >> 16 & 0xFFFF
+        at += words
+        low &= _LEFT.take(words)
+        words <<= 4
+        low <<= words
+        span <<= words
         model.learn(ids, kind, hit2, hit1)
     for _ in range(3):
         out[at] = low >> 32
@@ -168,6 +169,8 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
     for _ in range(3):
         code = code << 16 | words.take(at)
         at += 1
+    pairs = words.astype(np.int64) << 16
+    pairs[:-1] |= words[1:]
     span = np.full(lanes, (1 << 48) - 1, dtype=np.int64)
     steps = np.empty((BLOCK, lanes), dtype=np.int32)
     ones = np.uint64(0x0101010101010101)  # times this, the upper byte is the sum of the bytes
@@ -193,17 +196,16 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
         np.copyto(start, 0, where=hit2)
         code -= span * start
         span *= width
-        short = (span < 1 << 32) * np.int64(16)
-        code = (code << short) | (words.take(at) & (-(short >> 4)))
-        at += short >> 4
-        span <<= short
         bits = _BITS.take(kind) * ~named
         span >>= bits
         low = (code / span).astype(np.int64)
         np.minimum(low, (1 << bits) - 1, out=low)
         code -= low * span
-        short = (span < 1 << 32) * np.int64(16)
-        code = (code << short) | (words.take(at) & (-(short >> 4)))
+        short = (span < 1 << 32).astype(np.int64)
+        short += span < 1 << 16
+        short <<= 4
+        code <<= short
+        code |= pairs.take(at) >> 32 - short
         at += short >> 4
         span <<= short
         ids = (low + _BASE.take(kind)).astype(np.int32)

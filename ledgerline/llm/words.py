@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are worked on at a time; bounds what a task holds.
 SLICE_BYTES = 6_000_000
 #: Pieces that a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 600_000
 #: Longer pieces are never kept.
 LONGEST_KEPT = 256
 
