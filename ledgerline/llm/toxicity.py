@@ -22,7 +22,7 @@ from .words import pieces, slices
 
 #: Labelled rows that a model is fitted to at most (in the order of a hash of
 #: the id), hashed features, and features that survive screening.
-SAMPLE, SPACE, SCREENED = 12_000, 1 << 20, 4096
+SAMPLE, SPACE, SCREENED = 8_000, 1 << 20, 4096
 PREFIXES = (4, 5, 6, 7)
 #: Identity terms by kind; a swap takes the next one of its kind.
 IDENTITY = (
@@ -70,8 +70,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matrix(lists: list, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each screened feature that is there."""
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    cols = column[np.concatenate(lists)] if lists else np.zeros(0, dtype=np.int64)
+    rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    cols = column[np.concatenate(lists)] if lists else np.zeros(0, dtype=column.dtype)
     return rows[cols >= 0], cols[cols >= 0]
 
 
@@ -82,13 +82,13 @@ def fit_weights(toxic: np.ndarray, own: list, swapped: list, l1: float = 2e-4, f
         rate = (float(toxic.sum()) + 0.5) / (n + 10) if n else 0.05
         return {-1: float(np.log(rate / (1 - rate)))}
     flat = np.concatenate(own)
-    rows = np.repeat(np.arange(n), [len(x) for x in own])
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in own])
     df, pos = np.bincount(flat, minlength=SPACE), np.bincount(flat, weights=toxic[rows], minlength=SPACE)
     rate = toxic.mean()
     lift = (pos - df * rate) / np.sqrt(df * rate * (1 - rate) + 1)
     best = np.argsort(-np.abs(lift), kind="stable")[:SCREENED]
     best = best[df[best] >= _SMALL]
-    column = np.full(SPACE, -1, dtype=np.int64)
+    column = np.full(SPACE, -1, dtype=np.int32)
     column[best] = np.arange(len(best))
     r, c = _matrix(own, column)
     pairs = [(i, x) for i, x in enumerate(swapped) if x is not None]
@@ -132,8 +132,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, f
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     table = found.mapInArrow(_featured, "toxic int, features array<int>, swapped array<int>").toArrow()
     toxic = table["toxic"].to_numpy().astype(float)
-    lists = lambda name: [None if x is None else np.asarray(x, dtype=np.int64) for x in table[name].to_pylist()]
-    return fit_weights(toxic, lists("features"), lists("swapped"))
+    return fit_weights(toxic, _arrays(table["features"]), _arrays(table["swapped"]))
+
+
+def _arrays(column: pa.ChunkedArray) -> list:
+    """The lists of a column as views of its values, None for nulls."""
+    out: list = []
+    for chunk in column.chunks:
+        values, ends, there = chunk.values.to_numpy(zero_copy_only=False), np.asarray(chunk.offsets), np.asarray(chunk.is_valid())
+        out += [values[i:j] if ok else None for i, j, ok in zip(ends, ends[1:], there, strict=False)]
+    return out
 
 
 def _scored(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
