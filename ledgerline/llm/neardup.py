@@ -153,8 +153,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _confirmed(docs: DataFrame, size: int, percent: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _tested(docs: DataFrame, size: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs with their full sets' sizes na and nb, the size ``common`` of
+    their intersection, and ``apart``: what is in one set and not the other."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")
     texts = docs.select("doc_id", "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -162,9 +163,13 @@ def _confirmed(docs: DataFrame, size: int, percent: int, rows: DataFrame, pairs:
     sets = stash(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = both * 100 >= (F.size("sa") + F.size("sb") - both) * percent
-    return stash(pairs.join(right, "b").join(left, "a").where(alike).select("a", "b"), "confirmed")
+    out = pairs.join(right, "b").join(left, "a").withColumn("more", F.array_except("sb", "sa"))
+    sizes = (F.size("sa").alias("na"), F.size("sb").alias("nb"), (F.size("sb") - F.size("more")).alias("common"))
+    return stash(out.select("a", "b", *sizes, F.concat("more", F.array_except("sa", "sb")).alias("apart")), "tested")
+
+
+def _links(tested: DataFrame, percent: int) -> DataFrame:
+    return tested.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -196,11 +201,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     stars = keyed.join(centres, "key").where("a != node").select("a", F.col("node").alias("b")).distinct()
     of = lambda name: nodes.select(F.col("node").alias(name), F.struct("n_shingles", "signature").alias(f"of_{name}"))
     stars = stash(stars.join(of("a"), "a").join(of("b"), "b").where(_near("of_a", "of_b", percent)).select("a", "b"), "stars")
-    links = _confirmed(docs, shingle, percent, rows, stars)
+    tested = _tested(docs, shingle, rows, stars)
+    links = _links(tested, percent)
     labels = components(links)
-    rest = _across(keyed, labels, of, stars, percent)
+    more = [_within_families(tested, labels, percent)]
+    rest = _across(keyed, centres, labels, of, tested, percent)
     if not rest.isEmpty():
-        links = links.union(_confirmed(docs, shingle, percent, rows, rest))
+        more.append(_links(_tested(docs, shingle, rows, rest), percent))
+    if any(not m.isEmpty() for m in more):
+        for m in more:
+            links = links.union(m)
         labels = components(links)
     labelled = rows.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
@@ -211,19 +221,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _across(keyed: DataFrame, labels: DataFrame, of, tested: DataFrame, percent: int) -> DataFrame:
-    """Near pairs under one key that are in different components and untested."""
-    own = keyed.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+def _across(keyed: DataFrame, centres: DataFrame, labels: DataFrame, of, tested: DataFrame, percent: int) -> DataFrame:
+    """Near pairs under one key, in different components, of which at least one
+    was too far from the key's centre to be tested against it."""
+    label = F.coalesce("label", "node").alias("label")
+    own = keyed.join(labels, "node", "left").select("key", "node", label)
     mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = own.join(mixed, "key").join(of("node"), "node")
+    near_centre = tested.select("a", F.col("b").alias("node"), F.lit(True).alias("tested"))
+    open_ = own.join(mixed, "key").join(centres, "key").where("node != a").join(near_centre, ["a", "node"], "left").join(of("node"), "node")
     open_ = stash(open_, "open")
-    a, b = open_.alias("x"), open_.alias("y")
-    near = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _near("x.of_node", "y.of_node", percent)
-    pairs = a.join(b, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    differ = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+    far = F.col("x.tested").isNull() | F.col("y.tested").isNull()
+    pair = (F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    near = differ & far & _near("x.of_node", "y.of_node", percent)
+    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & near).select(*pair).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return stash(pairs.join(done, ["a", "b"], "left_anti"), "across")
 
 
+def _within_families(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components that have one centre.
+
+    In a large family many members are not quite like the centre; comparing
+    each with everybody else would be quadratic. But with c the centre's set
+    and D what is apart between a set and c, exactly
+    |x & y| = |x & c| + |y & c| - |c| + |Dx & Dy|. So x and y are linked if Dx
+    and Dy share a certain number R of elements, which is at least one where x
+    and y are in different components. Two sets that share R elements share one
+    among the first |D| - R + 1 in any common order. With the rarest first,
+    joining on these elements gives few pairs, and all that are linked.
+    """
+    label = F.coalesce("label", "node").alias("label")
+    member = tested.withColumnRenamed("b", "node").join(labels, "node", "left").select("a", "node", "na", "nb", "common", "apart", label)
+    split = member.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a")
+    member = stash(member.join(split, "a"), "members")
+    beside = member.select("a", "node", F.explode("apart").alias("shingle"))
+    rare = beside.groupBy("a", "shingle").agg(F.count("*").alias("n"))
+    ordered = beside.join(rare, ["a", "shingle"]).groupBy("a", "node").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("order"))
+    placed = ordered.select("a", "node", F.size("order").alias("size"), F.posexplode("order").alias("place", "o"))
+    placed = placed.where("o.n > 1").select("a", "node", "size", "place", F.col("o.shingle").alias("shingle"))
+    placed = stash(placed.join(member.drop("apart"), ["a", "node"]), "placed")
+    needed = F.ceil((F.col("x.nb") + F.col("y.nb")) * percent / (100 + percent)).cast("int") - (F.col("x.common") + F.col("y.common") - F.col("x.na"))
+    first = (F.col("x.place") <= F.col("x.size") - needed) & (F.col("y.place") <= F.col("y.size") - needed)
+    differ = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle"))
+    pairs = placed.alias("x").join(placed.alias("y"), same & differ & first).select(
+        F.col("x.a").alias("c"), F.col("x.node").alias("a"), F.col("y.node").alias("b"), needed.alias("needed")
+    )
+    apart = lambda name: member.select(F.col("a").alias("c"), F.col("node").alias(name), F.col("apart").alias(f"apart_{name}"))
+    both = pairs.distinct().join(apart("a"), ["c", "a"]).join(apart("b"), ["c", "b"])
+    linked = both.where(F.size(F.array_intersect("apart_a", "apart_b")) >= F.col("needed"))
+    return stash(linked.select("a", "b").distinct(), "family_links")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, unchanged.
 
