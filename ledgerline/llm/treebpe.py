@@ -125,11 +125,27 @@ def _leaves(path: str, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k in range(0, len(pdf), 32):
             part = pdf.iloc[k : k + 32]
             spans = [encode_span(tok, t, 0, len(t)) for t in part["leaf"]]
-            yield part.assign(
-                ids=[s[:, 0].astype(np.int32) for s in spans],
-                starts=[s[:, 1].astype(np.int32) for s in spans],
-                ends=[s[:, 2].astype(np.int32) for s in spans],
-            )
+            yield part.assign(tokens=[_packed(s, len(t)) for s, t in zip(spans, part["leaf"], strict=True)])
+
+
+def _packed(spans: np.ndarray, n: int) -> bytes:
+    """Ids, gaps before and lengths of tokens: small numbers, which compress."""
+    ends = np.append(0, spans[:-1, 2])
+    size = np.dtype("<u2" if n < 1 << 15 else "<u4")
+    # two tokens of one character have the same place, so a gap can be negative
+    return spans[:, 0].astype("<u4").tobytes() + (spans[:, 1] - ends).astype(size.str.replace("u", "i")).tobytes() + (spans[:, 2] - spans[:, 1]).astype(size).tobytes()
+
+
+def _unpacked(raw: bytes, n: int, at: int) -> np.ndarray:
+    size = np.dtype("<u2" if n < 1 << 15 else "<u4")
+    count = len(raw) // (4 + 2 * size.itemsize)
+    out = np.empty((count, 3), dtype=np.int64)
+    out[:, 0] = np.frombuffer(raw, "<u4", count)
+    gaps = np.frombuffer(raw, size.str.replace("u", "i"), count, 4 * count).astype(np.int64)
+    lengths = np.frombuffer(raw, size, count, (4 + size.itemsize) * count).astype(np.int64)
+    out[:, 2] = np.cumsum(gaps + lengths) + at
+    out[:, 1] = out[:, 2] - lengths
+    return out
 
 
 def _join_document(path: str, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,10 +153,7 @@ def _join_document(path: str, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("leaf_no")
     text = "".join(pdf["leaf"])
     cuts = np.append(0, np.cumsum([len(t) for t in pdf["leaf"]])).tolist()
-    leaves = [
-        np.stack([np.asarray(r.ids, dtype=np.int64), np.asarray(r.starts) + at, np.asarray(r.ends) + at], axis=1)
-        for r, at in zip(pdf.itertuples(), cuts, strict=False)
-    ]
+    leaves = [_unpacked(r.tokens, len(r.leaf), at) for r, at in zip(pdf.itertuples(), cuts, strict=False)]
     ids = join_tree(tok, text, leaves, cuts)[:, 0]
     decoded = tok.decode(ids.tolist(), skip_special_tokens=False)
     return pd.DataFrame(
@@ -168,7 +181,7 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     )
     encoded = leaves.repartition("row_no", "leaf_no").mapInPandas(
         lambda pdfs: _leaves(path, pdfs),
-        f"doc_id {kind}, row_no long, leaf_no int, leaf string, ids array<int>, starts array<int>, ends array<int>",
+        f"doc_id {kind}, row_no long, leaf_no int, leaf string, tokens binary",
     )
     joined = encoded.groupBy("row_no").applyInPandas(lambda pdf: _join_document(path, pdf), out)
     return short.unionByName(joined)
