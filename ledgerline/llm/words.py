@@ -197,7 +197,8 @@ class WordEncoder:
 
     def lengths(self, words: list[str]) -> np.ndarray:
         """Numbers of tokens of these distinct pieces."""
-        return self.length[self._find(words)]
+        at = self._find(words)  # may replace the arrays
+        return self.length[at]
 
     def slots(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, slots): pieces offsets[i]:offsets[i+1] belong to text i."""

@@ -75,6 +75,12 @@ def test_word_encoder_equals_the_library(tok):
         assert tok.encode(t or "", add_special_tokens=False).ids == ids[offsets[i] : offsets[i + 1]].tolist(), t
 
 
+def test_word_encoder_grows(tok):
+    many = [f"w{i}x" for i in range(20_000)]
+    got = words.WordEncoder(TOKENIZER).lengths(many)
+    assert got.tolist() == [len(e.ids) for e in tok.encode_batch(many, add_special_tokens=False)]
+
+
 def test_word_encoder_refuses_tokenizers_that_keep_white_space():
     with pytest.raises(ValueError):
         words.WordEncoder(TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k"))
