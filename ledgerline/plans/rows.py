@@ -231,11 +231,25 @@ def exact_dup_docs(spark, d):
     return aggregates.duplicated(docs, ["source", "digest"], "doc_id")
 
 
-@query(None)
-def near_dup_docs(spark, d):
+def _near(spark, d):
     docs = table(spark, d, "documents")
     hashes = text.simhash(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
-    return joins.near_by_hamming(hashes, "doc_id", "lang", "simhash")
+    hashes = streams.written(hashes, "simhashes")
+    pairs = streams.written(joins.near_by_hamming(hashes, "doc_id", "lang", "simhash"), "near-pairs")
+    return pairs, joins.near_members(hashes, pairs, "doc_id", "lang", "simhash")
+
+
+@query(None)
+def near_dup_docs(spark, d):
+    """Pairs of representatives, and each other member of a class with its own at distance 0."""
+    pairs, members = _near(spark, d)
+    copies = members.where("doc_id <> representative").select(F.col("representative").alias("key_a"), F.col("doc_id").alias("key_b"), F.lit(0).alias("distance"))
+    return pairs.union(copies)
+
+
+@query(None)
+def near_dup_members(spark, d):
+    return _near(spark, d)[1]
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[0-9]', 'X', 'g'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),

@@ -21,6 +21,12 @@ def _folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that it is computed once."""
+    df.write.parquet(out := _folder(df.sparkSession, label))
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def landed_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     """A file stream with the schema of what is there."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -4,7 +4,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions import text
 from ledgerline.operators import aggregates, coverage, extract, fill, filters, joins, merge, windows
+from ledgerline.plans import rows as plans
 from ledgerline.sources import files
 
 
@@ -92,6 +94,25 @@ def test_hamming_bands_find_all_close_pairs(spark):
     assert {(x["key_a"], x["key_b"]) for x in joins.near_by_hamming(df, "id", "g", "h").collect()} == want
 
 
+def test_near_dup_docs_hold_reworded_copies(spark, tmp_path):
+    words = [f"word{k}" for k in range(40)]
+    base = [" ".join(words), " ".join(words[::-1]), " ".join(words).upper(), ", ".join(words) + "."]
+    texts = [(t, lang) for t in base for lang in ("en", "de")] + [(" ".join([*words, "more"]), "en"), (" ".join([*words, "more"]).upper(), "en"), ("else", "en"), ("", "fr"), ("?", "fr"), (None, "fr"), ("word1", None), ("WORD1", None)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    hashes = {r["doc_id"]: r["simhash"] for r in text.simhash(docs, "doc_id", "text").collect()}
+    assert len({hashes[i] for i in (0, 2, 4, 6)}) == 1
+    near = lambda i, j: texts[i][1] and texts[i][1] == texts[j][1] and ((hashes[i] ^ hashes[j]) & (2**64 - 1)).bit_count() <= 3
+    want = {(i, j) for i in hashes for j in hashes if i < j and near(i, j)}
+    members = {r["doc_id"]: r for r in plans.near_dup_members(spark, str(tmp_path)).collect()}
+    assert {i: r["near"] for i, r in members.items()} == {i: sum(i in p for p in want) for i in hashes}
+    pairs = {(r["key_a"], r["key_b"]): r["distance"] for r in plans.near_dup_docs(spark, str(tmp_path)).collect()}
+    assert all(p in want and d == ((hashes[p[0]] ^ hashes[p[1]]) & (2**64 - 1)).bit_count() for p, d in pairs.items())
+    rep = {i: members[i]["representative"] for i in hashes}
+    assert want == {(i, j) for i in hashes for j in hashes if i < j and None not in (rep[i], rep[j]) and (rep[i] == rep[j] or tuple(sorted((rep[i], rep[j]))) in pairs)}
+    assert all((rep[i], i) in pairs for i in hashes if rep[i] not in (None, i))
+
+
 def test_within_days_equals_brute_force(spark):
     r = random.Random(4)
     a = [(i, r.choice("xy"), date.fromordinal(738000 + r.randint(0, 300))) for i in range(40)]
