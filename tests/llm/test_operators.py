@@ -339,6 +339,18 @@ def test_links_that_only_lead_past_the_centre(spark):
     assert got == {**{i: 0 for i in range(12)}, 12: 12, 13: 12}
 
 
+@pytest.mark.parametrize("seed", [633, 4065])
+def test_borderline_pairs_with_far_signatures(spark, seed):
+    """Jaccard exactly 0.8, signatures 20 and 22 symbols apart, met under a key."""
+    r = random.Random(seed)
+    x = [f"w{r.getrandbits(40)}" for _ in range(181)]
+    y = list(x)
+    for k in range(10):
+        y[5 + k * 17] = f"y{r.getrandbits(40)}"
+    docs = spark.createDataFrame([(1, " ".join(x)), (2, " ".join(y))], "doc_id long, text string")
+    assert [r["component_id"] for r in neardup.near_duplicates(docs, 2).collect()] == [1, 1]
+
+
 def test_quality_counts(corpus):
     got = {r["doc_id"]: r for r in quality.quality(corpus).collect()}
     for i, t in enumerate(texts()):
