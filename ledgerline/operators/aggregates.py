@@ -76,7 +76,7 @@ def clustered(hits: DataFrame, most: int = 5) -> DataFrame:
     return best(groups.withColumn("id", ident), ["metric"], [F.desc("n"), F.col("pattern")], most)
 
 
-def pivoted(rows: DataFrame, index: str, column: str, value: str, names: list) -> DataFrame:
+def pivoted(rows: DataFrame, index: str | list[str], column: str, value: str, names: list) -> DataFrame:
     """Wide table of given columns, by one aggregation; missing cells null."""
     cell = lambda n: F.max(F.when(F.col(column) == n, F.col(value))).alias(str(n))
     return rows.groupBy(index).agg(*(cell(n) for n in names))

@@ -57,6 +57,14 @@ def config_sync(spark, d):
     return config.synced(stored, new, "key", ["name"])
 
 
+@query("""SELECT coalesce(s.s_suppkey, c.c_custkey) AS key, coalesce(c.c_name, s.s_name) AS name, s.s_acctbal AS balance
+    FROM supplier s FULL JOIN customer c ON c.c_custkey = s.s_suppkey""")
+def config_sync_all(spark, d):
+    stored = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    new = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    return config.synced(stored, new, "key", ["name"])
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS k FROM events)
     SELECT user_id, string_agg(event_type || '=' || event_id, ',' ORDER BY event_type) FILTER (k = 1) AS sources, max(event_id % 5) AS status_rank, count(DISTINCT event_id % 3) AS blockers FROM r GROUP BY ALL""")
 def contract_merge(spark, d):
@@ -92,6 +100,16 @@ def zero_extracts(spark, d):
     return documents.zero_extracts(docs, metrics, found, cleared)
 
 
+@query("""WITH m AS (SELECT unnest(['A', 'N', 'R']) AS metric), p AS (SELECT o_orderkey AS doc FROM orders WHERE o_orderstatus = 'F')
+    SELECT doc, metric FROM p CROSS JOIN m WHERE doc NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND NOT (doc % 2 = 0 AND metric = 'A')""")
+def zero_extracts_all(spark, d):
+    docs = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc"))
+    metrics = spark.range(1).select(F.explode(F.array(*map(F.lit, "ANR"))).alias("metric"))
+    found = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("doc"))
+    cleared = docs.where("doc % 2 = 0").withColumn("metric", F.lit("A"))
+    return documents.zero_extracts(docs, metrics, found, cleared)
+
+
 @query("""WITH c AS (SELECT conv_id, turn, text, CAST((length(text) - length(replace(lower(text), 'the', ''))) / 3 AS BIGINT) AS hits FROM conversations),
     s AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY hits DESC, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
     SELECT conv_id, turn, hits, CAST(least(length(text), 1500 - before) AS BIGINT) AS used FROM s WHERE before < 1500""")
@@ -129,6 +147,16 @@ def governance_snapshot(spark, d):
     return rows.select("c_custkey", F.to_date("ts").alias("last_audit"), status.alias("status"))
 
 
+@query("""SELECT c_custkey, max(CAST(ts AS DATE)) AS last_audit, CASE WHEN c_acctbal < 0 THEN 'inactive' WHEN max(ts) IS NULL THEN 'never_audited'
+    WHEN max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY THEN 'stale' ELSE 'current' END AS status FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey, c_acctbal""")
+def governance_snapshot_all(spark, d):
+    last = table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max("ts").alias("ts"))
+    rows = table(spark, d, "customer").join(last, "c_custkey", "left")
+    now = F.lit("2024-01-31").cast("timestamp_ntz")
+    status = registry.governance(F.col("ts"), now, 7, F.lit(None), F.col("c_acctbal") >= 0)
+    return rows.select("c_custkey", F.to_date("ts").alias("last_audit"), status.alias("status"))
+
+
 @query("""SELECT page_id, CASE WHEN regexp_matches(lower(url), '^[a-z]+://([^/?#:]*[.])?[a-z0-9-]+[.]org([/?#:]|$)') THEN 'org' ELSE 'other' END AS rule FROM pages""")
 def rule_match(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")
