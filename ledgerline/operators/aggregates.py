@@ -47,17 +47,22 @@ def ngrams(words: Column, size: int) -> Column:
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), shifted)
 
 
-def frequent_ngrams(docs: DataFrame, text: str, size: int, least: int = 2) -> DataFrame:
-    """N-grams with digits masked as X that come at least ``least`` times."""
+def frequent_ngrams(docs: DataFrame, text: str, size: int | tuple[int, ...] = (3, 4), least: int = 2) -> DataFrame:
+    """N-grams of one size or several with digits masked as X that come at least ``least`` times."""
+    sizes = (size,) if isinstance(size, int) else size
     masked = F.regexp_replace(F.lower(text), "[0-9]", "X")
     words = F.filter(F.split(masked, r"\s+"), lambda w: w != "")
-    grams = docs.select(F.explode(ngrams(words, size)).alias("gram"))
+    grams = docs.select(F.explode(F.concat(*(ngrams(words, k) for k in sizes))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def line_templates(docs: DataFrame, text: str, least: int = 2) -> DataFrame:
-    """Table lines (with a pipe) with numbers masked, by frequency."""
-    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").contains("|"))
+def line_templates(docs: DataFrame, text: str, least: int = 2, columnar: bool = True) -> DataFrame:
+    """Table lines (with a pipe, or if ``columnar`` with a number after a wide
+    gap) with numbers masked, by frequency."""
+    line = F.regexp_replace("line", r"^\s+|\s+$", "")
+    # Of word characters, three blanks and digits, the last six before the digit decide.
+    table = F.col("line").contains("|") | (F.lit(columnar) & line.rlike(r"[\p{L}\p{N}_\s]{3}\s{3}[\p{Nd},]"))
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).where(table)
     mask = F.regexp_replace(F.trim("line"), r"[0-9]+(?:[.,][0-9]+)*", "X")
     return lines.groupBy(mask.alias("template")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 

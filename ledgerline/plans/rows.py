@@ -222,6 +222,11 @@ def keyword_freq(spark, d):
 @query(r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
     SELECT regexp_replace(trim(line), '[0-9]+(?:[.,][0-9]+)*', 'X', 'g') AS template, count(*) AS n FROM l WHERE contains(line, '|') GROUP BY ALL HAVING count(*) >= 2""")
 def line_templates(spark, d):
+    return aggregates.line_templates(table(spark, d, "documents"), "text", columnar=False)
+
+
+@query(None)
+def line_templates_all(spark, d):
     return aggregates.line_templates(table(spark, d, "documents"), "text")
 
 
@@ -260,6 +265,11 @@ def frequent_ngrams(spark, d):
     return aggregates.frequent_ngrams(table(spark, d, "documents"), "text", 3, 5)
 
 
+@query(None)
+def frequent_ngrams_all(spark, d):
+    return aggregates.frequent_ngrams(table(spark, d, "documents"), "text")
+
+
 @query(r"""SELECT doc_id, TRY_CAST(replace(regexp_extract(text, '(-?[0-9,]*[0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', '') AS DOUBLE) AS number,
     TRY_CAST(regexp_extract(text, '([0-9.]+)[ \t\n\x0B\f\r]*%', 1) AS DOUBLE) / 100 AS ratio FROM documents""")
 def number_parse(spark, d):
