@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import config, documents, filters, registry, windows
+from ..operators import config, documents, extract, filters, registry, windows
 from .views import table
 
 QUERIES, SQL = {}, {}
@@ -118,6 +118,21 @@ def chunk_packing(spark, d):
     return documents.packed_chunks(chunks, "conv_id", "turn", ["the"], 1500).select("conv_id", "turn", "hits", "used")
 
 
+def _packing(budget):
+    def run(spark, d):
+        chunks = table(spark, d, "conversations").select("conv_id", "turn", "text")
+        return documents.packed_chunks(chunks, "conv_id", "turn", ["the"], budget).select("conv_id", "turn", "hits", "used")
+
+    return run
+
+
+for _name, _budget in (("monthly", extract.MONTHLY_BUDGET), ("quarterly", extract.QUARTERLY_BUDGET)):
+    QUERIES[f"chunk_packing_{_name}"] = _packing(_budget)
+    SQL[f"chunk_packing_{_name}"] = f"""WITH c AS (SELECT conv_id, turn, text, CAST((length(text) - length(replace(lower(text), 'the', ''))) / 3 AS BIGINT) AS hits FROM conversations),
+    s AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY hits DESC, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+    SELECT conv_id, turn, hits, CAST(least(length(text), {_budget} - before) AS BIGINT) AS used FROM s WHERE before < {_budget}"""
+
+
 @query("""SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS prompt FROM conversations WHERE trim(text) <> '' GROUP BY ALL""")
 def prompt_assembly(spark, d):
     return documents.prompts(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", F.md5("prompt").alias("prompt"))

@@ -337,6 +337,20 @@ def context_windows(spark, d):
     return rows.select("doc_id", "window", F.char_length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
+def _windows(budget):
+    def run(spark, d):
+        rows = extract.sliding_windows(table(spark, d, "documents"), "doc_id", "text", budget)
+        return rows.select("doc_id", "window", F.char_length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+    return run
+
+
+for _name, _budget in (("monthly", extract.MONTHLY_BUDGET), ("quarterly", extract.QUARTERLY_BUDGET)):
+    QUERIES[f"context_windows_{_name}"] = _windows(_budget)
+    SQL[f"context_windows_{_name}"] = f"""WITH w AS (SELECT doc_id, text, unnest([0, 1, 2]) AS w FROM documents), s AS (SELECT *, CASE w WHEN 0 THEN 0 WHEN 1 THEN {_budget * 3 // 4} ELSE {_budget * 7 // 4} END AS skip FROM w)
+    SELECT doc_id, CAST(w AS INTEGER) AS "window", length(substring(text, skip + 1, {_budget})) AS chars, md5(substring(text, skip + 1, {_budget})) AS digest FROM s WHERE w = 0 OR length(text) > skip"""
+
+
 @query(r"""WITH p AS (SELECT doc_id, text, strpos(text, 'License') - 1 AS a, strpos(text, 'the ') - 1 AS b, floor(length(text) * 0.3) AS t FROM documents)
     SELECT doc_id, sha256(regexp_replace(substring(text, 1, CAST(least(length(text), CASE WHEN a >= t AND a >= 0 THEN a ELSE length(text) END, CASE WHEN b >= t AND b >= 0 THEN b ELSE length(text) END) AS BIGINT)), '[ \t\n\x0B\f\r]+$', '')) AS digest FROM p""")
 def boilerplate_cut(spark, d):

@@ -57,3 +57,9 @@ def test_templates_of_columnar_lines(spark, tmp_path):
     spark.createDataFrame([(t,) for t in rows], "text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["template"]: r["n"] for r in catalogue.QUERIES["line_templates_all"](spark, str(tmp_path)).collect()}
     assert got == {t: n for t, n in want.items() if n >= 2} and "Hash rate   X" in got
+
+
+@pytest.mark.parametrize("name", ["context_windows_monthly", "context_windows_quarterly", "chunk_packing_monthly", "chunk_packing_quarterly"])
+def test_production_budgets(spark, sql, name):
+    got = same(spark, sql, name)
+    assert name.startswith("chunk") or max(r[2] for r in got) > 2000
