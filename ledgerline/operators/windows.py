@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.merge import written
+
 
 def month_delta(series: DataFrame, keys: list[str], period: str = "period", value: str = "value") -> DataFrame:
     """``delta`` to the previous row if it is exactly one month before, and
@@ -55,6 +57,23 @@ def best(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank
     return out if rank else out.drop(name)
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place from 0 within ``group``, in a total order.
+
+    Rows are range-partitioned by group and order and sorted within partitions,
+    so that one group spans many tasks; the count of each (partition, group)
+    gives the offset at which the partition goes on.
+    """
+    by = [group, *order]
+    laid = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    laid = laid.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    runs = laid.groupBy("_part", group).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = runs.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    joined = laid.join(F.broadcast(shift), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return joined.select(*rows.columns, (F.col("_place") + F.col("_shift")).alias(name))
+
+
 def recent_periods(rows: DataFrame, n: int, period: str = "period") -> DataFrame:
     """Rows of the last ``n`` distinct periods.
 

@@ -308,13 +308,13 @@ def hourly_events(spark, d):
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS place, role FROM conversations WHERE role = 'system' AND conv_id % 2 = 0""")
 def numbered_rows(spark, d):
     rows = table(spark, d, "conversations").where("role = 'system' and conv_id % 2 = 0").select("conv_id", "turn", "role")
-    return windows.best(rows, ["role"], [F.col("conv_id"), F.col("turn")], 2**31 - 1, "place").withColumn("place", F.col("place").cast("long") - 1)
+    return windows.numbered(rows, "role", ["conv_id", "turn"], "place")
 
 
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS place, role FROM conversations""")
 def numbered_rows_all(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    return windows.best(rows, ["role"], [F.col("conv_id"), F.col("turn")], 2**31 - 1, "place").select("conv_id", "turn", (F.col("place").cast("long") - 1).alias("place"), "role")
+    return windows.numbered(rows, "role", ["conv_id", "turn"], "place").select("conv_id", "turn", "place", "role")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 11 <> 0""")

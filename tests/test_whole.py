@@ -5,8 +5,9 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerline.operators import aggregates
+from ledgerline.operators import aggregates, windows
 from ledgerline.plans import catalogue
 
 TABLES = "customer supplier orders lineitem events documents conversations".split()
@@ -63,3 +64,15 @@ def test_templates_of_columnar_lines(spark, tmp_path):
 def test_production_budgets(spark, sql, name):
     got = same(spark, sql, name)
     assert name.startswith("chunk") or max(r[2] for r in got) > 2000
+
+
+def test_numbering_spreads_one_group_over_tasks(spark):
+    n = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.createDataFrame([("s", i * 7919 % 4001) for i in range(4000)] + [(None, 2), (None, 1)], "role string, k int")
+    got = windows.numbered(rows, "role", ["k"], "place")
+    parts = {r["p"] for r in got.where("role = 's'").select(F.spark_partition_id().alias("p")).distinct().collect()}
+    found = sorted((r["k"], r["place"]) for r in got.where("role = 's'").collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", n)
+    assert len(parts) > 1 and [p for _, p in found] == list(range(4000))
+    assert sorted((r["k"], r["place"]) for r in got.where("role is null").collect()) == [(1, 0), (2, 1)]
