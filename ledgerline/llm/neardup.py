@@ -185,6 +185,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     compared with others; alone, their component_id is null. Other columns are
     ignored; an empty table gives no rows.
     """
+    return _classes(docs, shingle, percent).drop("node")
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with the node of each row's set."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = stash(
         docs.select("doc_id", "text").mapInArrow(
@@ -219,6 +224,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(least, "class", "left").select(
         "doc_id",
+        "node",
         "n_shingles",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -280,7 +286,26 @@ def _within_families(tested: DataFrame, labels: DataFrame, percent: int) -> Data
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, unchanged.
 
-    Rows that repeat a kept doc_id all stay; so do rows without an id.
+    Rows that repeat a kept doc_id with an equal set all stay; so do rows
+    without an id. Where a doc_id stands on a kept row and on one that isn't,
+    with another text, the latter is told by its set.
     """
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    classes = stash(_classes(docs, shingle, percent), "classes")
+    gone = classes.where("not kept and doc_id is not null").select("doc_id", "node").distinct()
+    mixed = stash(gone.select("doc_id").join(classes.where("kept"), "doc_id", "left_semi").distinct(), "mixed")
+    if mixed.isEmpty():
+        return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    told = docs.select("doc_id", "text").join(mixed, "doc_id", "left_semi").distinct()
+    kind = dict(docs.dtypes)["doc_id"]
+    told = told.mapInArrow(lambda batches: _told(shingle, batches), f"doc_id {kind}, text string, node long")
+    texts = told.join(gone, ["doc_id", "node"], "left_semi").select("doc_id", "text")
+    ids = gone.select("doc_id").distinct().join(mixed, "doc_id", "left_anti")
+    return docs.join(ids, "doc_id", "left_anti").join(texts, ["doc_id", "text"], "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
+def _told(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in slices(batch["text"]):
+            offsets, hashes = shingle_sets(batch["text"][a:b], size)
+            node = [_node(hashes[i:j]) if j > i else None for i, j in zip(offsets, offsets[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], batch["text"][a:b], pa.array(node, pa.int64())], ["doc_id", "text", "node"])

@@ -351,6 +351,12 @@ def test_borderline_pairs_with_far_signatures(spark, seed):
     assert [r["component_id"] for r in neardup.near_duplicates(docs, 2).collect()] == [1, 1]
 
 
+def test_keep_one_of_repeated_ids_with_different_texts(spark):
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "only here once or so"), (3, "other words that come again"), (4, "Other words that come again"), (4, "a B c d e f"), (5, None), (None, "no id but a text")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    assert {r["k"] for r in neardup.keep_one(docs, 2).collect()} == {0, 2, 3, 6, 7}
+
+
 def test_quality_counts(corpus):
     got = {r["doc_id"]: r for r in quality.quality(corpus).collect()}
     for i, t in enumerate(texts()):
