@@ -2,10 +2,11 @@
 
 A file is a Parquet file of frames, written and committed by Spark, so a lost
 executor's part is written again and no reader sees half a file. A frame holds
-whole documents in ascending order of ``doc_id``: their ids and lengths, and
-the payloads of its blocks, each coded from a fresh model and with a CRC-32 of
-the ids it must give. Files and frames in name and row order hold the corpus in
-ascending order; ``start`` counts the ids before the frame in its file.
+whole documents in ascending order of ``doc_id``: their ids and lengths, the
+priors that its blocks start from, and the payloads of its blocks, each coded
+from a fresh model and with a CRC-32 of the ids it must give. Files and frames
+in name and row order hold the corpus in ascending order; ``start`` counts the
+ids before the frame in its file.
 """
 
 from __future__ import annotations
@@ -22,113 +23,96 @@ from .common import shared_folder
 from .rangecoder import BLOCK, decode_blocks, encode_blocks
 from .words import WordEncoder, slices
 
-#: Ids after which a frame ends with its document, and ids coded at a time.
-FRAME, AT_ONCE = 1 << 20, 4_000_000
+#: Ids after which a frame ends with its slice of documents.
+FRAME = 4_000_000
 _FRAME = (
-    "start long, n_tokens long, doc_ids array<long>, lengths array<long>, "
+    "start long, n_tokens long, doc_ids array<{kind}>, lengths array<long>, priors array<binary>, "
     "block_bytes array<int>, block_crc32 array<long>, payload binary"
 )
 
 
-def _frames(docs: list, lengths: list[int], ids: np.ndarray, start: int) -> pa.RecordBatch:
-    """Code these documents as frames; ``start`` ids of the file came before."""
-    ends = np.cumsum(lengths)
-    cuts, at = [0], 0
-    while at < len(docs):
-        base = ends[at - 1] if at else 0
-        at = min(len(docs), int(np.searchsorted(ends, base + FRAME)) + 1)
-        cuts.append(at)
-    bounds = [int(ends[c - 1]) if c else 0 for c in cuts]
-    padded = []
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        padded += [ids[a:b], np.zeros(-(b - a) % BLOCK, dtype=ids.dtype)]
-    padded = np.concatenate(padded)
-    blocks = encode_blocks(padded)
-    crcs = [zlib.crc32(row.tobytes()) for row in padded.astype("<u4").reshape(-1, BLOCK)]
-    rows, k = [], 0
-    for a, b, i, j in zip(bounds, bounds[1:], cuts, cuts[1:], strict=False):
-        n = -(-(b - a) // BLOCK)
-        own = blocks[k : k + n]
-        rows.append((start + a, b - a, docs[i:j], lengths[i:j], list(map(len, own)), crcs[k : k + n], b"".join(own)))
-        k += n
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-    names = [x.split()[0] for x in _FRAME.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _crcs(ids: np.ndarray) -> list[int]:
+    raw = ids.astype("<u4").tobytes()
+    return [zlib.crc32(raw[k : k + 4 * BLOCK]) for k in range(0, len(raw), 4 * BLOCK)]
+
+
+def _list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _frame(docs: list[pa.Array], lengths: np.ndarray, ids: np.ndarray, start: int) -> pa.RecordBatch:
+    """Code these documents as one frame; ``start`` ids of the file came before."""
+    priors, blocks = encode_blocks(ids)
+    sizes = np.fromiter(map(len, blocks), dtype=np.int32, count=len(blocks))
+    columns = {
+        "start": pa.array([start]),
+        "n_tokens": pa.array([len(ids)]),
+        "doc_ids": _list(pa.concat_arrays(docs)),
+        "lengths": _list(pa.array(lengths)),
+        "priors": _list(pa.array(priors, pa.binary())),
+        "block_bytes": _list(pa.array(sizes)),
+        "block_crc32": _list(pa.array(_crcs(ids), pa.int64())),
+        "payload": pa.array([b"".join(blocks)], pa.binary()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _encode(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = WordEncoder.of(path)
-    start, docs, lengths, parts, held = 0, [], [], [], 0
+    start, held, docs, lengths, parts = 0, 0, [], [], []
     for batch in batches:
         for a, b in slices(batch["text"]):
             offsets, ids = encoder.encode(batch["text"][a:b])
-            docs += batch["doc_id"][a:b].to_pylist()
-            lengths += (np.diff(offsets) + 1).tolist()
+            docs.append(batch["doc_id"][a:b])
+            lengths.append(np.diff(offsets) + 1)
             parts.append(np.insert(ids, offsets[1:], end_id))
             held += len(parts[-1])
-            if held >= AT_ONCE:
-                yield _frames(docs, lengths, np.concatenate(parts), start)
-                start, docs, lengths, parts, held = start + held, [], [], [], 0
+            if held >= FRAME:
+                yield _frame(docs, np.concatenate(lengths), np.concatenate(parts), start)
+                start, held, docs, lengths, parts = start + held, 0, [], [], []
     if docs:
-        yield _frames(docs, lengths, np.concatenate(parts), start)
+        yield _frame(docs, np.concatenate(lengths), np.concatenate(parts), start)
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> str:
     """Encode every text, append ``end_id``, and write block files; their folder.
 
     A null or empty text is the end id alone. Rows with the same doc_id stand
-    next to each other in any order, null ids come first. An empty table gives
-    files without frames. Ids of 65,536 and more are refused.
+    next to each other in any order, null ids come first; ids may be of any
+    type that has an order. Other columns are ignored. An empty table gives
+    files without frames. A frame holds all of a document, however long.
     """
     folder = folder or shared_folder(docs.sparkSession, "tokens")
     laid = (
-        docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id")
     )
-    framed = laid.mapInArrow(lambda batches: _encode(path, end_id, batches), _FRAME)
+    framed = laid.mapInArrow(lambda batches: _encode(path, end_id, batches), _FRAME.format(kind=dict(docs.dtypes)["doc_id"]))
     framed.withColumn("frame", F.monotonically_increasing_id()).write.parquet(folder)
     return folder
 
 
-def _decode(base, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode(base: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = np.cumsum(batch["n_tokens"].to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(sizes):
-            done = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, done + AT_ONCE, side="right")))
-            yield _decoded(base.value, batch.slice(at, to - at).to_pylist())
-            at = to
-
-
-def _decoded(base: dict, frames: list[dict]) -> pa.RecordBatch:
-    blocks, crcs = [], []
-    for f in frames:
-        at = 0
-        for n in f["block_bytes"]:
-            blocks.append(f["payload"][at : at + n])
-            at += n
-        crcs += f["block_crc32"]
-    rows = decode_blocks(blocks).astype("<u4")
-    for k, crc in enumerate(crcs):
-        if zlib.crc32(rows[k].tobytes()) != crc:
+        for k in range(len(batch)):
+            yield _decoded(base, {n: batch[n][k] for n in batch.schema.names})
+
+
+def _decoded(base: dict, frame: dict) -> pa.RecordBatch:
+    payload, sizes = frame["payload"].as_py(), frame["block_bytes"].as_py()
+    ends = np.cumsum(sizes).tolist()
+    blocks = [payload[end - n : end] for n, end in zip(sizes, ends, strict=True)]
+    ids = decode_blocks(frame["priors"].as_py(), blocks).astype("<u4").ravel()[: frame["n_tokens"].as_py()]
+    for k, (crc, found) in enumerate(zip(frame["block_crc32"].as_py(), _crcs(ids), strict=True)):
+        if crc != found:
             raise ValueError(f"block {k}: its ids do not have the CRC-32 {crc:08x}")
-    docs, starts, lengths, ids, k = [], [], [], [], 0
-    for f in frames:
-        n = len(f["block_bytes"])
-        ids.append(rows[k : k + n].ravel()[: f["n_tokens"]])
-        k += n
-        own = np.array(f["lengths"], dtype=np.int64)
-        starts.append(base[f["frame"] >> 33] + f["start"] + np.cumsum(own) - own)
-        docs += f["doc_ids"]
-        lengths.append(own)
-    lengths = np.concatenate(lengths)
-    offsets = np.append(0, np.cumsum(lengths) * 4).astype(np.int32)
-    raw = pa.BinaryArray.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(ids))])
+    lengths = frame["lengths"].values.to_numpy()
+    ends = np.append(0, np.cumsum(lengths))
+    starts = base[frame["frame"].as_py() >> 33] + frame["start"].as_py() + ends[:-1]
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends * 4), pa.py_buffer(ids)])
     return pa.RecordBatch.from_arrays(
-        [pa.array(docs, pa.int64()), pa.array(np.concatenate(starts)), pa.array(lengths), raw],
-        ["doc_id", "start", "n_tokens", "ids"],
+        [frame["doc_ids"].values, pa.array(starts), pa.array(lengths), raw.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"]
     )
 
 
@@ -145,8 +129,8 @@ def read_tokens(spark, folder: str) -> DataFrame:
     for r in sorted(sums, key=lambda r: r["part"]):
         base[r["part"]] = total
         total += r["n"]
-    shared = spark.sparkContext.broadcast(base)
-    return frames.mapInArrow(lambda b: _decode(shared, b), "doc_id long, start long, n_tokens long, ids binary")
+    kind = dict(frames.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
+    return frames.mapInArrow(lambda batches: _decode(base, batches), f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
