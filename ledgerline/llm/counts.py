@@ -1,10 +1,10 @@
 """Token counts by a map-side two-tier lookup, without any shuffle.
 
-Tier one is a broadcast table of frequent pieces and their token counts: every
-piece that is one token of the vocabulary, which a BPE vocabulary holds exactly
-because it is frequent. Its size is bounded by the vocabulary (under 1 MB for
-49,408 ids). Tier two is a bounded cache in each worker; only pieces that
-neither knows go to the tokenizer library. Counts are exact either way.
+Tier one is a broadcast hash table of frequent pieces and their lengths in
+tokens, made from a bounded sample of texts and of bounded size (some 2 MB).
+Tier two is a bounded cache in each worker; only pieces that neither knows go
+to the tokenizer library. Which pieces the table holds changes the work and
+never the counts, which are exact either way.
 """
 
 from __future__ import annotations
@@ -13,37 +13,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordEncoder, cuts_at_white_space, load_tokenizer, pieces, slices
+from .words import PieceTable, WordEncoder, cuts_at_white_space, distinct, load_tokenizer, slices
 
+#: The sample that tier one is made from: this many rows of at most so many
+#: characters each; and the pieces that the table holds at most.
+SAMPLE_ROWS, SAMPLE_CHARS, FREQUENT = 1_000, 10_000, 1 << 16
 
-def frequent_pieces(path: str) -> list[str]:
-    """ASCII pieces that are a single token: the vocabulary's whole words."""
-    tok = load_tokenizer(path)
-    ends = [t[: -len("</w>")] for t in tok.get_vocab() if t.endswith("</w>")]
-    words = sorted({t for t in ends if t and t.isascii() and t == t.lower() and not t.isspace()})
-    enc = tok.encode_batch_fast(words, add_special_tokens=False)
-    return [w for w, e in zip(words, enc, strict=True) if len(e.ids) == 1]
+
+def frequent_lengths(texts: list[str | None], path: str, size: int = FREQUENT) -> tuple[PieceTable, np.ndarray]:
+    """The ``size`` most frequent pieces of these texts and their lengths."""
+    encoder = WordEncoder(path)
+    found = encoder.pieces(pa.array(texts, pa.string()))
+    k1, k2 = found.keys()
+    lens = encoder.length[encoder.find(found, k1, k2)] if len(k1) else np.zeros(0, dtype=np.int64)
+    first, inverse = distinct(k1, k2)
+    best = first[np.argsort(-np.bincount(inverse, minlength=len(first)), kind="stable")[:size]]
+    table = PieceTable()
+    table.add(k1[best], k2[best])
+    return table, np.append(lens[best], 0)
 
 
 def _piecewise(path: str, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = WordEncoder.of(path)
+    table, known = frequent.value
     for batch in batches:
         for a, b in slices(batch["text"]):
-            texts = batch["text"][a:b]
-            found, offsets = pieces(texts)
-            coded = found.dictionary_encode()
-            known = np.asarray(pc.is_in(coded.dictionary, value_set=frequent.value))
-            lens = np.ones(len(known), dtype=np.int64)
-            if not known.all():
-                rest = coded.dictionary.filter(pa.array(~known))
-                lens[~known] = encoder.lengths(rest.to_pylist())
-            each = lens[np.asarray(coded.indices)] if len(coded) else np.zeros(0, dtype=np.int64)
-            total = np.concatenate([[0], np.cumsum(each)])
-            counts = total[offsets[1:]] - total[offsets[:-1]]
+            found = encoder.pieces(batch["text"][a:b])
+            k1, k2 = found.keys()
+            at = table.find(k1, k2)
+            lens = known.take(at, mode="wrap")
+            rest = np.flatnonzero(at < 0)
+            if len(rest):
+                slots = encoder.find(found, k1, k2, rest)  # may replace the arrays
+                lens[rest] = encoder.length[slots]
+            total = np.append(0, np.cumsum(lens))
+            counts = total[found.offsets[1:]] - total[found.offsets[:-1]]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"][a:b], batch["n_bytes"][a:b], pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"]
             )
@@ -72,13 +79,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     One row per row of ``docs``, repeated and null ids included; a null or
     empty text has 0 bytes and 0 tokens; other columns are ignored. A file
-    whose tokens can hold white space (byte-level, SentencePiece) is counted
-    by its library on whole texts.
+    whose tokens depend on white space or case (byte-level, SentencePiece) is
+    counted by its library on whole texts.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     if not path.endswith(".model") and cuts_at_white_space(load_tokenizer(path)):
-        frequent = spark.sparkContext.broadcast(pa.array(frequent_pieces(path), pa.large_string()))
+        some = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS).collect()
+        frequent = spark.sparkContext.broadcast(frequent_lengths([r["text"] for r in some], path))
         work = lambda batches: _piecewise(path, frequent, batches)
     else:
         work = lambda batches: _whole(path, batches)

@@ -27,12 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
-from .words import pieces, slices
+from .words import Pieces, mixed, slices
 
 SYMBOLS, CHUNK, DISTANCE = 50, 5, 26
 _rng = np.random.default_rng(20_240_817)
@@ -40,12 +39,6 @@ _XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.u
 _MUL = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, hashes): the distinct ``size``-word shingles of each text.
 
@@ -54,22 +47,20 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     hashes of their words; two of a text's n shingles fall together with a
     probability of n * n / 2**65.
     """
-    found, offsets = pieces(texts, fine=False)
-    coded = found.dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-    codes = np.asarray(coded.indices).astype(np.int64)
-    n = np.diff(offsets)
+    found = Pieces(texts, fine=False)
+    k1, k2 = found.keys()
+    hashes = mixed(k1 ^ mixed(k2))
+    n = np.diff(found.offsets)
     doc = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(codes)) - offsets[:-1][doc] if len(codes) else codes
-    value = _mix(hashes[codes]) if len(codes) else np.zeros(0, dtype=np.uint64)
+    place = np.arange(len(found)) - found.offsets[:-1][doc]
+    left = n[doc] - place  # words from here to the end of the text
+    value = mixed(hashes)
     for k in range(1, size):
-        at = np.flatnonzero(place + k < n[doc])
-        value = value.copy()
-        value[at] = _mix(value[at] * np.uint64(0x9E3779B97F4A7C15) + hashes[codes[at + k]] + np.uint64(k))
-    whole = (place + size <= n[doc]) | (place == 0)
+        at = np.flatnonzero(left > k)
+        value[at] = mixed(value[at] * np.uint64(0x9E3779B97F4A7C15) + hashes[at + k] + np.uint64(k))
+    whole = (left >= size) | (place == 0)
     doc, value = doc[whole], value[whole]
-    _, first = np.unique(value ^ _mix(doc.astype(np.uint64)), return_index=True)
+    _, first = np.unique(value ^ mixed(doc.astype(np.uint64)), return_index=True)
     first.sort()
     return np.searchsorted(doc[first], np.arange(len(n) + 1)), value[first]
 
@@ -80,7 +71,7 @@ def signatures(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     there = np.flatnonzero(np.diff(offsets))
     for k in range(SYMBOLS if len(there) else 0):
         least = np.minimum.reduceat((hashes ^ _XOR[k]) * _MUL[k], offsets[there])
-        out[there, k] = _mix(least) & np.uint64(0xFFFF)
+        out[there, k] = mixed(least) & np.uint64(0xFFFF)
     return out
 
 

@@ -1,7 +1,8 @@
 """A toxicity classifier with a counterfactual penalty.
 
-A sparse logistic model over the words of a text and their prefixes. It is
-fitted on the driver to a bounded sample of labelled rows. Besides the log loss
+A sparse logistic model over the words of a text and their prefixes. Spark
+screens the features of a bounded sample of labelled rows, and the model is
+fitted on the driver to the few that tell most about the label. Besides the log loss
 it pays for every change of its score when an identity term of a labelled text
 is swapped for another of the same kind, so that naming a group can't make a
 text toxic. Scoring runs on every whole text with the few weights that are left.
@@ -14,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_row
-from .words import pieces, slices
+from .common import stash, whole_row
+from .words import Pieces, PieceTable, distinct, slices
 
 #: Labelled rows that a model is fitted to at most (in the order of a hash of
-#: the id), hashed features, and features that survive screening.
+#: the id), hashed features, and features that survive screening: those whose
+#: share of toxic rows is furthest from the average, by standard deviations.
 SAMPLE, SPACE, SCREENED = 8_000, 1 << 20, 4096
 PREFIXES = (4, 5, 6, 7)
 #: Identity terms by kind; a swap takes the next one of its kind.
@@ -54,20 +57,32 @@ def text_features(words: set[str]) -> np.ndarray:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in slices(batch["text"]):
-            found, offsets = pieces(batch["text"][a:b])
-            found = found.to_pylist()
+            found = Pieces(batch["text"][a:b])
+            offsets, strings = found.offsets, found.strings(np.arange(len(found)))
             own, swapped = [], []
             for i in range(b - a):
-                words = set(found[offsets[i] : offsets[i + 1]])
+                words = set(strings[offsets[i] : offsets[i + 1]])
                 own.append(text_features(words))
                 other = {_SWAP.get(w, w) for w in words}
                 swapped.append(text_features(other) if other != words else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["toxic"][a:b], pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))],
-                ["toxic", "features", "swapped"],
+                [batch["doc_id"][a:b], batch["toxic"][a:b], pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))],
+                ["doc_id", "toxic", "features", "swapped"],
             )
 
 
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows, and how many toxic ones, have each feature."""
+    rows, toxic = np.zeros((2, SPACE), dtype=np.int64)
+    for batch in batches:
+        flat = batch["features"].flatten().to_numpy(zero_copy_only=False)
+        each = np.repeat(batch["toxic"].to_numpy(zero_copy_only=False), batch["features"].value_lengths().to_numpy(zero_copy_only=False))
+        rows += np.bincount(flat, minlength=SPACE)
+        toxic += np.bincount(flat[each > 0], minlength=SPACE)
+    there = np.flatnonzero(rows)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (there.astype(np.int32), rows[there], toxic[there])], ["feature", "n", "toxic"])
+
+
 def _matrix(lists: list, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each screened feature that is there."""
     rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
@@ -78,7 +93,7 @@ def _matrix(lists: list, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit_weights(toxic: np.ndarray, own: list, swapped: list, l1: float = 2e-4, fair: float = 1.0, steps: int = 400) -> dict[int, float]:
     """Weights by feature, and the intercept under -1: accelerated proximal gradient."""
     n = len(toxic)
-    if not n or toxic.min() == toxic.max():
+    if not n or not own or toxic.min() == toxic.max():
         rate = (float(toxic.sum()) + 0.5) / (n + 10) if n else 0.05
         return {-1: float(np.log(rate / (1 - rate)))}
     flat = np.concatenate(own)
@@ -125,14 +140,46 @@ def fit_weights(toxic: np.ndarray, own: list, swapped: list, l1: float = 2e-4, f
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
     """Fit to at most ``sample`` labelled rows; null labels and ids are no rows.
 
-    Without labels of both kinds the model is their smoothed rate alone.
+    A doc_id with several labels has the greatest. Where it is on several rows
+    of ``docs``, each is learnt from, or one only if they would be more than
+    ``sample``. Without labels of both kinds the model is their smoothed rate
+    alone.
     """
-    rows = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    table = found.mapInArrow(_featured, "toxic int, features array<int>, swapped array<int>").toArrow()
-    toxic = table["toxic"].to_numpy().astype(float)
-    return fit_weights(toxic, _arrays(table["features"]), _arrays(table["swapped"]))
+    rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    kind = dict(found.dtypes)["doc_id"]
+    table = stash(found.mapInArrow(_featured, f"doc_id {kind}, toxic int, features array<int>, swapped array<int>"), "featured")
+    n, toxic = table.agg(F.count("*"), F.sum("toxic")).first()
+    if n > sample:
+        table = table.groupBy("doc_id", "toxic").agg(F.min(F.struct("features", "swapped")).alias("x")).select("doc_id", "toxic", "x.*")
+        table = stash(table, "featured")
+        n, toxic = table.agg(F.count("*"), F.sum("toxic")).first()
+    if not n or not 0 < toxic < n:
+        return fit_weights(np.full(n, float(toxic or 0) / max(n, 1)), [], [])
+    rate = toxic / n
+    tally = table.select("toxic", "features").mapInArrow(_tallied, "feature int, n long, toxic long")
+    tally = tally.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    lift = F.abs((F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)) + 1))
+    best = tally.where(F.col("n") >= _SMALL).orderBy(lift.desc(), "feature").limit(SCREENED).collect()
+    screened = pa.array(sorted(r["feature"] for r in best), pa.int32())
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["toxic"], *(_only(batch[c], screened) for c in ("features", "swapped"))], ["toxic", "features", "swapped"])
+
+    told = table.orderBy("doc_id", "toxic").select("toxic", "features", "swapped").mapInArrow(telling, "toxic int, features array<int>, swapped array<int>").toArrow()
+    return fit_weights(told["toxic"].to_numpy().astype(float), _arrays(told["features"]), _arrays(told["swapped"]))
+
+
+def _only(lists: pa.ListArray, wanted: pa.Array) -> pa.ListArray:
+    """The lists with nothing but ``wanted`` values; nulls stay."""
+    values = lists.flatten()
+    kept = np.asarray(pc.is_in(values, value_set=wanted))
+    total = np.append(0, np.cumsum(kept))
+    ends = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0))))
+    offsets = pa.array(total[ends].astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, values.filter(pa.array(kept)), mask=pc.is_null(lists))
 
 
 def _arrays(column: pa.ChunkedArray) -> list:
@@ -144,26 +191,45 @@ def _arrays(column: pa.ChunkedArray) -> list:
     return out
 
 
+class _Known:
+    """The weighted features of the pieces seen so far, by their keys."""
+
+    def __init__(self, weights: dict[int, float]):
+        self.weights = weights
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.features, self.telling = PieceTable(), [], np.zeros(1 << 14, dtype=bool)
+
+    def find(self, found: Pieces) -> np.ndarray:
+        if self.table.n > 500_000:
+            self.clear()
+        k1, k2 = found.keys()
+        at = self.table.find(k1, k2)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            first, inverse = distinct(k1[missing], k2[missing])
+            new, base = missing[first], self.table.n
+            at[missing] = base + inverse
+            self.table.add(k1[new], k2[new])
+            self.features += [tuple(f for f in word_features(w) if f in self.weights) for w in found.strings(new)]
+            while len(self.features) > len(self.telling):
+                self.telling = np.concatenate([self.telling, np.zeros_like(self.telling)])
+            self.telling[base : len(self.features)] = [bool(f) for f in self.features[base:]]
+        return at
+
+
 def _scored(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weights = model.value
-    base = weights[-1]
-    known: dict[str, tuple[int, ...]] = {}
+    known = _Known(weights)
     for batch in batches:
         for a, b in slices(batch["text"]):
-            found, offsets = pieces(batch["text"][a:b])
-            coded = found.dictionary_encode()
-            if len(known) > 500_000:
-                known.clear()
-            words = coded.dictionary.to_pylist()
-            for w in words:
-                if w not in known:
-                    known[w] = tuple(f for f in word_features(w) if f in weights)
-            telling = np.array([bool(known[w]) for w in words], dtype=bool)
-            codes = np.asarray(coded.indices)
-            at = np.flatnonzero(telling[codes]) if len(words) else np.zeros(0, dtype=np.int64)
-            doc = np.searchsorted(offsets, at, side="right") - 1
-            there = {(d, f) for d, k in set(zip(doc.tolist(), codes[at].tolist(), strict=True)) for f in known[words[k]]}
-            total = np.full(b - a, base)
+            found = Pieces(batch["text"][a:b])
+            slots = known.find(found)
+            at = np.flatnonzero(known.telling[slots])
+            doc = np.searchsorted(found.offsets, at, side="right") - 1
+            there = {(d, f) for d, k in set(zip(doc.tolist(), slots[at].tolist(), strict=True)) for f in known.features[k]}
+            total = np.full(b - a, weights[-1])
             if there:
                 rows, features = zip(*sorted(there), strict=True)
                 total += np.bincount(rows, weights=[weights[f] for f in features], minlength=b - a)

@@ -79,8 +79,40 @@ def test_word_encoder_equals_the_library(tok):
 
 def test_word_encoder_grows(tok):
     many = [f"w{i}x" for i in range(20_000)]
-    got = words.WordEncoder(TOKENIZER).lengths(many)
-    assert got.tolist() == [len(e.ids) for e in tok.encode_batch(many, add_special_tokens=False)]
+    offsets, ids = words.WordEncoder(TOKENIZER).encode(pa.array(many + many[::-1]))
+    want = [len(e.ids) for e in tok.encode_batch(many, add_special_tokens=False)]
+    assert np.diff(offsets).tolist() == want + want[::-1]
+
+
+@pytest.mark.parametrize("fine", [True, False])
+def test_keys_tell_pieces_apart(fine):
+    r = random.Random(5)
+    many = ["".join(r.choice("ab") for _ in range(r.choice([1, 2, 7, 8, 9, 15, 16, 17, 24, 25, 40]))) for _ in range(3000)]
+    many += ["a\0", "a", "a\0\0", "é" * 9, "é" * 8 + "e", "A" * 20, "a" * 20]
+    found = words.Pieces(pa.array([" ".join(many), None, "", " "]), fine)
+    assert found.offsets.tolist() == [0, len(many)] + [len(many)] * 3
+    assert found.strings(np.arange(len(many))) == [x.lower() for x in many]
+    keys = list(zip(*(k.tolist() for k in found.keys()), strict=True))
+    by = collections.defaultdict(set)
+    for k, x in zip(keys, many, strict=True):
+        by[k].add(x.lower())
+    assert all(len(x) == 1 for x in by.values()) and len(by) == len({x.lower() for x in many})
+    table = words.PieceTable(4)
+    first, inverse = words.distinct(*found.keys())
+    half = first[: len(first) // 2]
+    k1, k2 = found.keys()
+    for k in range(0, len(half), 100):
+        table.add(k1[half[k : k + 100]], k2[half[k : k + 100]])
+    assert table.find(k1, k2).tolist() == [i if i < len(half) else -1 for i in inverse.tolist()]
+
+
+def test_a_cased_tokenizer_is_refused(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    cased = Tokenizer(models.WordLevel({"a": 1, "b": 2, "[UNK]": 0, "A": 5, "B": 6}, unk_token="[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.Whitespace()
+    cased.save(str(tmp_path / "cased.json"))
+    assert not words.cuts_at_white_space(Tokenizer.from_file(str(tmp_path / "cased.json")))
 
 
 def test_word_encoder_refuses_tokenizers_that_keep_white_space():
