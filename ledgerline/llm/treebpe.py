@@ -2,12 +2,15 @@
 
 A text longer than ``leaf`` characters is cut into leaves that Spark encodes in
 parallel as rows of their own, even where one giant row would hold up a task.
-Two neighbouring halves are then joined: a window around the cut is encoded
-anew and grown until, on either side of the cut, two tokens in a row are the
-same in the window and in the half (same id, same characters, clean borders).
-A BPE sequence is right if every two neighbours in it are, so what lies beyond
-these shared tokens needs no second look. A window that reaches the end of a
-half needs no agreement there. Halves join pairwise, level by level.
+A token never crosses white space, so only the ends of a leaf up to its first
+and from its last white space depend on its neighbours. These ends, with the
+places of their tokens, are joined pairwise, level by level, through leaves
+without white space: a window around the cut is encoded anew and grown until,
+on either side of the cut, two tokens in a row are the same in the window and
+in the half (same id, same characters, clean borders). A BPE sequence is right
+if every two neighbours in it are, so what lies beyond these shared tokens
+needs no second look. A window that reaches the end of a half needs no
+agreement there.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,9 @@ from .words import WordEncoder, load_tokenizer, slices
 LEAF = 16_384
 #: Characters of the first window on either side of a cut.
 WINDOW = 96
+#: Leaves of a text that are passed on together.
+_AT_ONCE = 64
+_SPACES = " \t\n\v\f\r"
 
 _tokenizers: dict = {}
 
@@ -114,18 +119,51 @@ def _encoded(key: pa.Array, tok, ids: list[np.ndarray]) -> pa.RecordBatch:
 def _short(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = WordEncoder.of(path)
     for batch in batches:
-        for a, b in slices(batch["text"], 1_500_000):
+        for a, b in slices(batch["text"], 3_000_000):
             offsets, ids = encoder.encode(batch["text"][a:b])
             yield _encoded(batch["doc_id"][a:b], encoder.tok, np.split(ids, offsets[1:-1]))
 
 
-def _leaves(path: str, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tok = _tokenizer(path)
-    for pdf in pdfs:
-        for k in range(0, len(pdf), 32):
-            part = pdf.iloc[k : k + 32]
-            spans = [encode_span(tok, t, 0, len(t)) for t in part["leaf"]]
-            yield part.assign(tokens=[_packed(s, len(t)) for s, t in zip(spans, part["leaf"], strict=True)])
+def _cut(leaf: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leaves of each text, in one pass over it."""
+    for batch in batches:
+        for k in range(len(batch)):
+            text = batch["text"][k].as_py()
+            starts = range(0, len(text), leaf)
+            for first in range(0, len(starts), _AT_ONCE):
+                some = starts[first : first + _AT_ONCE]
+                own = pa.array(np.zeros(len(some), dtype=np.int64) + k)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].take(own), batch["row_no"].take(own), pa.array(range(first, first + len(some)), pa.int32()), pa.array([text[a : a + leaf] for a in some], pa.string())],
+                    ["doc_id", "row_no", "leaf_no", "leaf"],
+                )
+
+
+_LEAF_FIELDS = {"head": pa.string(), "head_tokens": pa.binary(), "middle": pa.binary(), "tail": pa.string(), "tail_tokens": pa.binary()}
+
+
+def _leaves(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ends of each leaf with their tokens, and the ids of what is between.
+    A leaf without white space is all head and has no tail."""
+    encoder = WordEncoder.of(path)
+    for batch in batches:
+        for a, b in slices(batch["leaf"], 1_500_000):
+            heads, middles, tails = [], [], []
+            for t in batch["leaf"][a:b].to_pylist():
+                last = max(t.rfind(c) for c in _SPACES)
+                first = min((k for k in (t.find(c) for c in _SPACES) if k >= 0), default=len(t))
+                heads.append(t[:first])
+                middles.append(t[first:last] if last >= 0 else "")
+                tails.append(t[last:] if last >= 0 else None)
+            offsets, ids = encoder.encode(pa.array(middles, pa.string()))
+            ids = ids.astype("<u4")
+            packed = lambda x: None if x is None else _packed(encode_span(encoder.tok, x, 0, len(x)), len(x))
+            between = [ids[i:j].tobytes() for i, j in zip(offsets, offsets[1:], strict=False)]
+            columns = (heads, list(map(packed, heads)), between, tails, list(map(packed, tails)))
+            keys = [batch[n][a:b] for n in ("doc_id", "row_no", "leaf_no")]
+            yield pa.RecordBatch.from_arrays(
+                keys + [pa.array(c, t) for c, t in zip(columns, _LEAF_FIELDS.values(), strict=True)], ["doc_id", "row_no", "leaf_no", *_LEAF_FIELDS]
+            )
 
 
 def _packed(spans: np.ndarray, n: int) -> bytes:
@@ -148,17 +186,27 @@ def _unpacked(raw: bytes, n: int, at: int) -> np.ndarray:
     return out
 
 
-def _join_document(path: str, pdf: pd.DataFrame) -> pd.DataFrame:
+def _joined(tok, ends: list[tuple[str, bytes]]) -> np.ndarray:
+    """The ids of these neighbouring ends of leaves as one text."""
+    ends = [(t, raw) for t, raw in ends if t]
+    if not ends:
+        return np.zeros(0, dtype="<u4")
+    cuts = np.append(0, np.cumsum([len(t) for t, _ in ends])).tolist()
+    spans = [_unpacked(raw, len(t), at) for (t, raw), at in zip(ends, cuts, strict=False)]
+    return join_tree(tok, "".join(t for t, _ in ends), spans, cuts)[:, 0].astype("<u4")
+
+
+def _join_document(path: str, table: pa.Table) -> pa.Table:
     tok = _tokenizer(path)
-    pdf = pdf.sort_values("leaf_no")
-    text = "".join(pdf["leaf"])
-    cuts = np.append(0, np.cumsum([len(t) for t in pdf["leaf"]])).tolist()
-    leaves = [_unpacked(r.tokens, len(r.leaf), at) for r, at in zip(pdf.itertuples(), cuts, strict=False)]
-    ids = join_tree(tok, text, leaves, cuts)[:, 0]
-    decoded = tok.decode(ids.tolist(), skip_special_tokens=False)
-    return pd.DataFrame(
-        {"doc_id": [pdf["doc_id"].iloc[0]], "n_tokens": [len(ids)], "ids": [ids.astype(np.int32)], "decoded": [decoded]}
-    )
+    table = table.sort_by("leaf_no")
+    parts, open_ = [], []
+    for head, head_tokens, middle, tail, tail_tokens in zip(*(table[n].to_pylist() for n in _LEAF_FIELDS), strict=True):
+        open_.append((head, head_tokens))
+        if tail is not None:
+            parts += [_joined(tok, open_), np.frombuffer(middle, dtype="<u4")]
+            open_ = [(tail, tail_tokens)]
+    ids = np.concatenate([*parts, _joined(tok, open_)])
+    return pa.Table.from_batches([_encoded(table["doc_id"][:1].combine_chunks(), tok, [ids])])
 
 
 def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
@@ -166,22 +214,19 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
 
     One row per row of ``docs``; a null or empty text has no ids and decodes
     to the empty text. Equal to the library's own results for the whole text.
-    Other columns are ignored; null and repeated ids are kept.
+    Other columns are ignored; null and repeated ids are kept. One task holds
+    all ids of one text, as its row of the result does.
     """
     kind = dict(docs.dtypes)["doc_id"]
     out = f"doc_id {kind}, n_tokens long, ids array<int>, decoded string"
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     long = F.char_length("text") > leaf
     short = rows.where(~long).mapInArrow(lambda batches: _short(path, batches), out)
-    starts = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / leaf).cast("int"))
-    leaves = (
-        rows.where(long)
-        .select("doc_id", F.monotonically_increasing_id().alias("row_no"), "text")
-        .select("doc_id", "row_no", F.posexplode(F.transform(starts, lambda k: F.substring("text", k * leaf + 1, F.lit(leaf)))).alias("leaf_no", "leaf"))
-    )
-    encoded = leaves.repartition("row_no", "leaf_no").mapInPandas(
-        lambda pdfs: _leaves(path, pdfs),
-        f"doc_id {kind}, row_no long, leaf_no int, leaf string, tokens binary",
+    keys = f"doc_id {kind}, row_no long, leaf_no int"
+    leaves = rows.where(long).select("doc_id", F.monotonically_increasing_id().alias("row_no"), "text")
+    leaves = leaves.mapInArrow(lambda batches: _cut(leaf, batches), f"{keys}, leaf string")
+    encoded = leaves.repartition("row_no", "leaf_no").mapInArrow(
+        lambda batches: _leaves(path, batches), f"{keys}, head string, head_tokens binary, middle binary, tail string, tail_tokens binary"
     )
-    joined = encoded.groupBy("row_no").applyInPandas(lambda pdf: _join_document(path, pdf), out)
+    joined = encoded.groupBy("row_no").applyInArrow(lambda table: _join_document(path, table), out)
     return short.unionByName(joined)

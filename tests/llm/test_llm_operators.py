@@ -152,6 +152,28 @@ def test_tree_encoding(corpus, odd, empty, tok):
     assert treebpe.encode_decode(odd, TOKENIZER).count() == 7 and treebpe.encode_decode(empty, TOKENIZER).count() == 0
 
 
+def test_tree_encoding_of_long_texts(spark, tok):
+    """Giant, unsplit and oddly cut texts, with ids that are null or repeated."""
+    r = random.Random(4)
+    many = ["x" * 3000 + " " + "y" * 90, " " * 2000, "a b " * 500, "".join(r.choice("abé <|endoftext|>'1") for _ in range(5000)), ("<|endoftext|>" + "q" * 50) * 40, "né" * 4000]
+    rows = [(None if k % 3 == 0 else 5, t) for k, t in enumerate(many)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["n_tokens"], r["ids"], r["decoded"]) for r in treebpe.encode_decode(docs, TOKENIZER, leaf=100).collect())
+    want = sorted((len(i), i, tok.decode(i, skip_special_tokens=False)) for i in (tok.encode(t, add_special_tokens=False).ids for t in many))
+    assert got == want
+
+
+def test_tree_encoding_of_a_giant_text(spark):
+    """One text of 50 MB; its ids are those of its parts between spaces."""
+    part = " ".join(f"house{k} of the réeux'{k}" for k in range(2000)) + " "
+    n = 50_000_000 // len(part.encode()) + 1
+    docs = spark.createDataFrame([(1, part)], "doc_id long, text string").select("doc_id", F.repeat("text", F.lit(n)).alias("text"))
+    row = treebpe.encode_decode(docs, TOKENIZER).select("n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("h")).first()
+    one = Tokenizer.from_file(TOKENIZER).encode(part, add_special_tokens=False).ids
+    assert row["n_tokens"] == n * len(one)
+    assert row["h"] == hashlib.sha256(" ".join([" ".join(map(str, one))] * n).encode()).hexdigest()
+
+
 def test_joining_halves_equals_whole_encoding(tok):
     r = random.Random(2)
     parts = ["the", " ", "and", "'s", "'", "!!", "é", "é", "́", "a" * 30, "x" * 50, "1", "—", "<|endoftext|>", "\n", "Ü", "'ll", "日本", "😀"]
