@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
@@ -37,6 +37,47 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, label: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """``stash`` and these aggregates over all rows, taken while writing."""
+    seen = Observation()
+    out = stash(df.observe(seen, *(v.alias(k) for k, v in aggregates.items())), label)
+    return out, seen.get
+
+
+#: Rows of one key that a task has anyway; keys of more may be dealt to several.
+FEW = 256
+
+
+def hot_keys(counts: DataFrame, key: str, total: int | None) -> DataFrame | None:
+    """(key, parts) of the keys with over a 100,000th of all ``total`` rows and
+    over FEW, from (key, n); None if there are none. So they are at most
+    100,000, whatever the size of the data."""
+    limit = max(FEW, (total or 0) // 100_000)
+    hot = counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    rows = hot.collect()
+    return df_of(counts.sparkSession, rows, hot) if rows else None
+
+
+def df_of(spark: SparkSession, rows: list, like: DataFrame) -> DataFrame:
+    return spark.createDataFrame(rows, like.schema)
+
+
+def dealt(df: DataFrame, key: str, hot: DataFrame | None, by: str) -> DataFrame:
+    """With ``part``: the rows of a hot key are dealt to its parts by a hash of ``by``."""
+    if hot is None:
+        return df.withColumn("part", F.lit(0))
+    at = F.pmod(F.xxhash64(by), F.col("parts").cast("long")).cast("int")
+    return df.join(F.broadcast(hot), key, "left").withColumn("part", F.coalesce(at, F.lit(0))).drop("parts")
+
+
+def for_all_parts(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """With ``part``: one row for each part that ``dealt`` may give the key."""
+    if hot is None:
+        return df.withColumn("part", F.lit(0))
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    return df.join(F.broadcast(hot), key, "left").withColumn("part", F.explode(parts)).drop("parts")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,16 +1,15 @@
 """Near-duplicate documents by a multi-index Hamming join of MinHash signatures.
 
-A document's set of word shingles becomes a signature of 50 symbols of 16 bits.
-Texts with a Jaccard similarity of 0.8 differ in 10 symbols on average and in
-more than 19 once in a thousand times. The signature is split into 10 chunks of
-5 symbols. By the pigeonhole principle two signatures that differ in at most 19
-symbols have a chunk with at most one; so each chunk is indexed under its five
-keys of four symbols, one symbol left out in turn, and all pairs within the
-threshold meet under a key. Pairs beyond it still meet if one chunk has at
-most one error: of all pairs at 0.8, 1.6 in a million don't. Pairs that meet are
-confirmed on full sets if they differ in at most 26 symbols, which another 0.1
-in a million don't: a pair at 0.8 that isn't rescued by other links is missed
-with a probability of 1.7e-6, one at 0.81 with 0.7e-6.
+A document's set of word shingles becomes a signature of symbols of 16 bits.
+Two texts with a Jaccard similarity of J have a symbol in common with a
+probability of J. The signature is split into chunks of 5 symbols, and each
+chunk is indexed under its five keys of four symbols, one symbol left out in
+turn: two signatures meet if some chunk has at most one error. By the
+pigeonhole principle all that differ in fewer than twice as many symbols as
+there are chunks do, and most others. ``indexed`` sets the number of chunks (10
+for 0.8) so that of all pairs at the threshold itself 2 in a million don't
+meet. Pairs that meet are confirmed on full sets if they differ in at most
+``distance`` symbols (26 of 50), which another 0.2 in a million don't.
 
 Equal sets are one node from the start. Under a key, members are not paired
 with each other but with one centre, the member that meets most others, which
@@ -18,25 +17,50 @@ in a family of edited copies is their original. Candidates are confirmed on
 full sets, and links give components. Wherever members of one key are then
 still in different components, their pairs across components are confirmed as
 well, so no link that could join two components is lost.
+
+Keys, centres and sets that very many rows have are dealt to several tasks in
+every join (``common.dealt``).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import dealt, for_all_parts, hot_keys, measured, stash
 from .words import Pieces, mixed, slices
 
-SYMBOLS, CHUNK, DISTANCE = 50, 5, 26
-_rng = np.random.default_rng(20_240_817)
-_XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MUL = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+CHUNK = 5
+#: Probabilities that a pair at the threshold doesn't meet, or is too far apart.
+_MISS, _FAR = 2e-6, 2e-7
+#: Open members under a key up to which they are paired with each other.
+_SMALL = 32
+
+
+@cache
+def indexed(percent: int) -> tuple[int, int]:
+    """(symbols, distance) of signatures for a similarity of percent/100."""
+    j = min(percent, 99) / 100
+    meets = j**CHUNK + CHUNK * j ** (CHUNK - 1) * (1 - j)
+    symbols = CHUNK * math.ceil(math.log(_MISS) / math.log(1 - meets))
+    tail, distance = 1.0, -1
+    while tail > _FAR:
+        distance += 1
+        tail -= math.comb(symbols, distance) * (1 - j) ** distance * j ** (symbols - distance)
+    return symbols, distance
+
+
+@cache
+def _factors(symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(20_240_817)
+    return tuple(r.integers(0, 1 << 63, symbols, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,99 +89,109 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(doc[first], np.arange(len(n) + 1)), value[first]
 
 
-def signatures(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def signatures(offsets: np.ndarray, hashes: np.ndarray, symbols: int) -> np.ndarray:
     """MinHash signatures of the sets; rows of empty sets are 0."""
-    out = np.zeros((len(offsets) - 1, SYMBOLS), dtype=np.int32)
+    out = np.zeros((len(offsets) - 1, symbols), dtype=np.int32)
     there = np.flatnonzero(np.diff(offsets))
-    for k in range(SYMBOLS if len(there) else 0):
-        least = np.minimum.reduceat((hashes ^ _XOR[k]) * _MUL[k], offsets[there])
+    flip, times = _factors(symbols)
+    for k in range(symbols if len(there) else 0):
+        least = np.minimum.reduceat((hashes ^ flip[k]) * times[k], offsets[there])
         out[there, k] = mixed(least) & np.uint64(0xFFFF)
     return out
 
 
-def _sketched(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(offsets: np.ndarray, hashes: np.ndarray) -> pa.Array:
+    """128 bits for each set, null for empty ones."""
+    of = lambda x: hashlib.blake2b(np.sort(x).tobytes(), digest_size=16).digest()
+    return pa.array([of(hashes[i:j]) if j > i else None for i, j in zip(offsets, offsets[1:], strict=False)], pa.binary())
+
+
+def _sketched(size: int, symbols: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in slices(batch["text"]):
             offsets, hashes = shingle_sets(batch["text"][a:b], size)
-            n = np.diff(offsets)
-            signature = signatures(offsets, hashes)
-            node = np.array([_node(hashes[i:j]) for i, j in zip(offsets, offsets[1:], strict=False)], dtype=np.int64)
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SYMBOLS), pa.array(signature.ravel()))
+            signature = signatures(offsets, hashes, symbols)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * symbols), pa.array(signature.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"][a:b], pa.array(n), pa.array(node, mask=n == 0), rows], ["doc_id", "n_shingles", "node", "signature"]
+                [batch["doc_id"][a:b], pa.array(np.diff(offsets)), _digests(offsets, hashes), rows], ["doc_id", "n_shingles", "set", "signature"]
             )
 
 
-def _node(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(np.sort(hashes).tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in slices(batch["text"]):
             offsets, hashes = shingle_sets(batch["text"][a:b], size)
-            node = [_node(hashes[i:j]) if j > i else None for i, j in zip(offsets, offsets[1:], strict=False)]
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), lists], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([_digests(offsets, hashes), lists], ["set", "shingles"])
 
 
-def _keys(signature: Column) -> Column:
+def _keys(signature: Column, symbols: int) -> Column:
     """The keys of each chunk, one symbol left out in turn."""
     return F.explode(
         F.array(
             *(
                 F.xxhash64(F.lit(c + drop), *(signature[c + k] for k in range(CHUNK) if k != drop))
-                for c in range(0, SYMBOLS, CHUNK)
+                for c in range(0, symbols, CHUNK)
                 for drop in range(CHUNK)
             )
         )
     )
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.lit(SYMBOLS) - F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
-
-
 def _near(a: str, b: str, percent: int) -> Column:
-    """Sizes allow the similarity, and signatures differ in at most ``DISTANCE`` symbols."""
+    """Sizes allow the similarity, and signatures differ in few enough symbols."""
+    symbols, distance = indexed(percent)
     small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (small * 100 >= large * percent) & (_distance(F.col(f"{a}.signature"), F.col(f"{b}.signature")) <= DISTANCE)
+    same = F.zip_with(F.col(f"{a}.signature"), F.col(f"{b}.signature"), lambda x, y: x == y)
+    return (small * 100 >= large * percent) & (F.size(F.filter(same, lambda x: x)) >= symbols - distance)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) of the graph with these (a, b) links: smallest node reachable.
+def components(links: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, label) for each node of these (a, b) links: the smallest ``own``
+    value, from (node, own), of all nodes that can be reached.
 
-    Labels spread along links and then jump to their label's label, so the
-    number of rounds grows with the logarithm of the longest path.
+    Labels spread along links and then jump to the label that their label's
+    own node has got, so the number of rounds grows with the logarithm of the
+    longest path. Nodes of very many links and labels of very many nodes are
+    dealt to several tasks.
     """
-    both = stash(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = stash(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    both, seen = measured(links.select("a", "b").union(links.select("b", "a")).distinct(), "links", n=F.count(F.lit(1)))
+    hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", seen["n"])
+    both = dealt(both, "b", hubs, "a")
+    labels = stash(own.join(both.select(F.col("a").alias("node")).distinct(), "node").select("node", "own", F.col("own").alias("label")), "labels")
     while True:
-        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(seen, labels.node == seen.a, "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
-        )
-        spread = stash(spread, "spread")
-        up = spread.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = spread.join(up, "label", "left").select("node", "old", F.least("label", "up").alias("label"))
-        jumped = stash(jumped, "labels")
-        changed = not jumped.where("label < old").isEmpty()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels
-
-
-def _tested(docs: DataFrame, size: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        told = for_all_parts(labels.select(F.col("node").alias("b"), "label"), "b", hubs)
+        near = both.join(told, ["b", "part"]).groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
+        spread = labels.join(near, "node", "left").select("node", "own", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        spread, seen = measured(spread, "spread", n=F.count(F.lit(1)), changed=F.sum((F.col("label") < F.col("old")).cast("long")))
+        if not seen["changed"]:
+            return spread.select("node", "label")
+        popular = hot_keys(spread.groupBy("label").agg(F.count("*").alias("n")), "label", seen["n"])
+        up = spread.groupBy(F.col("own").alias("label")).agg(F.min("label").alias("up"))
+        jumped = dealt(spread, "label", popular, "node").join(for_all_parts(up, "label", popular), ["label", "part"], "left")
+        labels = stash(jumped.select("node", "own", F.least("label", "up").alias("label")), "labels")
+
+
+def _set_of(docs: DataFrame, size: int, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the ``wanted`` nodes, read from one text of each."""
+    chosen = stash(nodes.join(wanted, "node", "left_semi").select("set", "node", "own"), "chosen")
+    ids = chosen.select(F.col("own").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    sets = texts.mapInArrow(lambda batches: _sets(size, batches), "set binary, shingles array<long>")
+    sets = sets.join(chosen.select("set", "node"), "set").select("node", "shingles")
+    return stash(sets.dropDuplicates(["node"]), "sets")
+
+
+def _tested(docs: DataFrame, size: int, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs with their full sets' sizes na and nb, the size ``common`` of
     their intersection, and ``apart``: what is in one set and not the other."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")
-    texts = docs.select("doc_id", "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(lambda batches: _sets(size, batches), "node long, shingles array<long>")
-    sets = stash(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _set_of(docs, size, nodes, wanted)
+    degrees, seen = measured(pairs.groupBy("a").agg(F.count("*").alias("n")), "degrees", n=F.sum("n"))
+    hubs = hot_keys(degrees, "a", seen["n"])
+    left = for_all_parts(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a", hubs)
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    out = pairs.join(right, "b").join(left, "a").withColumn("more", F.array_except("sb", "sa"))
+    out = dealt(pairs.join(right, "b"), "a", hubs, "b").join(left, ["a", "part"]).withColumn("more", F.array_except("sb", "sa"))
     sizes = (F.size("sa").alias("na"), F.size("sb").alias("nb"), (F.size("sb") - F.size("more")).alias("common"))
     return stash(out.select("a", "b", *sizes, F.concat("more", F.array_except("sa", "sb")).alias("apart")), "tested")
 
@@ -176,70 +210,111 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     compared with others; alone, their component_id is null. Other columns are
     ignored; an empty table gives no rows.
     """
-    return _classes(docs, shingle, percent).drop("node")
+    return _classes(docs, shingle, percent).drop("set")
 
 
 def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``near_duplicates`` with the node of each row's set."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """``near_duplicates`` with the digest of each row's set."""
+    kind, symbols = dict(docs.dtypes)["doc_id"], indexed(percent)[0]
     rows = stash(
         docs.select("doc_id", "text").mapInArrow(
-            lambda batches: _sketched(shingle, batches),
-            f"doc_id {kind}, n_shingles long, node long, signature array<int>",
+            lambda batches: _sketched(shingle, symbols, batches),
+            f"doc_id {kind}, n_shingles long, set binary, signature array<int>",
         ),
         "sketches",
     )
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    nodes = stash(nodes, "nodes")
-    keyed = nodes.select("node", _keys(F.col("signature")).alias("key"))
-    met = stash(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met")
-    keyed = stash(keyed.join(met, "key"), "keyed")
-    popular = keyed.groupBy("node").agg(F.sum("n").alias("meets"))
-    keyed = stash(keyed.join(popular, "node").select("key", "node", "meets"), "popular")
+    same = rows.where("set is not null").groupBy("set").agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("doc_id").alias("own"), F.count("*").alias("n")
+    )
+    nodes, seen = measured(same.withColumn("node", F.monotonically_increasing_id()), "nodes", n=F.sum("n"))
+    copied = hot_keys(nodes.select("set", "n"), "set", seen["n"])
+    labels = _labels(docs, shingle, percent, nodes)
+    told = nodes.join(labels, "node", "left").select("set", F.coalesce("label", "own").alias("component_id"))
+    found = dealt(rows.where("set is not null"), "set", copied, "doc_id").join(for_all_parts(told, "set", copied), ["set", "part"])
+    alone = rows.where("set is null").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "set", "n_shingles", "component_id"]
+    return found.select(columns).union(alone.select(columns)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _labels(docs: DataFrame, shingle: int, percent: int, nodes: DataFrame) -> DataFrame:
+    """(node, label) of all nodes with a link: the smallest id of their class."""
+    symbols, _ = indexed(percent)
+    # a set of n shingles can at best be all of another of n + 1
+    usable = (F.col("n_shingles") + 1) * percent <= F.col("n_shingles") * 100
+    keyed = nodes.where(F.col("own").isNotNull() & usable).select("node", _keys(F.col("signature"), symbols).alias("key"))
+    met, seen = measured(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met", n=F.sum("n"))
+    common = hot_keys(met, "key", seen["n"])
+    keyed = dealt(keyed, "key", common, "node").join(for_all_parts(met, "key", common), ["key", "part"])
+    keyed = keyed.groupBy("node").agg(F.sum("n").alias("meets"), F.collect_list(F.struct("key", "part")).alias("k"))  # at most ``symbols`` keys
+    keyed = stash(keyed.select("node", "meets", F.inline("k")), "keyed")
     centres = keyed.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("centre")).select("key", F.col("centre.node").alias("a"))
-    stars = keyed.join(centres, "key").where("a != node").select("a", F.col("node").alias("b")).distinct()
+    centres = stash(centres, "centres")
+    stars = keyed.join(for_all_parts(centres, "key", common), ["key", "part"]).where("a != node")
+    stars, seen = measured(stars.select("a", F.col("node").alias("b")).distinct(), "stars", n=F.count(F.lit(1)))
+    hubs = hot_keys(stars.groupBy("a").agg(F.count("*").alias("n")), "a", seen["n"])
     of = lambda name: nodes.select(F.col("node").alias(name), F.struct("n_shingles", "signature").alias(f"of_{name}"))
-    stars = stash(stars.join(of("a"), "a").join(of("b"), "b").where(_near("of_a", "of_b", percent)).select("a", "b"), "stars")
-    tested = _tested(docs, shingle, rows, stars)
+    stars = dealt(stars.join(of("b"), "b"), "a", hubs, "b").join(for_all_parts(of("a"), "a", hubs), ["a", "part"])
+    stars = stash(stars.where(_near("of_a", "of_b", percent)).select("a", "b"), "near")
+    tested = _tested(docs, shingle, nodes, stars)
+    own = nodes.select("node", "own")
     links = _links(tested, percent)
-    labels = components(links)
-    more = [_within_families(tested, labels, percent)]
-    rest = _across(keyed, centres, labels, of, tested, percent)
-    if not rest.isEmpty():
-        more.append(_links(_tested(docs, shingle, rows, rest), percent))
-    if any(not m.isEmpty() for m in more):
-        for m in more:
-            links = links.union(m)
-        labels = components(links)
-    labelled = rows.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
-    least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "class", "left").select(
-        "doc_id",
-        "node",
-        "n_shingles",
-        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-
-
-def _across(keyed: DataFrame, centres: DataFrame, labels: DataFrame, of, tested: DataFrame, percent: int) -> DataFrame:
-    """Near pairs under one key, in different components, of which at least one
-    was too far from the key's centre to be tested against it."""
-    label = F.coalesce("label", "node").alias("label")
-    own = keyed.join(labels, "node", "left").select("key", "node", label)
-    mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    labels = components(links, own)
+    more = _within_families(tested, labels, own, percent)
+    rest = _across(docs, shingle, nodes, keyed, centres, common, labels, tested, percent)
+    if rest is not None:
+        more = more.union(_links(_tested(docs, shingle, nodes, rest), percent))
+    more, seen = measured(more, "more", n=F.count(F.lit(1)))
+    return components(links.union(more), own) if seen["n"] else labels
+
+
+def _across(
+    docs: DataFrame, shingle: int, nodes: DataFrame, keyed: DataFrame, centres: DataFrame, common: DataFrame | None, labels: DataFrame, tested: DataFrame, percent: int
+) -> DataFrame | None:
+    """Pairs under one key, in different components, of which at least one was
+    too far from the key's centre to be tested against it.
+
+    Few members of a key are compared by their signatures. Many are paired only
+    if they share one of their rarest shingles, as all that are linked do.
+    """
+    own = nodes.select("node", "own", F.struct("n_shingles", "signature").alias("of_node"))
+    member = keyed.select("node", "key", "part").join(labels, "node", "left").join(own, "node").withColumn("label", F.coalesce("label", "own"))
     near_centre = tested.select("a", F.col("b").alias("node"), F.lit(True).alias("tested"))
-    open_ = own.join(mixed, "key").join(centres, "key").where("node != a").join(near_centre, ["a", "node"], "left").join(of("node"), "node")
-    open_ = stash(open_, "open")
-    differ = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-    far = F.col("x.tested").isNull() | F.col("y.tested").isNull()
+    member = member.join(for_all_parts(centres, "key", common), ["key", "part"]).where("node != a").join(near_centre, ["a", "node"], "left")
+    far = F.sum(F.col("tested").isNull().cast("long")).alias("far")
+    open_ = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), far, F.count("*").alias("n")).where("lo < hi and far > 0")
+    open_, seen = measured(open_.select("key", "n"), "open", n=F.count(F.lit(1)), most=F.max("n"))
+    if not seen["n"]:
+        return None
+    member = member.join(for_all_parts(open_, "key", common), ["key", "part"]).select("key", "node", "label", "of_node", "tested", "n")
+    member = stash(member, "open_members")
+    differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
+    untested = F.col("x.tested").isNull() | F.col("y.tested").isNull()
+    ordered = differ & untested & (F.col("x.node") < F.col("y.node"))
     pair = (F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    near = differ & far & _near("x.of_node", "y.of_node", percent)
-    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & near).select(*pair).distinct()
+    few = member.where(F.col("n") <= _SMALL)
+    pairs = few.alias("x").join(few.alias("y"), ordered & _near("x.of_node", "y.of_node", percent)).select(*pair)
+    if seen["most"] > _SMALL:
+        many = member.where(F.col("n") > _SMALL)
+        first = _rarest(_set_of(docs, shingle, nodes, many.select("node").distinct()), percent)
+        many = many.join(first, "node")
+        alike = ordered & (F.col("x.shingle") == F.col("y.shingle"))
+        pairs = pairs.union(many.alias("x").join(many.alias("y"), alike & _near("x.of_node", "y.of_node", percent)).select(*pair))
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return stash(pairs.join(done, ["a", "b"], "left_anti"), "across")
+    pairs, seen = measured(pairs.distinct().join(done, ["a", "b"], "left_anti"), "across", n=F.count(F.lit(1)))
+    return pairs if seen["n"] else None
+
 
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, shingle): so many of the rarest shingles of each set that two
+    linked sets share one of them."""
+    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    rare = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    limit = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
+    each = each.join(rare, "shingle").groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("order"))
+    return each.select("node", F.explode(F.slice("order", 1, limit)).alias("o")).where("o.n > 1").select("node", F.col("o.shingle").alias("shingle"))
 
-def _within_families(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+
+def _within_families(tested: DataFrame, labels: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components that have one centre.
 
     In a large family many members are not quite like the centre; comparing
@@ -251,8 +326,8 @@ def _within_families(tested: DataFrame, labels: DataFrame, percent: int) -> Data
     among the first |D| - R + 1 in any common order. With the rarest first,
     joining on these elements gives few pairs, and all that are linked.
     """
-    label = F.coalesce("label", "node").alias("label")
-    member = tested.withColumnRenamed("b", "node").join(labels, "node", "left").select("a", "node", "na", "nb", "common", "apart", label)
+    label = F.coalesce("label", "own").alias("label")
+    member = tested.withColumnRenamed("b", "node").join(labels, "node", "left").join(own, "node").select("a", "node", "na", "nb", "common", "apart", label)
     split = member.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a")
     member = stash(member.join(split, "a"), "members")
     beside = member.select("a", "node", F.explode("apart").alias("shingle"))
@@ -271,7 +346,7 @@ def _within_families(tested: DataFrame, labels: DataFrame, percent: int) -> Data
     apart = lambda name: member.select(F.col("a").alias("c"), F.col("node").alias(name), F.col("apart").alias(f"apart_{name}"))
     both = pairs.distinct().join(apart("a"), ["c", "a"]).join(apart("b"), ["c", "b"])
     linked = both.where(F.size(F.array_intersect("apart_a", "apart_b")) >= F.col("needed"))
-    return stash(linked.select("a", "b").distinct(), "family_links")
+    return linked.select("a", "b").distinct()
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -282,21 +357,20 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     with another text, the latter is told by its set.
     """
     classes = stash(_classes(docs, shingle, percent), "classes")
-    gone = classes.where("not kept and doc_id is not null").select("doc_id", "node").distinct()
-    mixed = stash(gone.select("doc_id").join(classes.where("kept"), "doc_id", "left_semi").distinct(), "mixed")
-    if mixed.isEmpty():
+    gone = classes.where("not kept and doc_id is not null").select("doc_id", "set").distinct()
+    mixed_ = stash(gone.select("doc_id").join(classes.where("kept"), "doc_id", "left_semi").distinct(), "mixed")
+    if mixed_.isEmpty():
         return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
-    told = docs.select("doc_id", "text").join(mixed, "doc_id", "left_semi").distinct()
+    told = docs.select("doc_id", "text").join(mixed_, "doc_id", "left_semi").distinct()
     kind = dict(docs.dtypes)["doc_id"]
-    told = told.mapInArrow(lambda batches: _told(shingle, batches), f"doc_id {kind}, text string, node long")
-    texts = told.join(gone, ["doc_id", "node"], "left_semi").select("doc_id", "text")
-    ids = gone.select("doc_id").distinct().join(mixed, "doc_id", "left_anti")
+    told = told.mapInArrow(lambda batches: _told(shingle, batches), f"doc_id {kind}, text string, set binary")
+    texts = told.join(gone, ["doc_id", "set"], "left_semi").select("doc_id", "text")
+    ids = gone.select("doc_id").distinct().join(mixed_, "doc_id", "left_anti")
     return docs.join(ids, "doc_id", "left_anti").join(texts, ["doc_id", "text"], "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def _told(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in slices(batch["text"]):
-            offsets, hashes = shingle_sets(batch["text"][a:b], size)
-            node = [_node(hashes[i:j]) if j > i else None for i, j in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], batch["text"][a:b], pa.array(node, pa.int64())], ["doc_id", "text", "node"])
+            digests = _digests(*shingle_sets(batch["text"][a:b], size))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], batch["text"][a:b], digests], ["doc_id", "text", "set"])
