@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ _own_folder: list[str] = []
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names that folder; where it is unset (tests on
-    one machine) a temporary folder is made once per driver process.
+    ``spark.checkpoint.dir`` names that folder; where it is unset and Spark
+    runs in one process (tests) a temporary folder is made once per driver.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-llm-"))
         base = _own_folder[0]

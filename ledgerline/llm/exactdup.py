@@ -6,7 +6,9 @@ expires: for each digest the smallest identifier, its locator and the number of
 rows. The state store is on disk (RocksDB, snapshots in the shared folder), and
 rows are combined before the shuffle, so a digest that a third of all rows have
 costs one row a task. A hit (a digest seen more than once) is then checked on
-full bytes against the text that stays.
+full bytes: only texts of digests with a hit are compared, once each, and the
+rows of a digest that very many rows have are dealt to several tasks. The
+locator names the file that a text came from, for those who look it up there.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stash, whole_row
+from .common import dealt, for_all_parts, hot_keys, measured, shared_folder, stash, whole_row
 
 #: State on disk; without space set aside for each of many small partitions.
 _STATE = {
@@ -22,8 +24,6 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Groups of more rows than this are compared with their kept text in parts.
-LARGE, PARTS = 512, 32
 
 
 def normalised(text: Column | str) -> Column:
@@ -82,27 +82,23 @@ def exact_duplicates(docs: DataFrame, digest=lambda text: F.sha2(text, 256)) ->
     landed = spark.read.parquet(folder)
     if landed.isEmpty():
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("text", 256).alias("text_sha256"))
-    state = stash(fold_digests(landed, folder), "groups")
+    state, seen = measured(fold_digests(landed, folder), "groups", n=F.sum("group_size"))
     state = state.select("digest", F.col("keep.doc_id").alias("keep_id"), "group_size")
-    out = landed.join(state, "digest").select("doc_id", "keep_id", "group_size", "digest")
-    odd = _unlike(rows, state)
-    if not odd.isEmpty():
+    copied = hot_keys(state.select("digest", F.col("group_size").alias("n")), "digest", seen["n"])
+    if not _unlike(rows, state, copied).isEmpty():
         return _regrouped(rows, state)
+    out = dealt(landed.select("doc_id", "digest"), "digest", copied, "doc_id").join(for_all_parts(state, "digest", copied), ["digest", "part"])
     return out.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
-def _unlike(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows of hit digests whose bytes differ from the kept row's."""
-    hits = rows.join(state.where("group_size > 1"), "digest")
-    parts = F.when(F.col("group_size") > LARGE, PARTS).otherwise(1)
-    hits = hits.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
-    kept = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        "digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-    )
-    kept = kept.groupBy("digest", "part").agg(F.min("kept_text").alias("kept_text"))
-    return stash(hits.join(kept, ["digest", "part"]).where("text != kept_text").select("digest", "doc_id"), "unlike")
+def _unlike(rows: DataFrame, state: DataFrame, copied: DataFrame | None) -> DataFrame:
+    """Hit digests whose rows differ in bytes."""
+    hit = for_all_parts(state.where("group_size > 1").select("digest"), "digest", copied)
+    texts = dealt(rows.select("digest", "doc_id", "text"), "digest", copied, "doc_id").join(hit, ["digest", "part"], "left_semi")
+    parts = texts.groupBy("digest", "part").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    return stash(parts.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("digest"), "unlike")
 
 
 def _regrouped(rows: DataFrame, state: DataFrame) -> DataFrame:
