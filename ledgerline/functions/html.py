@@ -14,14 +14,26 @@ def _first(html: Column, *patterns: str) -> Column:
     return F.coalesce(*(F.when(h != "", h) for h in hits))
 
 
+def _shortened(title: Column, least: int, most: int) -> Column:
+    """Single spaces, no dashes or bars at the ends, null if shorter than
+    ``least``, cut with dots if longer than ``most``."""
+    clean = F.regexp_replace(F.regexp_replace(title, r"\s+", " "), r"^[ |\u2013\u2014-]+|[ |\u2013\u2014-]+$", "")
+    cut = F.concat(F.rtrim(F.substring(clean, 1, most - 3)), F.lit("..."))
+    return F.when(F.char_length(clean) > most, cut).when(F.char_length(clean) >= least, clean)
+
+
 def document_title(html: Column, text: Column, least: int = 8, most: int = 220) -> Column:
-    """Title of a page: og or twitter title, <title>, <h1>, else the first line
-    of the text, each only if its length is plausible. Null without one."""
-    meta = lambda name: rf"(?is)<meta[^>]+(?:property|name)=[\"']{name}[\"'][^>]+content=[\"']([^\"']*)[\"']"
-    tags = [meta("og:title"), meta("twitter:title"), r"(?is)<title[^>]*>(.*?)</title>", r"(?is)<h1[^>]*>([^<]*)</h1>"]
-    fits = lambda c: F.when(F.char_length(c).between(least, most), c)
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: F.char_length(x).between(least, most))
-    return F.coalesce(*(fits(_first(html, t)) for t in tags), F.get(lines, F.lit(0)))
+    """Title of a page: og or twitter title, <title>, <h1>, else the first
+    telling one of the text's 20 first lines. Null without one."""
+    # Names of tags and attributes, and lines that are no titles.
+    tag = lambda name: rf"(?is)<meta(?=[^>]*?\b(?:property|name)\s*=\s*[\"']{name}[\"'])[^>]*?\bcontent\s*=\s*[\"']([^\"']*)[\"']"
+    found = [_first(html, tag("og:title")), _first(html, tag("twitter:title")), _first(html, r"(?is)<title[^>]*>(.*?)</title>")]
+    found.append(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1), r"<[^>]*>", " "))
+    names = "|".join(sorted(MONTHS, key=len, reverse=True))
+    other = rf"(?i)^(?:source:|email|distributed by .*|(?:{names})\s+\d{{1,2}},?\s+\d{{4}}.*)$"
+    lines = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), 1, 20), lambda x: _shortened(x, least, most))
+    lines = F.filter(lines, lambda x: x.isNotNull() & ~x.rlike(other))
+    return F.coalesce(*(_shortened(c, least, most) for c in found), F.get(lines, F.lit(0)))
 
 
 def published_date(html: Column) -> Column:

@@ -131,9 +131,10 @@ def period_from_filename(path: Column) -> Column:
 def period_from_text(text: Column, opening: int = 3000) -> Column:
     """Month that the opening of a text is about, the surest phrase first."""
     head = F.substring(text, 1, opening)
+    # Words before a month, and words after it.
     phrases = (
-        rf"(?i)for\s+the\s+month\s+of\s+({_NAMES}),?\s+(\d{{4}})",
-        rf"(?i)\b({_NAMES})\s+(\d{{4}})\s+(?:production|operational|monthly)",
+        rf"(?i)(?:for\s+the\s+month\s+of|during|in)\s+({_NAMES})\s+(\d{{4}})",
+        rf"(?i)({_NAMES})\s+(\d{{4}})\s+(?:production|mining|bitcoin|btc|results)",
         rf"(?i)({_NAMES})\s+(\d{{4}})",
     )
     return F.coalesce(*(_named_month(head, p) for p in phrases))

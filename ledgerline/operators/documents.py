@@ -5,6 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import cut_at_sentinels, strip_release_frame
+
+#: Source types of press releases.
+MONTHLY_SOURCES = ("archive_html", "archive_pdf", "ir_press_release", "wire_press_release")
+#: The date line of a release, and lines that end it, wherever
+#: they stand or only late in the text.
+RELEASE_DATE = (
+    r"(?i)^(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+    r"\s+\d{1,2},?\s+\d{4}"
+)
+RELEASE_ENDS = (r"^Recent Announcements\s*$", r"^Investor Notice\s*$", r"^Source:\s+[A-Z]", r"(?i)^email\s*$", r"^©\s*\d{4}", r"(?i)^Distributed by\s+\w")
+RELEASE_ENDS_LATE = (
+    r"(?i)^Forward-Looking (?:Statements?|Information)\s*$",
+    r"(?i)^Cautionary Statements?\s*$",
+    r"^About [A-Z][A-Za-z]",
+    r"(?i)^For more information,?\s+visit\s*$",
+    r"(?i)^(?:Investor\s+Relations|Media)\s+Contact\b",
+    r"(?i)^For\s+(?:investor|media)\s+(?:relations\s+)?(?:contact|inquiries|information)\b",
+)
+#: What ends a filing.
+FILING_ENDS = (r"(?m)^\s*SIGNATURES?\s*$", r"Pursuant to the requirements of the Securities Exchange Act", r"(?m)^\s*EXHIBIT\s+INDEX\s*$")
+
 
 def sections(docs: DataFrame, key: str, text: str, heading: str = r"(?m)^(?=Item\s+\d)", least: int = 300) -> DataFrame:
     """(key, section, body): the text cut before each heading; short bodies go."""
@@ -13,6 +35,31 @@ def sections(docs: DataFrame, key: str, text: str, heading: str = r"(?m)^(?=Item
     return rows.where(F.char_length("body") >= least)
 
 
+def release_text(text: Column) -> Column:
+    """A press release without the navigation above it and the boilerplate below."""
+    return strip_release_frame(text, RELEASE_DATE, RELEASE_ENDS, RELEASE_ENDS_LATE)
+
+
+def filing_text(text: Column) -> Column:
+    """A filing without signatures and the index of exhibits."""
+    return cut_at_sentinels(text, FILING_ENDS, 0.3)
+
+
+def prepared_text(source_type: Column, text: Column) -> Column:
+    """Text made ready by its source: releases, filings, others as they are."""
+    monthly = source_type.isin(*MONTHLY_SOURCES)
+    return F.when(monthly, release_text(text)).when(source_type.startswith("edgar_"), filing_text(text)).otherwise(F.coalesce(text, F.lit("")))
+
+
+def parsed(docs: DataFrame, key: str, source_type: str, text: str) -> DataFrame:
+    """(key, parser, section, body): annual and quarterly filings by section,
+    all others as one release."""
+    periodic = F.coalesce(F.col(source_type).isin("edgar_10k", "edgar_10q"), F.lit(False))
+    filings = sections(docs.where(periodic), key, text).withColumn("parser", F.lit("filing"))
+    releases = docs.where(~periodic).select(key, F.lit(0).alias("section"), release_text(F.col(text)).alias("body"), F.lit("release").alias("parser"))
+    return filings.unionByName(releases).select(key, "parser", "section", "body")
+
+
 def packed_chunks(chunks: DataFrame, key: str, order: str, keywords: list[str], budget: int) -> DataFrame:
     """Chunks of a document that fit its budget, most keyword hits first, with
     the ``used`` characters of each; the one at the border is cut short."""

@@ -5,9 +5,14 @@ Sides are never broadcast by hint: Spark does it by size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Phrases that a dictionary of the configuration may have.
+MOST_PHRASES = 1_000
+
 
 def with_counts(left: DataFrame, right: DataFrame, keys: list[str], counted: dict[str, Column]) -> DataFrame:
     """``left`` with aggregates of ``right`` by key, 0 where there is no row.
@@ -29,15 +34,16 @@ def star(base: DataFrame, key: str, facts: dict[str, tuple[DataFrame, Column]])
 def as_of(left: DataFrame, windows: DataFrame, key: str, day: str, value: str, default) -> DataFrame:
     """``left`` with ``value`` of the latest window that holds its day.
 
-    ``windows`` has (key, start, end or null, value). Each row of ``left`` is
-    paired with its key's windows only and reduced at once by ``max_by``.
+    ``windows`` has (key, start, end or null, value); a key has few. They are
+    one array per key, so each row of ``left`` meets one row and stays one row,
+    repeated rows too. Of windows with one start the greatest value counts.
     """
-    keyed = left.withColumn("_row", F.struct(*left.columns))
-    hit = (F.col("l._row")[day] >= F.col("w.start")) & (F.col("w.end").isNull() | (F.col("w.end") >= F.col("l._row")[day]))
-    ranges = windows.select(F.col(key).alias("_key"), "start", "end", F.col(value).alias("_value"))
-    joined = keyed.alias("l").join(ranges.alias("w"), (F.col(f"l.{key}") == F.col("w._key")) & hit, "left")
-    best = joined.groupBy("_row").agg(F.max_by("_value", "start").alias(value), F.count("*").alias("_n"))
-    return best.select("_row.*", F.coalesce(value, F.lit(default)).alias(value))
+    ranges = windows.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("start", "end", F.col(value).alias("value"))).alias("_windows"))
+    on = F.col(day)
+    holds = lambda w: (on >= w["start"]) & (w["end"].isNull() | (w["end"] >= on))
+    latest = F.array_max(F.transform(F.filter("_windows", holds), lambda w: F.struct(w["start"], w["value"])))["value"]
+    joined = left.join(ranges, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn(value, F.coalesce(latest, F.lit(default))).drop("_key", "_windows")
 
 
 def within_days(left: DataFrame, right: DataFrame, key: str, left_day: str, right_day: str, days: int) -> DataFrame:
@@ -100,11 +106,17 @@ def near_members(hashes: DataFrame, pairs: DataFrame, key: str, group: str, simh
 def attributed(rows: DataFrame, phrases: DataFrame, text: str, key: str) -> DataFrame:
     """Rows whose text holds exactly one phrase (and none of its ``excludes``).
 
-    ``phrases`` is a small dimension (phrase, excludes, rank).
+    ``phrases`` is a dictionary (phrase, excludes, rank) of the configuration.
+    All of it is one array beside each row, so no row meets phrases that it
+    doesn't hold; more than ``MOST_PHRASES`` are refused.
     """
+    listed = phrases.select("phrase", "excludes", "rank").limit(MOST_PHRASES + 1).collect()
+    if len(listed) > MOST_PHRASES:
+        raise ValueError(f"over {MOST_PHRASES} phrases")
     low = F.lower(text)
-    holds = low.contains(F.lower("phrase")) & ~F.exists("excludes", lambda x: low.contains(F.lower(x)))
-    return rows.join(phrases, holds).groupBy(key).agg(F.count("*").alias("_n"), F.min("phrase").alias("phrase"), F.min("rank").alias("rank")).where("_n = 1").drop("_n")
+    one = lambda r: low.contains(r["phrase"].lower()) & ~reduce(lambda a, b: a | b, (low.contains(x.lower()) for x in r["excludes"]), F.lit(False))
+    hits = F.array_compact(F.array(*(F.when(one(r), F.struct(F.lit(r["phrase"]).alias("phrase"), F.lit(r["rank"]).alias("rank"))) for r in listed)))
+    return rows.withColumn("_hits", hits).where(F.size("_hits") == 1).select(key, F.col("_hits")[0]["phrase"].alias("phrase"), F.col("_hits")[0]["rank"].alias("rank"))
 
 
 def by_cover(documents: DataFrame, months: DataFrame) -> DataFrame:

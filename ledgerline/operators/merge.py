@@ -69,15 +69,31 @@ def purge(rows: DataFrame, scope: DataFrame, keys: list[str]) -> tuple[DataFrame
 
 
 def attempt_state(log: DataFrame, key: str, status: str, seq: str, most: int = MAX_ATTEMPTS) -> DataFrame:
-    """State after an attempt log: failed attempts since the last done, dead
-    letters after ``most``."""
-    grouped = log.groupBy(key).agg(
-        F.count_if(F.col(status) == "failed").cast("long").alias("attempts"), F.max_by(status, seq).alias("last")
-    )
+    """State after an attempt log (done or failed, by ``seq``): every run counts
+    as an attempt, and a failure that is at least the ``most``-th attempt makes
+    a dead letter. Other statuses are no runs."""
+    runs = log.where(F.col(status).isin("done", "failed"))
+    grouped = runs.groupBy(key).agg(F.count("*").alias("attempts"), F.max_by(status, seq).alias("last"))
     dead = (F.col("last") == "failed") & (F.col("attempts") >= most)
     return grouped.withColumn("state", F.when(dead, "dead_letter").otherwise(F.col("last")))
 
 
+def promoted(facts: DataFrame, queue: DataFrame) -> DataFrame:
+    """Facts (entity, period, metric, value, method) that go to review: those
+    that no analyst made and that no pending item of ``queue`` is about."""
+    pending = queue.where("status = 'PENDING'").select("entity", "period", "metric").distinct()
+    return facts.where(~F.coalesce(F.col("method").isin(*ANALYST_METHODS), F.lit(False))).join(pending, ["entity", "period", "metric"], "left_anti").withColumn("status", F.lit("PENDING"))
+
+
+def entered(facts: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts after manual entries (keys, value, seq): a positive finite value
+    replaces what its key has, the last entry wins, others change nothing."""
+    good = entries.where("value > 0 and value < double('infinity')")
+    last = last_wins(good.select(*keys, "value", "seq"), keys).select(*keys, F.col("value").alias("_value"))
+    both = facts.join(last, keys, "full")
+    return both.select(*keys, F.coalesce("_value", "value").alias("value"), F.when(F.col("_value").isNotNull(), "manual").otherwise(F.col("method")).alias("method"))
+
+
 def approved(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply decisions (id, action, value): new facts of priority 0, final
     values, and the queue after it, siblings of an approved key dismissed."""

@@ -25,15 +25,16 @@ def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The first rule (by ``rank``) whose host is the URL's or ends it and whose
     path begins the URL's path.
 
-    A host has few suffixes, so the suffix match is an equi-join on them.
+    A host has few suffixes, so the suffix match is an equi-join on them, of
+    each distinct URL once. URLs without a rule go; repeated rows stay.
     """
     h = host(F.col("url"))
     labels = F.split(h, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    wide = urls.withColumn("_path", path).withColumn("host", F.explode(suffixes))
+    wide = urls.select("url").distinct().withColumn("_path", path).withColumn("host", F.explode(suffixes))
     hit = wide.join(rules, "host").where(F.startswith("_path", "prefix"))
-    return hit.groupBy(*urls.columns).agg(F.min_by("rule", "rank").alias("rule"))
+    return urls.join(hit.groupBy("url").agg(F.min_by("rule", "rank").alias("rule")), "url").select(*urls.columns, "rule")
 
 
 def main_exhibit(links: DataFrame, key: str, kind: str, order: str) -> DataFrame:

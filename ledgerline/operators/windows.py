@@ -97,9 +97,10 @@ def interpolated(spine: DataFrame, keys: list[str], month: str = "month", value:
     """``suggested`` for each row without a value: on the line between the
     nearest values before and after, or the only one of them, to 6 places."""
     w = Window.partitionBy(*keys).orderBy(month)
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # both frames grow by one row at a time; one that shrinks would be read anew for each row
+    before, after = (x.rowsBetween(Window.unboundedPreceding, -1) for x in (w, Window.partitionBy(*keys).orderBy(F.desc(month))))
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(month).alias("m"), F.col(value).alias("v")))
-    a, b = F.last(known, True).over(before), F.first(known, True).over(after)
+    a, b = F.last(known, True).over(before), F.last(known, True).over(after)
     share = F.months_between(month, a["m"]) / F.months_between(b["m"], a["m"])
     line = F.when(a.isNotNull() & b.isNotNull(), a["v"] + (b["v"] - a["v"]) * share).otherwise(F.coalesce(a["v"], b["v"]))
     return spine.withColumn("suggested", F.when(F.col(value).isNull(), F.round(line, 6)))

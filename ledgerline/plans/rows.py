@@ -146,7 +146,7 @@ def first_merge(spark, d):
 _LOG = "SELECT user_id, ts, CASE WHEN event_type IN ('error', 'click') THEN 'failed' ELSE 'done' END AS status FROM events"
 
 
-@query(f"""WITH g AS (SELECT user_id, count(*) FILTER (status = 'failed') AS attempts, arg_max(status, ts) AS last FROM ({_LOG}) GROUP BY ALL)
+@query(f"""WITH g AS (SELECT user_id, count(*) AS attempts, arg_max(status, ts) AS last FROM ({_LOG}) GROUP BY ALL)
     SELECT *, CASE WHEN last = 'failed' AND attempts >= 5 THEN 'dead_letter' ELSE last END AS state FROM g""")
 def event_state_machine(spark, d):
     log = table(spark, d, "events").select("user_id", "ts", F.when(F.col("event_type").isin("error", "click"), "failed").otherwise("done").alias("status"))

@@ -12,9 +12,13 @@ def test_titles_and_dates(spark):
         ("<title>Short</title><h1>A proper long headline</h1>", None),
         ("<p>none</p>", "tiny\nThe first plausible line\n"),
         (None, None),
+        ('<meta content="The other way round" name="twitter:title">', None),
+        ("<h1>A <b>nested</b> headline | </h1>", None),
+        ("<title>" + "long " * 60 + "</title>", None),
+        (None, "Source:\nMay 3, 2024 8:30 am EDT\nThe headline\n"),
     ]
     rows = spark.createDataFrame(pages, "h string, t string").select(html.document_title(F.col("h"), F.col("t")).alias("x")).collect()
-    assert [r["x"] for r in rows] == ["Production update for May", "A proper long headline", "The first plausible line", None]
+    assert [r["x"] for r in rows] == ["Production update for May", "A proper long headline", "The first plausible line", None, "The other way round", "A nested headline", ("long " * 60)[:217].rstrip() + "...", "The headline"]
     dates = ['<meta property="article:published_time" content="2024-05-03T08:00">', '<time datetime="2024-06-01">', "<p>on September 5, 2023 we</p>", "<p>x</p>"]
     got = spark.createDataFrame([(d,) for d in dates], "h string").select(html.published_date(F.col("h")).alias("x")).collect()
     assert [r["x"] for r in got] == [date(2024, 5, 3), date(2024, 6, 1), date(2023, 9, 5), None]

@@ -48,6 +48,8 @@ def test_periods_from_names_and_texts(spark):
     assert one(spark, periods.period_from_filename(F.col("x")), "/a/10-Q 2025-11-04.pdf") == date(2025, 11, 1)
     assert one(spark, periods.period_from_filename(F.col("x")), "/a/Update September 2024.html") == date(2024, 9, 1)
     assert one(spark, periods.period_from_text(F.col("x")), "May 2023. Results for the month of April 2023") == date(2023, 4, 1)
+    assert one(spark, periods.period_from_text(F.col("x")), "Updated April 2024. Results in March 2024 were") == date(2024, 3, 1)
+    assert one(spark, periods.period_from_text(F.col("x")), "May 2024 note. June 2024 mining") == date(2024, 6, 1)
     assert one(spark, periods.months_mentioned(F.col("x")), "May 2023 june 2023 May 2023") == [date(2023, 5, 1), date(2023, 6, 1)]
     assert one(spark, periods.quarterly_document(F.lit("u"), F.col("x")), "First quarter 2024 results") == "2024-Q1"
 

@@ -183,3 +183,16 @@ def test_small_operators(spark):
     assert aggregates.bucketed(df, "v", [0, 2, 3.5], ["lo", "mid", "hi"]).orderBy("bucket").collect()[1]["n"] == 0
     assert merge.insert_new(df, spark.createDataFrame([(2, "n", 1.0, 1), (9, "n", 1.0, 2)], "k int, t string, v double, seq int"), ["k"]).count() == 4
     assert filters.sampled(df, 2, 7, "k").count() == 2
+
+
+def test_as_of_keeps_repeated_rows(spark):
+    left = spark.createDataFrame([(1, "2024-02-01"), (1, "2024-02-01"), (2, "2024-02-01"), (None, None)], "k int, day string")
+    w = spark.createDataFrame([(1, "2024-01-01", "2024-01-31", "a"), (1, "2023-01-01", None, "b")], "k int, start string, end string, cadence string")
+    got = sorted((tuple(r) for r in joins.as_of(left, w, "k", "day", "cadence", "none").collect()), key=str)
+    assert got == [(1, "2024-02-01", "b"), (1, "2024-02-01", "b"), (2, "2024-02-01", "none"), (None, None, "none")]
+
+
+def test_attempts_count_every_run(spark):
+    rows = [(1, s, n) for n, s in enumerate(["failed"] * 4 + ["done", "failed", "queued"])] + [(2, "failed", 0), (2, "done", 1)] + [(3, "failed", n) for n in range(4)]
+    got = {r["k"]: (r["attempts"], r["state"]) for r in merge.attempt_state(spark.createDataFrame(rows, "k int, s string, n int"), "k", "s", "n").collect()}
+    assert got == {1: (6, "dead_letter"), 2: (2, "done"), 3: (4, "failed")}
