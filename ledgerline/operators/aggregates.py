@@ -85,3 +85,15 @@ def pivoted(rows: DataFrame, index: str | list[str], column: str, value: str, na
     """Wide table of given columns, by one aggregation; missing cells null."""
     cell = lambda n: F.max(F.when(F.col(column) == n, F.col(value))).alias(str(n))
     return rows.groupBy(index).agg(*(cell(n) for n in names))
+
+
+def queue_groups(rows: DataFrame, keys: list[str], status: str, created: str, statuses: list[str]) -> DataFrame:
+    """Jobs of each group by status, and when its oldest pending one was made."""
+    counts = [F.count_if(F.col(status) == s).alias(s) for s in statuses]
+    return rows.groupBy(*keys).agg(*counts, F.min(F.when(F.col(status) == "pending", F.col(created))).alias("oldest"))
+
+
+def latest_snapshot(snapshots: DataFrame, key: str, at: str) -> DataFrame:
+    """The last snapshot of each key, and how many it has."""
+    rest = [c for c in snapshots.columns if c != key]
+    return snapshots.groupBy(key).agg(F.count("*").alias("snapshots"), F.max_by(F.struct(*rest), at).alias("_s")).select(key, "snapshots", "_s.*")

@@ -104,3 +104,15 @@ def health(flagged: DataFrame, series: DataFrame, key: str) -> DataFrame:
     gaps = missing_periods(series, [key, "metric"]).groupBy(key).agg(F.count("*").alias("gaps"))
     out = points.join(gaps, key, "left").withColumn("gaps", F.coalesce("gaps", F.lit(0)))
     return out.withColumn("gap_ratio", F.round(F.col("gaps") / (F.col("gaps") + F.col("points")), 4))
+
+
+def evidence(kinds: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Keys with the set ``sources`` of the kinds of evidence that name them.
+
+    Each kind is made distinct before the union, so it moves no repeats.
+    """
+    found = [df.select(*keys).distinct().withColumn("kind", F.lit(name)) for name, df in kinds.items()]
+    union = found[0]
+    for f in found[1:]:
+        union = union.union(f)
+    return union.groupBy(*keys).agg(F.array_sort(F.collect_set("kind")).alias("sources"))

@@ -101,3 +101,9 @@ def chronology(docs: DataFrame, group: str, tier: Column, day: str, key: str) ->
     """Sequence of extraction: source tier, date, id."""
     w = Window.partitionBy(group).orderBy(tier, day, key)
     return docs.withColumn("sequence", F.row_number().over(w))
+
+
+def preferred(docs: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One document per key, the first by ``order`` (a total order)."""
+    rest = [c for c in docs.columns if c not in keys]
+    return docs.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_d")).select(*keys, "_d.*")

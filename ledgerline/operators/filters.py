@@ -91,3 +91,9 @@ def dealt(df: DataFrame, order: str, parts: int, group: str) -> DataFrame:
     """Round-robin part number of each row within its group."""
     w = Window.partitionBy(group).orderBy(order)
     return df.withColumn("part", F.pmod(F.row_number().over(w) - 1, F.lit(parts)))
+
+
+def newest_of(sources: list[DataFrame], order: str, n: int, tie: list[str]) -> DataFrame:
+    """Distinct rows of the ``n`` newest of each source, without ``order``."""
+    parts = [newest(df, order, n, tie).drop(order) for df in sources]
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()

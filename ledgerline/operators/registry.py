@@ -83,3 +83,10 @@ def without_preamble(text: Column) -> Column:
     at = F.locate("UNITED STATES", text)
     tagged = text.rlike(r"^\s*\d{10}\b")
     return F.when(tagged & (at > 0), F.substring(text, at, F.char_length(text))).otherwise(text)
+
+
+def filing_windows(filings: DataFrame, periodic: tuple[str, ...]) -> DataFrame:
+    """First and last filing of each entity, and whether it files periodic forms."""
+    return filings.groupBy("entity").agg(
+        F.min("filed").alias("since"), F.max("filed").alias("until"), F.coalesce(F.bool_or(F.col("form").isin(*periodic)), F.lit(False)).alias("periodic")
+    )

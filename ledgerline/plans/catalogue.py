@@ -1,6 +1,6 @@
 """All queries of the library and the SQL of those that have one."""
 
-from . import more, rows, series
+from . import entries, more, rows, series
 
-QUERIES = series.QUERIES | rows.QUERIES | more.QUERIES
-SQL = series.SQL | rows.SQL | more.SQL
+QUERIES = series.QUERIES | rows.QUERIES | more.QUERIES | entries.QUERIES
+SQL = series.SQL | rows.SQL | more.SQL | entries.SQL
