@@ -28,7 +28,8 @@ def frequent_lengths(texts: list[str | None], path: str, size: int = FREQUENT) -
     encoder = WordEncoder(path)
     found = encoder.pieces(pa.array(texts, pa.string()))
     k1, k2 = found.keys()
-    lens = encoder.length[encoder.find(found, k1, k2)] if len(k1) else np.zeros(0, dtype=np.int64)
+    slots = encoder.find(found, k1, k2)  # may replace the arrays
+    lens = encoder.length[slots]
     first, inverse = distinct(k1, k2)
     best = first[np.argsort(-np.bincount(inverse, minlength=len(first)), kind="stable")[:size]]
     table = PieceTable()

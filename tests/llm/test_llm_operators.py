@@ -129,6 +129,18 @@ def test_counts(corpus, odd, empty, tok):
     assert counts.count_tokens(odd, TOKENIZER).count() == 7 and counts.count_tokens(empty, TOKENIZER).count() == 0
 
 
+def test_frequent_lengths(tok):
+    r = random.Random(3)
+    many = [f"w{i}x" for i in range(40_000)] + ["often", "more's"] * 50
+    r.shuffle(many)
+    table, lens = counts.frequent_lengths([" ".join(many), None], TOKENIZER, 3)
+    k1, k2 = words.Pieces(pa.array(["often more's w1x"])).keys()
+    at = table.find(k1, k2)
+    assert table.n == 3 and (at[:2] >= 0).all()
+    assert lens[at[:2]].tolist() == [len(tok.encode(w, add_special_tokens=False).ids) for w in ("often", "more's")]
+    assert counts.frequent_lengths([], TOKENIZER)[0].n == 0
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_counts_of_other_tokenizers(corpus, name):
     import public_tokenizers
