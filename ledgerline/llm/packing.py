@@ -50,26 +50,34 @@ def priced(weights: np.ndarray, capacity: int) -> list[int]:
     return out
 
 
-def solve(counts: np.ndarray, capacity: int, steps: int = STEPS) -> dict[tuple[int, ...], float]:
-    """A fractional cover of ``counts`` (by length, 0 to capacity)."""
+def solve(counts: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[dict[tuple[int, ...], float], float]:
+    """A fractional cover of ``counts`` (by length, 0 to capacity), and a bound
+    that no cover can be below.
+
+    The weights of a step, over the value of their best configuration, are a
+    solution of the dual program; the bound is the best value that one has.
+    After ``steps`` the cover may be incomplete.
+    """
     there = counts > 0
     covered = np.zeros(capacity + 1)
     size = np.arange(capacity + 1) / capacity
     chosen: dict[tuple[int, ...], float] = {}
     need = np.maximum(counts, 1)
+    bound = 0.0
     for _ in range(min(steps, 4 * int(there.sum()))):
         open_ = there & (covered < counts)
         if not open_.any():
             break
         weights = np.where(open_, size * np.exp(-covered / need), 0.0)
         config = priced(weights, capacity)
+        bound = max(bound, float(weights @ counts) / float(weights[config].sum()))
         lengths, times = np.unique(config, return_counts=True)
         step = float(np.min((counts[lengths] - covered[lengths]) / times)) * 0.6
         step = max(step, min(1.0, float(np.min(counts[lengths] / times))))
         covered[lengths] += step * times
         key = tuple(sorted(config, reverse=True))
         chosen[key] = chosen.get(key, 0.0) + step
-    return chosen
+    return chosen, bound
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -88,7 +96,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         sequences, used[capacity] = int(counts[capacity]), counts[capacity]
     open_runs: dict[int, list[tuple[int, int]]] = {}
     rest = counts - used
-    solution = solve(rest, capacity)
+    solution, _ = solve(rest, capacity)
     for config, share in sorted(solution.items(), key=lambda x: -x[1]):
         lengths, times = np.unique(config, return_counts=True)
         n = min(int(share + 1e-9), int(np.min((rest[lengths]) // times)))
