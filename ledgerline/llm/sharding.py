@@ -10,10 +10,11 @@ numbers the groups of each class, largest first, and looks up their runs.
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,24 @@ def deal(classes: list[tuple[int, int, float]], shards: int) -> list[tuple[int,
     return runs
 
 
+class _Runs:
+    """The runs as arrays, to look up the shards of many groups at once."""
+
+    def __init__(self, runs: list[tuple[int, int, list[int]]]):
+        self.base = min((c for c, _, _ in runs), default=0)
+        runs = sorted(runs, key=lambda r: r[:2])
+        self.first = np.array([r for _, r, _ in runs], dtype=np.int64)
+        self.key = np.array([c - self.base for c, _, _ in runs], dtype=np.int64) << 42 | self.first
+        self.turns = np.array([len(t) for _, _, t in runs], dtype=np.int64)
+        self.start = np.cumsum(self.turns) - self.turns
+        self.shard = np.array([s for _, _, t in runs for s in t], dtype=np.int32)
+
+    def shards(self, size_class: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        rank = rank.astype(np.int64)
+        at = np.searchsorted(self.key, size_class.astype(np.int64) - self.base << 42 | rank, side="right") - 1
+        return self.shard[self.start[at] + (rank - self.first[at]) % self.turns[at]]
+
+
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Place every row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -71,21 +90,11 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     groups = ranked(groups, [F.desc("group_bytes"), F.col("group")], "size_class", "rank")
     totals = groups.groupBy("size_class").agg(F.count("*").alias("n"), F.avg("group_bytes").alias("mean")).collect()
     runs = deal(sorted((r["size_class"], r["n"], r["mean"]) for r in totals), shards)
-    by_class: dict[int, tuple[list[int], list[list[int]]]] = {}
-    for size_class, rank, turn in runs:
-        starts, turns = by_class.setdefault(size_class, ([], []))
-        starts.append(rank)
-        turns.append(turn)
-    shared = spark.sparkContext.broadcast(by_class)
+    shared = spark.sparkContext.broadcast(_Runs(runs))
 
     @F.pandas_udf("int")
-    def shard_of(size_class, rank):
-        def one(c, r):
-            starts, turns = shared.value[c]
-            k = bisect.bisect_right(starts, r) - 1
-            return turns[k][(r - starts[k]) % len(turns[k])]
-
-        return size_class.combine(rank, one).astype("int32")
+    def shard_of(size_class: pd.Series, rank: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.shards(size_class.to_numpy(), rank.to_numpy()), index=rank.index)
 
     placed = groups.select("group", shard_of("size_class", "rank").alias("shard"))
     slotted = ranked(rows.join(placed, "group").drop("group"), [F.col("doc_id")], "shard", "slot")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import heapq
 import json
 import math
 import random
@@ -403,6 +404,24 @@ def test_sharding(corpus, odd, empty):
     assert sharding.shard_documents(odd).count() == 7 and sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_is_as_even_as_plain_scheduling(spark):
+    """Against groups one by one, largest first, to the least-loaded shard; with ties and copies."""
+    r = random.Random(14)
+    rows = [("x" * r.choice([5, 5, 40, r.randint(1, 3000)])) + r.choice("abcdefgh") + str(r.randint(0, 400)) for _ in range(2500)]
+    rows += ["copied " * 20] * 60
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    loads, groups = collections.Counter(), collections.Counter()
+    for row in sharding.shard_documents(docs, 4).collect():
+        loads[row["shard"]] += row["size"]
+    for t in rows:
+        groups[t] += len(t) + 1
+    heap = [0] * 4
+    for size in sorted(groups.values(), reverse=True):
+        heapq.heapreplace(heap, heap[0] + size)
+    assert sum(loads.values()) == sum(heap)
+    assert max(loads.values()) <= max(heap) * 1.005 and min(loads.values()) >= min(heap) * 0.995
+
+
 def test_dealing_is_even():
     r = random.Random(4)
     sizes = sorted((r.randint(1, 10_000) for _ in range(5000)), reverse=True)
