@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import dealt, for_all_parts, hot_keys, measured, shared_folder, stash, whole_row
 
-#: State on disk; without space set aside for each of many small partitions.
+#: State on disk; without space set aside for each of many small partitions, and
+#: closed after each commit, so that an executor holds no more open stores than
+#: it has tasks, however many partitions and runs a session has.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
