@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; bounds what a task holds.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 1_500_000
 #: Pieces that a worker keeps (some 70 bytes each); beyond it the cache starts anew.
 CACHE_WORDS = 1_500_000
 
