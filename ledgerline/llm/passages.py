@@ -10,7 +10,7 @@ in it with the least hash: equal windows have equal anchors, wherever they are.
    recurring anchors, each distinct text once with the least and the greatest
    document that has it here.
 3. A shard confirms which windows occur in several documents, compiles an
-   Aho-Corasick automaton of them (its alphabet are the words of the shard, so
+   Aho-Corasick automaton of them (its letters number the words of the shard, so
    a hit is an exact match), each with the least document that has it, and
    streams the segments of all documents through it.
 4. Every cell reads the hits of its segments, marks the words that they cover
@@ -38,8 +38,8 @@ from .words import _ODD1, _keys, mixed
 CELL_BYTES = 8_000_000
 #: Words whose hash is compared to choose a window's anchor.
 GRAM = 5
-#: Segments of one anchor in one part of it.
-CROWD = 20_000
+#: Segments of one anchor in one part of it, and windows that each is cut to at most.
+CROWD, WINDOWS = 20_000, 9
 #: Stands for a null doc_id, which no other is greater than.
 LAST = np.iinfo(np.int64).max
 
@@ -139,18 +139,28 @@ def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], ends, [len(values)]]) if len(values) else np.zeros(1, np.int64)
 
 
-def _anchors(seg: Segments, shards: int) -> list[tuple[int, np.ndarray]]:
-    """(shard, its distinct anchors in ascending order with documents and counts)."""
+class Anchors(NamedTuple):
+    """The distinct anchors of a cell in ascending order, which of them each
+    segment has, and the places of each shard's anchors."""
+
+    told: np.ndarray
+    which: np.ndarray
+    by_shard: list[tuple[int, np.ndarray]]
+
+
+def _anchors(seg: Segments, shards: int) -> Anchors:
     order, bounds = _grouped(seg.anchor)
     heads = bounds[:-1]
     told = np.zeros(len(heads), _ANCHOR)
+    which = np.zeros(len(order), np.int64)
     if len(heads):
         docs = seg.doc[order]
         told["anchor"], told["n"] = seg.anchor[order[heads]], np.diff(bounds)
         told["lo"], told["hi"] = np.minimum.reduceat(docs, heads), np.maximum.reduceat(docs, heads)
+        which[order] = np.repeat(np.arange(len(heads)), np.diff(bounds))
     shard = _shard_of(told["anchor"], shards)
     order, bounds = _grouped(shard)
-    return [(int(shard[order[a]]), told[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:])]
+    return Anchors(told, which, [(int(shard[order[a]]), order[a:b]) for a, b in zip(bounds[:-1], bounds[1:])])
 
 
 def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -160,7 +170,8 @@ def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 def _tell_anchors(window: int, shards: int, table: pa.Table) -> pa.Table:
     cell = table["cell"][0].as_py()
-    return _messages([(cell, s, _FLAGS, a.tobytes()) for s, a in _anchors(segments_of(words_of(table), window)[0], shards)])
+    found = _anchors(segments_of(words_of(table), window)[0], shards)
+    return _messages([(cell, s, _FLAGS, found.told[at].tobytes()) for s, at in found.by_shard])
 
 
 def _recurring(table: pa.Table) -> pa.Table:
@@ -170,7 +181,8 @@ def _recurring(table: pa.Table) -> pa.Table:
     order, bounds = _grouped(every["anchor"])
     heads = bounds[:-1]
     lo, hi = np.minimum.reduceat(every["lo"][order], heads), np.maximum.reduceat(every["hi"][order], heads)
-    parts = np.where(lo < hi, -(-np.add.reduceat(every["n"][order].astype(np.int64), heads) // CROWD), 0)
+    n = np.add.reduceat(every["n"][order].astype(np.int64), heads)
+    parts = np.where(lo < hi, np.where(n > CROWD, -(-n * WINDOWS // CROWD), 1), 0)
     back = np.empty(len(every), np.int32)
     back[order] = np.repeat(parts, np.diff(bounds))
     ends = np.cumsum([len(t) for t in told])
@@ -192,13 +204,11 @@ class Sent(NamedTuple):
 
 def _sent(w: Words, window: int, shards: int, flags: dict[int, bytes]) -> Sent:
     seg, keys = segments_of(w, window)
-    parts = np.zeros(len(seg.anchor), np.int64)
-    for shard, told in _anchors(seg, shards):
-        answer = np.frombuffer(flags[shard], np.int32)
-        at = np.searchsorted(told["anchor"], seg.anchor)
-        at[at == len(told)] = 0
-        mine = told["anchor"][at] == seg.anchor
-        parts[mine] = answer[at[mine]]
+    found = _anchors(seg, shards)
+    answers = np.zeros(len(found.told), np.int64)
+    for shard, at in found.by_shard:
+        answers[at] = np.frombuffer(flags[shard], np.int32)
+    parts = answers[found.which]
     seg = Segments(*(x[parts > 0] for x in seg))
     parts = parts[parts > 0]
     crowded = parts > 1
@@ -241,23 +251,34 @@ def _tell_segments(window: int, shards: int, docs: pa.Table, flags: pa.Table) ->
     return pa.table(made)
 
 
+#: Letters for each word: two out of few make small nodes, which one out of many doesn't.
+_LETTERS = 2
+
+
 def _letters(texts: pa.Array) -> list[str]:
-    """Each text as a string with one letter for each word, equal for equal words."""
+    """Each text as a string with two letters for each word, equal for equal words.
+
+    The first and the second letters come from different alphabets, so that no
+    match begins inside a word.
+    """
     words = pc.split_pattern(texts, " ")
-    codes = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype("<u4") + 1
+    coded = words.flatten().dictionary_encode()
+    ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    base = int(np.ceil(np.sqrt(len(coded.dictionary)))) + 1
+    codes = np.stack([ids // base, base + ids % base], axis=1).ravel().astype("<u4") + 1
     codes[codes >= 0xD800] += 0x800  # these are no characters
     said = codes.tobytes().decode("utf-32-le")
-    ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False)).tolist()
+    ends = (np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False)) * _LETTERS).tolist()
     return [said[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _owners(window: int, texts: list[str], lo: list[int], hi: list[int]) -> dict[str, int]:
     """Windows that occur in several documents, each with the least of them."""
-    least, several = {}, {}
+    least, several, size = {}, {}, window * _LETTERS
     for k in np.argsort(lo, kind="stable").tolist():
         said, a, b = texts[k], lo[k], hi[k]
-        for i in range(len(said) - window + 1):
-            part = said[i : i + window]
+        for i in range(0, len(said) - size + 1, _LETTERS):
+            part = said[i : i + size]
             owner = least.setdefault(part, a)
             if owner < b:
                 several[part] = owner
@@ -287,12 +308,13 @@ def _locate(window: int, table: pa.Table) -> pa.Table:
         for k in range(k, k + n):
             run = None
             for end, owner in automaton.iter(texts[k]):
+                first = (end + 1) // _LETTERS - window
                 if owner >= hi[k]:
                     continue
-                if run and run[2] == end - window and run[3] == owner:
-                    run[2] += 1
+                if run and run[2] == first - 1 and run[3] == owner:
+                    run[2] = first
                 else:
-                    run = [at[k], end - window + 1, end - window + 1, owner]
+                    run = [at[k], first, first, owner]
                     hits.append(run)
         k += 1
         if hits:
