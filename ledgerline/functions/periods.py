@@ -39,6 +39,7 @@ def normalize_period(raw: Column, fiscal_year_end: Column | int = 12) -> Column:
     A quarter gives its first month, a fiscal year its last (clamped to 1-12).
     """
     raw = F.trim(raw)
+    # The six accepted ways to write a period.
     end = fiscal_year_end if isinstance(fiscal_year_end, Column) else F.lit(fiscal_year_end)
     plain, quarter, of_quarter = r"^(\d{4})-(\d{2})(-\d{2})?$", r"^(\d{4})[- ]?[Qq]([1-4])$", r"^[Qq]([1-4])\s+(\d{4})$"
     fiscal, named, named_late = r"(?i)^(?:FY)?(\d{4})(?:-FY)?$", r"^([A-Za-z]+)[,\s]+(\d{4})$", r"^(\d{4})\s+([A-Za-z]+)$"
@@ -128,23 +129,45 @@ def period_from_filename(path: Column) -> Column:
     return F.coalesce(_first_of(_pick(name, iso, 1), _pick(name, iso, 2).cast("int")), _named_month(name, rf"(?i)({_NAMES})\s+(\d{{4}})"))
 
 
+#: Words before a month, and words after it; the surest first.
+PERIOD_PHRASES = (
+    rf"(?i)(?:for\s+the\s+month\s+of|during|in)\s+({_NAMES})\s+(\d{{4}})",
+    rf"(?i)({_NAMES})\s+(\d{{4}})\s+(?:production|mining|bitcoin|btc|results)",
+    rf"(?i)({_NAMES})\s+(\d{{4}})",
+)
+
+
 def period_from_text(text: Column, opening: int = 3000) -> Column:
     """Month that the opening of a text is about, the surest phrase first."""
     head = F.substring(text, 1, opening)
-    # Words before a month, and words after it.
-    phrases = (
-        rf"(?i)(?:for\s+the\s+month\s+of|during|in)\s+({_NAMES})\s+(\d{{4}})",
-        rf"(?i)({_NAMES})\s+(\d{{4}})\s+(?:production|mining|bitcoin|btc|results)",
-        rf"(?i)({_NAMES})\s+(\d{{4}})",
+    return F.coalesce(*(_named_month(head, p) for p in PERIOD_PHRASES))
+
+
+def undated_period(path: Column, body: Column) -> Column:
+    """(period, confidence, method) of a file without a date: its name, else the
+    visible text of an HTML file, else nothing is found."""
+    named = F.coalesce(period_from_filename(path), F.when(F.lower(path).endswith(".html"), period_from_text(body)))
+    return F.struct(
+        named.alias("period"),
+        F.when(named.isNotNull(), 0.85).otherwise(0.0).alias("confidence"),
+        F.when(named.isNotNull(), "rule_based").otherwise("not_found").alias("method"),
     )
-    return F.coalesce(*(_named_month(head, p) for p in phrases))
+
+
+def slug_period(url: Column) -> Column:
+    """Month of a URL whose slug says ``announces-month-year``; of several the
+    first that is a month's full name."""
+    pattern = r"(?i)announces-([a-z]+)-(\d{4})(?:-|$)"
+    found = F.transform(F.regexp_extract_all(url, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lower(F.regexp_extract(x, pattern, 1)).alias("name"), F.regexp_extract(x, pattern, 2).alias("year")))
+    first = F.get(F.filter(found, lambda m: m["name"].rlike(rf"^(?:{_NAMES})$")), F.lit(0))
+    return _first_of(first["year"], month_number(first["name"]))
 
 
 def months_mentioned(text: Column) -> Column:
-    """Distinct ``month year`` phrases of a text as first days, in order."""
+    """Distinct ``month year`` phrases of a text as first days, ascending."""
     found = F.regexp_extract_all(text, F.lit(rf"(?i)(?:{_NAMES})\s+\d{{4}}"), F.lit(0))
     days = F.transform(found, lambda x: _first_of(F.regexp_extract(x, r"(\d{4})", 1), month_number(F.regexp_extract(x, r"^([A-Za-z]+)", 1))))
-    return F.array_distinct(F.filter(days, lambda d: d.isNotNull()))
+    return F.array_sort(F.array_distinct(F.filter(days, lambda d: d.isNotNull())))
 
 
 def months_within(text: Column, now: Column, back: int = 24, ahead: int = 6) -> Column:
@@ -152,10 +175,17 @@ def months_within(text: Column, now: Column, back: int = 24, ahead: int = 6) ->
     return F.filter(months_mentioned(text), lambda d: d.between(F.add_months(F.trunc(now, "MM"), -back), F.add_months(F.trunc(now, "MM"), ahead)))
 
 
-def corrected_period(text: Column, title_period: Column, most: int = 2) -> Column:
-    """The first month in a text that differs from its title's, if near enough."""
-    other = F.get(F.filter(months_mentioned(text), lambda d: d != title_period), F.lit(0))
-    return F.when(F.abs(F.months_between(other, title_period)) <= most, other).otherwise(title_period)
+def corrected_period(text: Column, title_period: Column, opening: int = 3000) -> Column:
+    """The month that the opening of a text reports on, where it is another than
+    its title's, else the title's. Only phrases that say so count (never a bare
+    month); of the surest kind that names another month, the first."""
+    head = F.substring(text, 1, opening)
+
+    def other(pattern: str) -> Column:
+        days = F.transform(F.regexp_extract_all(head, F.lit(pattern), F.lit(0)), lambda x: _named_month(x, pattern))
+        return F.get(F.filter(days, lambda d: d.isNotNull() & ~d.eqNullSafe(title_period)), F.lit(0))
+
+    return F.coalesce(*(other(p) for p in PERIOD_PHRASES[:2]), title_period)
 
 
 def quarterly_document(url: Column, text: Column) -> Column:

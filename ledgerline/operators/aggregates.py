@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,40 +34,10 @@ def top_terms(docs: DataFrame, text: str, stop: list[str], n: int, pattern: str
     return words.where(~F.col("word").isin(*stop)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(n)
 
 
-def ngrams(words: Column, size: int) -> Column:
-    """All runs of ``size`` words, joined by spaces.
-
-    The list is laid beside itself shifted, so that it is evaluated ``size``
-    times for a row and not for every word.
-    """
-    n = F.greatest(F.size(words) - size + 1, F.lit(0))
-    shifted = [F.slice(words, k + 1, n) for k in range(size)]
-    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), shifted)
-
-
-def frequent_ngrams(docs: DataFrame, text: str, size: int | tuple[int, ...] = (3, 4), least: int = 2) -> DataFrame:
-    """N-grams of one size or several with digits masked as X that come at least ``least`` times."""
-    sizes = (size,) if isinstance(size, int) else size
-    masked = F.regexp_replace(F.lower(text), "[0-9]", "X")
-    words = F.filter(F.split(masked, r"\s+"), lambda w: w != "")
-    grams = docs.select(F.explode(F.concat(*(ngrams(words, k) for k in sizes))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-
-
-def line_templates(docs: DataFrame, text: str, least: int = 2, columnar: bool = True) -> DataFrame:
-    """Table lines (with a pipe, or if ``columnar`` with a number after a wide
-    gap) with numbers masked, by frequency."""
-    line = F.regexp_replace("line", r"^\s+|\s+$", "")
-    # Of word characters, three blanks and digits, the last six before the digit decide.
-    table = F.col("line").contains("|") | (F.lit(columnar) & line.rlike(r"[\p{L}\p{N}_\s]{3}\s{3}[\p{Nd},]"))
-    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).where(table)
-    mask = F.regexp_replace(F.trim("line"), r"[0-9]+(?:[.,][0-9]+)*", "X")
-    return lines.groupBy(mask.alias("template")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-
-
 def clustered(hits: DataFrame, most: int = 5) -> DataFrame:
     """Hits (metric, text, signal, report) by masked pattern: any found, the
-    longest example, frequency, reports; the ``most`` frequent per metric."""
+    longest example, frequency, reports; at most ``most`` per metric, found
+    before missed, then the more frequent."""
     masked = F.regexp_replace("text", "[0-9]+", "#")
     groups = hits.groupBy("metric", masked.alias("pattern")).agg(
         F.max((F.col("signal") == "found").cast("int")).alias("found"),
@@ -78,7 +46,7 @@ def clustered(hits: DataFrame, most: int = 5) -> DataFrame:
         F.countDistinct("report").alias("reports"),
     )
     ident = F.substring(F.sha2(F.concat_ws(":", "metric", "pattern"), 256), 1, 8)
-    return best(groups.withColumn("id", ident), ["metric"], [F.desc("n"), F.col("pattern")], most)
+    return best(groups.withColumn("id", ident), ["metric"], [F.desc("found"), F.desc("n"), F.col("pattern")], most)
 
 
 def pivoted(rows: DataFrame, index: str | list[str], column: str, value: str, names: list) -> DataFrame:

@@ -98,6 +98,38 @@ def median_cadence(dates: DataFrame, key: str, day: str) -> DataFrame:
     )
 
 
+def cadence_windows(companies: DataFrame, dates: DataFrame, filers: DataFrame, as_of: Column) -> DataFrame:
+    """(entity, cadence, start, confidence, evidence) of each company, open ended.
+
+    The first rule that holds: event-driven companies, and those read by index
+    without dates, announce; four dates or more with a median gap of up to 45
+    days (from 70) are monthly (quarterly); those with quarterly or annual
+    filings are quarterly; else monthly. ``companies`` has (entity, mode,
+    event_driven, start_year); where the year is null the first date's counts
+    under the second rule and that of ``as_of`` under the others. ``dates``
+    (entity, day) may repeat; null days don't count. ``filers`` (entity).
+    """
+    w = Window.partitionBy("entity").orderBy("day")
+    gaps = dates.where("day is not null").select("entity", "day", F.datediff("day", F.lag("day").over(w)).alias("gap"))
+    seen = gaps.groupBy("entity").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.median("gap").alias("gap"))
+    filed = filers.select("entity").distinct().withColumn("filed", F.lit(True))
+    rows = companies.join(seen, "entity", "left").join(filed, "entity", "left")
+    known, gap = F.coalesce("n", F.lit(0)), F.col("gap")
+    said = F.concat(F.lit("median_interval_days="), F.format_string("%.1f", "gap"))
+    rule = lambda cadence, trust, why, year: F.struct(F.lit(cadence).alias("cadence"), F.lit(trust).alias("confidence"), why.alias("evidence"), year.alias("year"))
+    now = F.year(as_of)
+    choice = (
+        F.when(F.col("event_driven") | ((F.lower(F.coalesce("mode", F.lit(""))) == "index") & (known == 0)), rule("announcement", 0.9, F.lit("index_mode_event_driven_profile"), now))
+        .when((known >= 4) & (gap <= 45), rule("monthly", 0.85, said, F.year("first")))
+        .when((known >= 4) & (gap >= 70), rule("quarterly", 0.85, said, F.year("first")))
+        .when(F.coalesce("filed", F.lit(False)), rule("quarterly", 0.7, F.lit("edgar_quarterly_forms_present"), now))
+        .otherwise(rule("monthly", 0.6, F.lit("fallback_default_monthly"), now))
+    )
+    chosen = rows.select("entity", "start_year", choice.alias("c"))
+    start = F.make_date(F.coalesce("start_year", F.col("c.year")), F.lit(1), F.lit(1))
+    return chosen.select("entity", "c.cadence", start.alias("start"), "c.confidence", "c.evidence")
+
+
 def health(flagged: DataFrame, series: DataFrame, key: str) -> DataFrame:
     """One row per key: points, outliers, missing months and gap ratio."""
     points = flagged.groupBy(key).agg(F.count("*").alias("points"), F.count_if("is_outlier").alias("outliers"))

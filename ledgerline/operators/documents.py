@@ -71,6 +71,47 @@ def packed_chunks(chunks: DataFrame, key: str, order: str, keywords: list[str],
     return rows.withColumn("used", F.least(F.char_length("text").cast("long"), budget - F.col("before"))).drop("before")
 
 
+def chunk_windows(chunks: DataFrame, key: str, order: str, text: str, keywords: list[str], budget: int, most: int = 3) -> DataFrame:
+    """(key, window, text): the chunks of a document in windows of at most
+    ``budget`` characters, ``most`` windows, those with most keywords first.
+
+    Chunks are taken by their keyword hits, ties by ``order``. A chunk that
+    doesn't fit fills the window up and closes it; what is cut off it is not
+    read again, unless the first window had no room left at all, then the chunk
+    begins the next one. Chunks of a window are parted by blank lines, which
+    count only when the window is cut to the budget. Null texts are empty.
+    """
+    said = F.coalesce(F.col(text), F.lit(""))
+    low = F.lower(said)
+    hits = sum(((F.char_length(low) - F.char_length(F.replace(low, F.lit(k), F.lit("")))) / len(k) for k in keywords), F.lit(0)).cast("long")
+    listed = F.array_sort(F.collect_list(F.struct((-hits).alias("down"), F.col(order).alias("order"), said.alias("text"))))
+    closed = lambda parts: F.substring(F.array_join(parts, "\n\n"), 1, budget)
+    none = F.array().cast("array<string>")
+    state = lambda windows, parts, used, first: F.struct(windows.alias("windows"), parts.alias("parts"), used.alias("used"), first.alias("first"))
+
+    def step(s: Column, c: Column) -> Column:
+        text, n = c["text"], F.char_length(c["text"])
+        room = F.lit(budget) - s["used"]
+        filled = F.when(room > 0, F.array_append(s["parts"], F.substring(text, F.lit(1), room))).otherwise(s["parts"])
+        begun = F.array_append(s["windows"], closed(s["parts"]))
+        alone = F.size(begun) < most
+        return (
+            F.when(~s["first"] & (F.size(s["windows"]) >= most), s)
+            .when(n <= room, state(s["windows"], F.array_append(s["parts"], text), s["used"] + n, s["first"]))
+            .when(~s["first"] | (room > 0), state(F.array_append(s["windows"], closed(filled)), none, F.lit(0), F.lit(False)))
+            .when(alone & (n > budget), state(F.array_append(begun, F.substring(text, F.lit(1), F.lit(budget))), none, F.lit(0), F.lit(False)))
+            .otherwise(state(begun, F.when(alone, F.array(text)).otherwise(none), F.when(alone, n).otherwise(0), F.lit(False)))
+        )
+
+    def finish(s: Column) -> Column:
+        rest = s["first"] | ((F.size(s["parts"]) > 0) & (F.size(s["windows"]) < most))
+        return F.when(rest, F.array_append(s["windows"], closed(s["parts"]))).otherwise(s["windows"])
+
+    packed = chunks.groupBy(key).agg(listed.alias("_chunks"))
+    windows = F.aggregate("_chunks", state(none, none, F.lit(0), F.lit(True)), step, finish)
+    return packed.select(key, F.posexplode(windows).alias("window", "text"))
+
+
 def prompts(blocks: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """One text per key: its non-empty blocks in order, blank lines between."""
     kept = blocks.where(F.coalesce(F.trim(text), F.lit("")) != "")

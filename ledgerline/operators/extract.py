@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsonfix import mended_json
 from ..functions.periods import covered_months
-from ..functions.text import has_any, parse_number
+from ..functions.text import first_position, has_any, parse_hashrate, parse_number
 from .filters import ladder
 
 #: Trust in a value below which it goes to review; window sizes.
@@ -22,11 +23,14 @@ def gate(docs: DataFrame, text: str, phrases: list[str]) -> DataFrame:
 
 
 def sliding_windows(docs: DataFrame, key: str, text: str, budget: int = MONTHLY_BUDGET) -> DataFrame:
-    """Up to three windows of ``budget`` characters, each a quarter into the one before."""
+    """Up to three windows of ``budget`` characters: the start, one that begins a
+    quarter before the first ends (if the text is longer than the first), and
+    what follows that. Null and empty texts give none."""
     n = F.char_length(text)
     window = lambda k, at: F.struct(F.lit(k).alias("window"), F.substring(text, at + 1, budget).alias("text"))
-    starts = [0, budget * 3 // 4, budget * 7 // 4]
-    windows = F.filter(F.array(*(F.when((n > at) if at else F.lit(True), window(k, at)) for k, at in enumerate(starts))), lambda w: w.isNotNull())
+    second = budget - budget // 4
+    places = ((0, 0, 0), (1, second, budget), (2, second + budget, second + budget))  # window, start, characters that it takes more than
+    windows = F.filter(F.array(*(F.when(n > more, window(k, at)) for k, at, more in places)), lambda w: w.isNotNull())
     return docs.select(key, F.explode(windows).alias("w")).select(key, "w.*")
 
 
@@ -56,19 +60,39 @@ def route(protected: Column, no_data: Column, fits: Column, outlier: Column, tru
     )
 
 
+def table_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, label, value) of pipe rows with two cells or more: the first
+    cell that isn't empty, and the first such cell after it."""
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).where(F.col("line").contains("|"))
+    filled = F.filter(F.transform(F.split("line", r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+    return lines.select(key, "line_no", F.get(filled, F.lit(0)).alias("label"), F.get(filled, F.lit(1)).alias("value")).where("value is not null")
+
+
 def table_values(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, label, value) of pipe rows: the first cell, and the first later
-    one that holds a number."""
+    """(key, line_no, label, value) of pipe rows: the first cell, and the number
+    in the first later one that holds one, however many cells there are."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).where(F.col("line").contains("|"))
     cells = F.transform(F.split("line", r"\|"), lambda c: F.trim(c))
-    numbers = F.filter(F.transform(F.slice(cells, 2, 1000), parse_number), lambda x: x.isNotNull())
+    numbers = F.filter(F.transform(F.slice(cells, F.lit(2), F.size(cells)), parse_number), lambda x: x.isNotNull())
     return lines.select(key, "line_no", F.get(cells, F.lit(0)).alias("label"), F.get(numbers, F.lit(0)).alias("value")).where("value is not null")
 
 
+def metric_values(cells: DataFrame, aliases: DataFrame, units: dict[str, str] | None = None) -> DataFrame:
+    """Rows of ``table_cells`` whose label is a metric's, with its score and the
+    number in the value. Of hash rates the value may lack the unit; it is then
+    that of ``units``."""
+    from .labels import best_metric
+
+    found = cells.join(best_metric(cells.select("label"), aliases).select("label", "metric", "score"), "label")
+    rate = F.coalesce(parse_hashrate(F.col("value")), parse_hashrate(F.concat("value", F.lit(" EH/s"))))
+    is_rate = F.col("metric").isin([m for m, u in (units or {}).items() if u == "EH/s"])
+    return found.withColumn("number", F.when(is_rate, rate).otherwise(parse_number(F.col("value")))).where("number is not null")
+
+
 def parse_responses(rows: DataFrame, key: str, raw: str, ranges: DataFrame, default: float = 0.5) -> DataFrame:
     """(key, metric, value, confidence) of JSON answers wrapped in any text:
-    numbers in the metric's range, confidence clamped."""
-    body = F.regexp_extract(raw, r"(\{[\s\S]*\})", 1)
+    numbers in the metric's range, confidence clamped. Broken JSON is mended."""
+    body = mended_json(F.col(raw))
     parsed = F.from_json(body, "map<string, struct<value: string, confidence: string>>")
     flat = rows.select(key, F.explode(parsed).alias("metric", "r"))
     flat = flat.select(key, "metric", F.col("r.value").try_cast("double").alias("value"), F.coalesce(F.col("r.confidence").try_cast("double"), F.lit(default)).alias("c"))
@@ -102,20 +126,47 @@ def review_precedence(items: DataFrame, reports: DataFrame, monthly: DataFrame)
     return items.join(pending, "id", "left").join(covered, "id", "left").withColumn("precedence", state).drop("pending", "covered")
 
 
-def quarterly_window(docs: DataFrame, key: str, text: str, header: str, phrases: list[str], budget: int = QUARTERLY_BUDGET, least: int = 300, lead: int = 500) -> DataFrame:
-    """(key, start, text): where to read a long filing. At the first ``header``
-    with ``least`` characters before the next one (so not in a table of
-    contents), else ``lead`` characters before the first phrase, else the start.
+#: Headers of the section to read, the surest first; phrases that
+#: come with figures; the least length of a section that is not a line of the
+#: table of contents; characters before a header, and before a phrase.
+SECTION_HEADERS = (r"(?i)\bitem\s+7[.\s]", r"(?i)\bitem\s+2[.\s]", r"(?i)management['\u2019]?s\s+discussion")
+DATA_PHRASES = (
+    "bitcoin mined", "btc mined", "bitcoin produced", "btc produced", "bitcoin we mined", "bitcoin production",
+    "hash rate", "hashrate", "exahash", "bitcoin holdings", "btc holdings", "total bitcoin",
+)
+LEAST_SECTION, BEFORE_HEADER, BEFORE_PHRASE = 300, 200, 500
+
+
+def _section_start(text: Column, header: str) -> Column:
+    """0-based place of the first match whose section is long enough, or null.
+
+    A section ends at the next ``Item n`` that starts ten characters or more
+    after its header does.
+    """
+    parts = F.split(text, f"(?={header})", -1)
+    step = lambda s, p: F.struct((s["at"] + F.char_length(p)).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts"))
+    starts = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step)["starts"]
+    rest = lambda at: F.substring(text, at + 11, F.lit(1 << 30))
+    length = lambda at: F.coalesce(first_position(rest(at), r"(?i)\bitem\s+\d"), F.char_length(rest(at)))
+    headed = F.filter(starts, lambda at: (at > 0) | text.rlike(f"^(?:{header})"))
+    return F.get(F.filter(headed, lambda at: length(at) >= LEAST_SECTION), F.lit(0))
+
+
+def quarterly_window(docs: DataFrame, key: str, text: str, headers: tuple[str, ...] = SECTION_HEADERS, phrases: tuple[str, ...] = DATA_PHRASES, budget: int = QUARTERLY_BUDGET) -> DataFrame:
+    """(key, start, strategy, text): where to read a long filing.
+
+    ``mda_header``: a little before the first header of the surest kind with a
+    section of its own, ``keyword_seek``: before the first phrase, ``start``:
+    the beginning. Null texts are empty.
     """
     rows = docs.select(key, F.coalesce(text, F.lit("")).alias("text"))
-    parts = rows.select(key, F.posexplode(F.split("text", f"(?={header})")).alias("n", "part"))
-    before = F.coalesce(F.sum(F.char_length("part")).over(Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    headed = parts.withColumn("at", before.cast("int")).where(F.col("part").rlike(f"^(?:{header})") & (F.char_length("part") >= least))
-    first = headed.groupBy(key).agg(F.min("at").alias("at"))
-    places = [F.when(F.locate(p.lower(), F.lower("text")) > 0, F.locate(p.lower(), F.lower("text")) - 1) for p in phrases]
-    phrase = F.greatest(F.lit(0), (F.least(*places) if len(places) > 1 else places[0]) - lead) if places else F.lit(None).cast("int")
-    start = F.coalesce("at", phrase, F.lit(0))
-    return rows.join(first, key, "left").select(key, start.alias("start"), F.substring("text", start + 1, F.lit(budget)).alias("text"))
+    header = F.coalesce(*(_section_start(F.col("text"), h) for h in headers))
+    low = F.lower("text")
+    phrase = F.least(*(F.nullif(F.locate(p, low), F.lit(0)) for p in phrases)) - 1
+    placed = rows.select("*", header.alias("header"), phrase.alias("phrase"))
+    start = F.greatest(F.lit(0), F.coalesce(F.col("header") - BEFORE_HEADER, F.col("phrase") - BEFORE_PHRASE, F.lit(0)))
+    strategy = F.when(F.col("header").isNotNull(), "mda_header").when(F.col("phrase").isNotNull(), "keyword_seek").otherwise("start")
+    return placed.select(key, start.alias("start"), strategy.alias("strategy"), F.substring("text", start + 1, F.lit(budget)).alias("text"))
 
 
 def broad_values(rows: DataFrame, key: str, raw: str, synonyms: DataFrame, default_category: str = "other") -> DataFrame:

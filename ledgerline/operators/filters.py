@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import period_sort_key
@@ -88,9 +88,11 @@ def sampled(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, order: str, parts: int, group: str) -> DataFrame:
-    """Round-robin part number of each row within its group."""
-    w = Window.partitionBy(group).orderBy(order)
-    return df.withColumn("part", F.pmod(F.row_number().over(w) - 1, F.lit(parts)))
+    """Round-robin part number of each row within its group, which may span many tasks."""
+    from .windows import numbered
+
+    placed = numbered(df, group, [order], "_place")
+    return placed.withColumn("part", F.pmod("_place", F.lit(parts))).drop("_place")
 
 
 def newest_of(sources: list[DataFrame], order: str, n: int, tie: list[str]) -> DataFrame:

@@ -5,14 +5,9 @@ Sides are never broadcast by hint: Spark does it by size.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases that a dictionary of the configuration may have.
-MOST_PHRASES = 1_000
-
 
 def with_counts(left: DataFrame, right: DataFrame, keys: list[str], counted: dict[str, Column]) -> DataFrame:
     """``left`` with aggregates of ``right`` by key, 0 where there is no row.
@@ -60,34 +55,10 @@ def within_days(left: DataFrame, right: DataFrame, key: str, left_day: str, righ
     return a.join(b, [key, "_bucket"]).withColumn("distance", gap).where(F.col("distance") <= days).drop("_bucket")
 
 
-def near_by_hamming(hashes: DataFrame, key: str, group: str, simhash: str, threshold: int = 3) -> DataFrame:
-    """Pairs (key_a, key_b) of one group whose 64-bit hashes differ in at most
-    ``threshold`` (3 at most) bits.
-
-    Two such hashes agree in one of four 16-bit bands, so an equi-join on
-    (group, band number, band) finds them all. Equal hashes are joined once, by
-    their smallest key, so that copies don't multiply.
-    """
-    if threshold > 3:
-        raise ValueError("four bands guarantee at most 3 differing bits")
-    nodes = hashes.groupBy(group, simhash).agg(F.min(key).alias("_key"))
-    band = lambda k: F.shiftrightunsigned(simhash, 16 * k).bitwiseAND(F.lit(0xFFFF))
-    bands = F.array(*(F.struct(F.lit(k).alias("n"), band(k).alias("bits")) for k in range(4)))
-    banded = nodes.select(group, simhash, "_key", F.explode(bands).alias("band"))
-    a, b = banded.alias("a"), banded.alias("b")
-    close = F.bit_count(F.col(f"a.{simhash}").bitwiseXOR(F.col(f"b.{simhash}"))) <= threshold
-    same = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.band") == F.col("b.band")) & (F.col("a._key") < F.col("b._key"))
-    return (
-        a.join(b, same & close)
-        .select(F.col("a._key").alias("key_a"), F.col("b._key").alias("key_b"), F.bit_count(F.col(f"a.{simhash}").bitwiseXOR(F.col(f"b.{simhash}"))).alias("distance"))
-        .distinct()
-    )
-
-
 def near_members(hashes: DataFrame, pairs: DataFrame, key: str, group: str, simhash: str) -> DataFrame:
     """Every row of ``hashes`` with the class of its (group, simhash):
     ``representative`` is the smallest key of the class, as in the ``pairs`` of
-    ``near_by_hamming``, and ``near`` the number of other rows of its group
+    ``nearhash.near_by_hamming``, and ``near`` the number of other rows of its group
     within the threshold, distance 0 included. Rows without a group or hash are near none.
 
     Rows are counted by class and then by pair of classes, so nothing fans out.
@@ -103,22 +74,6 @@ def near_members(hashes: DataFrame, pairs: DataFrame, key: str, group: str, simh
     return hashes.join(classes, same, "left").select(*hashes.columns, "representative", F.coalesce("near", F.lit(0)).alias("near"))
 
 
-def attributed(rows: DataFrame, phrases: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows whose text holds exactly one phrase (and none of its ``excludes``).
-
-    ``phrases`` is a dictionary (phrase, excludes, rank) of the configuration.
-    All of it is one array beside each row, so no row meets phrases that it
-    doesn't hold; more than ``MOST_PHRASES`` are refused.
-    """
-    listed = phrases.select("phrase", "excludes", "rank").limit(MOST_PHRASES + 1).collect()
-    if len(listed) > MOST_PHRASES:
-        raise ValueError(f"over {MOST_PHRASES} phrases")
-    low = F.lower(text)
-    one = lambda r: low.contains(r["phrase"].lower()) & ~reduce(lambda a, b: a | b, (low.contains(x.lower()) for x in r["excludes"]), F.lit(False))
-    hits = F.array_compact(F.array(*(F.when(one(r), F.struct(F.lit(r["phrase"]).alias("phrase"), F.lit(r["rank"]).alias("rank"))) for r in listed)))
-    return rows.withColumn("_hits", hits).where(F.size("_hits") == 1).select(key, F.col("_hits")[0]["phrase"].alias("phrase"), F.col("_hits")[0]["rank"].alias("rank"))
-
-
 def by_cover(documents: DataFrame, months: DataFrame) -> DataFrame:
     """(entity, month) rows matched to documents of the month, its quarter or year.
 

@@ -70,7 +70,7 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
     runs = laid.groupBy("_part", group).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     shift = runs.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
-    joined = laid.join(F.broadcast(shift), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    joined = laid.join(shift, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
     return joined.select(*rows.columns, (F.col("_place") + F.col("_shift")).alias(name))
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html, periods, text
-from ..operators import aggregates, config, coverage, documents, extract, filters, joins, merge, registry
+from ..operators import aggregates, config, coverage, documents, extract, filters, joins, merge, registry, windows
 from ..sources import files
 from .views import OBS, observations, table
 
@@ -65,12 +65,11 @@ def _mixed(spark, d):
     return table(spark, d, "orders").select("o_orderkey", period.alias("period"), F.trunc(day, "MM").alias("month"))
 
 
-@query(f"""SELECT o_orderkey, CAST(y AS INTEGER) AS year, CAST(CASE k WHEN 0 THEN m WHEN 1 THEN q * 3 ELSE 12 END AS INTEGER) AS month, CAST(k = 2 AS INTEGER) AS annual
-    FROM ({_MIXED}) ORDER BY year, month, annual, o_orderkey LIMIT 200""")
+@query(f"""SELECT o_orderkey, CAST(y AS INTEGER) AS year, CAST(CASE k WHEN 0 THEN m WHEN 1 THEN q * 3 ELSE 12 END AS INTEGER) AS month, CAST(k = 2 AS INTEGER) AS annual,
+    row_number() OVER (ORDER BY year, month, annual, o_orderkey) - 1 AS place FROM ({_MIXED})""")
 def mixed_period_sort(spark, d):
-    key = periods.period_sort_key(F.col("period"))
-    rows = _mixed(spark, d).withColumn("k", key)
-    return rows.orderBy("k", "o_orderkey").limit(200).select("o_orderkey", "k.year", "k.month", "k.annual")
+    rows = _mixed(spark, d).withColumns({"k": periods.period_sort_key(F.col("period")), "all": F.lit(0)})
+    return windows.numbered(rows, "all", ["k", "o_orderkey"], "place").select("o_orderkey", "k.year", "k.month", "k.annual", "place")
 
 
 @query(f"""SELECT o_orderkey, CAST(CASE k WHEN 0 THEN NULL WHEN 1 THEN make_date(y, (q - 1) * 3 + p + 1, 1) ELSE make_date(y, p + 1, 1) END AS DATE) AS month
@@ -122,11 +121,11 @@ def quarterly_documents(spark, d):
     return table(spark, d, "orders").select("o_orderkey", periods.quarterly_document(url, said).alias("period"))
 
 
-@query("""SELECT o_orderkey, CAST(CASE o_orderkey % 2 WHEN 0 THEN 1 ELSE 2 END AS BIGINT) AS n, CAST(date_trunc('month', o_orderdate) AS DATE) AS first FROM orders""")
+@query("""SELECT o_orderkey, CAST(CASE o_orderkey % 2 WHEN 0 THEN 1 ELSE 2 END AS BIGINT) AS n, CAST(date_trunc('month', o_orderdate) - CASE o_orderkey % 2 WHEN 0 THEN INTERVAL 0 MONTH ELSE INTERVAL 3 MONTH END AS DATE) AS first FROM orders""")
 def months_named(spark, d):
     """Months of a text with one or two distinct month phrases, one of them twice."""
     named = F.date_format("o_orderdate", "MMMM yyyy")
-    other = F.when(F.col("o_orderkey") % 2 == 0, named).otherwise(F.date_format(F.add_months("o_orderdate", 3), "MMMM yyyy"))
+    other = F.when(F.col("o_orderkey") % 2 == 0, named).otherwise(F.date_format(F.add_months("o_orderdate", -3), "MMMM yyyy"))
     found = periods.months_mentioned(F.concat(named, F.lit(" to "), other, F.lit(", again "), named))
     return table(spark, d, "orders").select("o_orderkey", F.size(found).cast("long").alias("n"), F.get(found, F.lit(0)).alias("first"))
 
@@ -356,11 +355,15 @@ def cover_match(spark, d):
     return joins.by_cover(docs, months).select("entity", "month", "doc")
 
 
-@query("""WITH h AS (SELECT event_type AS metric, regexp_replace('seen ' || CAST(user_id AS VARCHAR) || ' of ' || event_type, '[0-9]+', '#', 'g') AS pattern, CAST(user_id AS VARCHAR) AS u, event_id, value FROM events)
-    SELECT metric, pattern, CAST(max(CAST(value > 20 AS INTEGER)) AS INTEGER) AS found, count(*) AS n, count(DISTINCT event_id) AS reports FROM h GROUP BY ALL""")
+@query("""WITH h AS (SELECT event_type AS metric, 'seen # of ' || chr(CAST(97 + user_id % 23 AS INTEGER)) || ' in #' AS pattern, event_id, user_id % 23 % 3 = 0 AND value > 20 AS hit FROM events),
+    g AS (SELECT metric, pattern, CAST(max(CAST(hit AS INTEGER)) AS INTEGER) AS found, count(*) AS n, count(DISTINCT event_id) AS reports FROM h GROUP BY ALL)
+    SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY metric ORDER BY found DESC, n DESC, pattern) <= 5""")
 def clustered_hits(spark, d):
-    said = F.concat(F.lit("seen "), F.col("user_id").cast("string"), F.lit(" of "), F.col("event_type"))
-    hits = table(spark, d, "events").select(F.col("event_type").alias("metric"), said.alias("text"), F.when(F.col("value") > 20, "found").otherwise("none").alias("signal"), F.col("event_id").alias("report"))
+    """Some 23 patterns a metric, of which a third is ever found: five stay."""
+    letter = F.char(97 + F.col("user_id") % 23)
+    said = F.concat(F.lit("seen "), F.col("user_id").cast("string"), F.lit(" of "), letter, F.lit(" in "), F.col("event_id").cast("string"))
+    signal = F.when((F.col("user_id") % 23 % 3 == 0) & (F.col("value") > 20), "found").otherwise("missed")
+    hits = table(spark, d, "events").select(F.col("event_type").alias("metric"), said.alias("text"), signal.alias("signal"), F.col("event_id").alias("report"))
     return aggregates.clustered(hits).select("metric", "pattern", "found", "n", "reports")
 
 

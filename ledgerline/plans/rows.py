@@ -219,76 +219,18 @@ def keyword_freq(spark, d):
     return aggregates.top_terms(table(spark, d, "documents"), "text", ["the", "and", "for", "that"], 40)
 
 
-@query(r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
-    SELECT regexp_replace(trim(line), '[0-9]+(?:[.,][0-9]+)*', 'X', 'g') AS template, count(*) AS n FROM l WHERE contains(line, '|') GROUP BY ALL HAVING count(*) >= 2""")
-def line_templates(spark, d):
-    return aggregates.line_templates(table(spark, d, "documents"), "text", columnar=False)
-
-
-@query(None)
-def line_templates_all(spark, d):
-    return aggregates.line_templates(table(spark, d, "documents"), "text")
-
-
 @query("""SELECT source, max(doc_id) AS kept, count(*) AS n, sha256(text) AS digest FROM documents GROUP BY source, sha256(text) HAVING count(*) > 1""")
 def exact_dup_docs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
     return aggregates.duplicated(docs, ["source", "digest"], "doc_id")
 
 
-def _near(spark, d):
-    docs = table(spark, d, "documents")
-    hashes = text.simhash(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
-    hashes = streams.written(hashes, "simhashes")
-    pairs = streams.written(joins.near_by_hamming(hashes, "doc_id", "lang", "simhash"), "near-pairs")
-    return pairs, joins.near_members(hashes, pairs, "doc_id", "lang", "simhash")
-
-
-@query(None)
-def near_dup_docs(spark, d):
-    """Pairs of representatives, and each other member of a class with its own at distance 0."""
-    pairs, members = _near(spark, d)
-    copies = members.where("doc_id <> representative").select(F.col("representative").alias("key_a"), F.col("doc_id").alias("key_b"), F.lit(0).alias("distance"))
-    return pairs.union(copies)
-
-
-@query(None)
-def near_dup_members(spark, d):
-    return _near(spark, d)[1]
-
-
-@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[0-9]', 'X', 'g'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
-    u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
-    g AS (SELECT x || ' ' || lead(x, 1) OVER p || ' ' || lead(x, 2) OVER p AS gram FROM u WINDOW p AS (PARTITION BY doc_id ORDER BY i))
-    SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY ALL HAVING count(*) >= 5""")
-def frequent_ngrams(spark, d):
-    return aggregates.frequent_ngrams(table(spark, d, "documents"), "text", 3, 5)
-
-
-@query(None)
-def frequent_ngrams_all(spark, d):
-    return aggregates.frequent_ngrams(table(spark, d, "documents"), "text")
-
-
 @query(r"""SELECT doc_id, TRY_CAST(replace(regexp_extract(text, '(-?[0-9,]*[0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', '') AS DOUBLE) AS number,
     TRY_CAST(regexp_extract(text, '([0-9.]+)[ \t\n\x0B\f\r]*%', 1) AS DOUBLE) / 100 AS ratio FROM documents""")
 def number_parse(spark, d):
     return table(spark, d, "documents").select("doc_id", text.parse_number(F.col("text")).alias("number"), text.parse_percent(F.col("text")).alias("ratio"))
 
 
-@query("""WITH p AS (SELECT unnest(['idiot', 'license', 'copyright']) AS phrase), h AS (SELECT doc_id, phrase FROM documents JOIN p ON contains(lower(text), phrase))
-    SELECT doc_id, min(phrase) AS phrase FROM h GROUP BY ALL HAVING count(*) = 1""")
-def keyword_attribution(spark, d):
-    phrases = spark.createDataFrame([("idiot", [], 1), ("license", [], 2), ("copyright", [], 3)], "phrase string, excludes array<string>, rank int")
-    return joins.attributed(table(spark, d, "documents").select("doc_id", "text"), phrases, "text", "doc_id").select("doc_id", "phrase")
-
-
-@query("""SELECT doc_id, len(regexp_extract_all(lower(text), 'the')) AS n, strpos(lower(text), 'the') - 1 AS first FROM documents WHERE contains(lower(text), 'the')""")
-def keyword_offsets(spark, d):
-    hits = text.phrase_hits(table(spark, d, "documents"), "doc_id", "text", "the")
-    return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("offset").alias("first"))
-
-
 @query("""SELECT doc_id, CASE WHEN length(text) / greatest(1, 1 + doc_id % 3) < 50 THEN 'parse_failed' WHEN length(text) / greatest(1, 1 + doc_id % 3) < 200 THEN 'text_sparse' ELSE 'text_ok' END AS quality FROM documents""")
 def parse_quality(spark, d):
     return table(spark, d, "documents").select("doc_id", text.parse_quality(F.col("text"), F.col("doc_id") % 3 + 1).alias("quality"))
@@ -305,10 +247,10 @@ def hourly_events(spark, d):
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-@query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS place, role FROM conversations WHERE role = 'system' AND conv_id % 2 = 0""")
+@query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS place, role FROM conversations""")
 def numbered_rows(spark, d):
-    rows = table(spark, d, "conversations").where("role = 'system' and conv_id % 2 = 0").select("conv_id", "turn", "role")
-    return windows.numbered(rows, "role", ["conv_id", "turn"], "place")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return windows.numbered(rows, "role", ["conv_id", "turn"], "place").select("conv_id", "turn", "place", "role")
 
 
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS place, role FROM conversations""")
@@ -330,11 +272,9 @@ def keyword_gate(spark, d):
     return extract.gate(table(spark, d, "documents"), "text", ["idiot", "License"]).select("doc_id")
 
 
-@query("""WITH w AS (SELECT doc_id, text, unnest([0, 1, 2]) AS w FROM documents), s AS (SELECT *, CASE w WHEN 0 THEN 0 WHEN 1 THEN 1500 ELSE 3500 END AS skip FROM w)
-    SELECT doc_id, CAST(w AS INTEGER) AS "window", length(substring(text, skip + 1, 2000)) AS chars, md5(substring(text, skip + 1, 2000)) AS digest FROM s WHERE w = 0 OR length(text) > skip""")
-def context_windows(spark, d):
-    rows = extract.sliding_windows(table(spark, d, "documents"), "doc_id", "text", 2000)
-    return rows.select("doc_id", "window", F.char_length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+_SLIDING = """SELECT doc_id, 0 AS "window", length(substring(text, 1, {0})) AS chars, md5(substring(text, 1, {0})) AS digest FROM documents WHERE length(text) > 0
+    UNION ALL SELECT doc_id, 1, length(substring(text, {1} + 1, {0})), md5(substring(text, {1} + 1, {0})) FROM documents WHERE length(text) > {0}
+    UNION ALL SELECT doc_id, 2, length(substring(text, {1} + {0} + 1, {0})), md5(substring(text, {1} + {0} + 1, {0})) FROM documents WHERE length(text) > {1} + {0}"""
 
 
 def _windows(budget):
@@ -345,10 +285,9 @@ def _windows(budget):
     return run
 
 
-for _name, _budget in (("monthly", extract.MONTHLY_BUDGET), ("quarterly", extract.QUARTERLY_BUDGET)):
-    QUERIES[f"context_windows_{_name}"] = _windows(_budget)
-    SQL[f"context_windows_{_name}"] = f"""WITH w AS (SELECT doc_id, text, unnest([0, 1, 2]) AS w FROM documents), s AS (SELECT *, CASE w WHEN 0 THEN 0 WHEN 1 THEN {_budget * 3 // 4} ELSE {_budget * 7 // 4} END AS skip FROM w)
-    SELECT doc_id, CAST(w AS INTEGER) AS "window", length(substring(text, skip + 1, {_budget})) AS chars, md5(substring(text, skip + 1, {_budget})) AS digest FROM s WHERE w = 0 OR length(text) > skip"""
+for _name, _budget in (("context_windows", 2_000), ("context_windows_monthly", extract.MONTHLY_BUDGET), ("context_windows_quarterly", extract.QUARTERLY_BUDGET)):
+    QUERIES[_name] = _windows(_budget)
+    SQL[_name] = _SLIDING.format(_budget, _budget - _budget // 4)
 
 
 @query(r"""WITH p AS (SELECT doc_id, text, strpos(text, 'License') - 1 AS a, strpos(text, 'the ') - 1 AS b, floor(length(text) * 0.3) AS t FROM documents)

@@ -165,13 +165,6 @@ for _mode in ("endpoint", "stepwise", "linear"):
         WHERE known IS NULL {'AND place = n - 1' if _mode == 'endpoint' else ''}"""
 
 
-@query(f"""WITH {OBS} SELECT strftime(period, '%Y-%m') AS ym, max(CASE WHEN metric = 'A' THEN value END) AS "A",
-    max(CASE WHEN metric = 'N' THEN value END) AS "N", max(CASE WHEN metric = 'R' THEN value END) AS "R" FROM obs WHERE entity = 1 GROUP BY ALL""")
-def pivot_wide(spark, d):
-    rows = observations(spark, d).where("entity = 1").withColumn("ym", F.date_format("period", "yyyy-MM"))
-    return aggregates.pivoted(rows, "ym", "metric", "value", ["A", "N", "R"])
-
-
 @query(f"""WITH {OBS} SELECT entity, strftime(period, '%Y-%m') AS ym, max(CASE WHEN metric = 'A' THEN value END) AS "A",
     max(CASE WHEN metric = 'N' THEN value END) AS "N", max(CASE WHEN metric = 'R' THEN value END) AS "R" FROM obs GROUP BY ALL""")
 def pivot_wide_all(spark, d):
@@ -179,6 +172,9 @@ def pivot_wide_all(spark, d):
     return aggregates.pivoted(rows, ["entity", "ym"], "metric", "value", ["A", "N", "R"])
 
 
+QUERIES["pivot_wide"], SQL["pivot_wide"] = pivot_wide_all, SQL["pivot_wide_all"]
+
+
 @query(f"""WITH {OBS}, s AS (SELECT entity, metric, period, value, CASE WHEN month(period) % 5 = 0 THEN value END AS final,
         CASE WHEN month(period) % 2 = 0 THEN value + 1 END AS accepted, value + 2 AS pending FROM obs)
     SELECT entity, period, metric, coalesce(final, accepted, pending) AS value,

@@ -30,15 +30,38 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+#: State on disk, in snapshots and change logs of the checkpoint folder; stores are
+#: closed after each commit, so that an executor holds no more than it has tasks.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
+
+
+def _session(spark: SparkSession) -> SparkSession:
+    """A session of its own for one stream, with the caller's settings and ``STATE``."""
+    own = spark.newSession()
+    for name, value in (dict(spark.conf.getAll) | STATE).items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    return own
+
+
 def landed_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
-    """A file stream with the schema of what is there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A file stream with the schema of what is there; its state is on disk."""
+    schema = spark.read.parquet(path).schema
+    return _session(spark).readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def _run(stream: DataFrame, mode: str, label: str) -> DataFrame:
-    """Run to the end of what has landed; rows of all batches with ``_batch``."""
+def _run(stream: DataFrame, mode: str, label: str, out: str | None = None) -> DataFrame:
+    """Run to the end of what has landed; rows of all batches with ``_batch``.
+
+    ``out`` is the folder of an earlier run with the same stream, which is then
+    taken up where it stopped.
+    """
     spark = stream.sparkSession
-    out = _folder(spark, label)
+    out = out or _folder(spark, label)
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", out + "-state")
@@ -50,13 +73,31 @@ def _run(stream: DataFrame, mode: str, label: str) -> DataFrame:
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(out)
 
 
-def merged(stream: DataFrame, keys: list[str], order: Column) -> DataFrame:
+def merged(stream: DataFrame, keys: list[str], order: Column, out: str | None = None) -> DataFrame:
     """The row with the greatest ``order`` of each key. Late rows take part by
     their order, not by when they come, so there is no watermark."""
+    last = changes(stream, keys, order, out).groupBy(*keys).agg(F.max_by("_row", "_batch").alias("_row"))
+    return last.select(*keys, "_row.*")
+
+
+def changes(stream: DataFrame, keys: list[str], order: Column, out: str | None = None) -> DataFrame:
+    """The change log of ``merged``: keys, their best row so far and the batch
+    (``_batch``) after which it was that; only keys that a batch touched."""
     rest = [c for c in stream.columns if c not in keys]
     state = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    last = _run(state, "update", "merge").groupBy(*keys).agg(F.max_by("_row", "_batch").alias("_row"))
-    return last.select(*keys, "_row.*")
+    return _run(state, "update", "merge", out)
+
+
+def authority(rank: Column, sequence: Column) -> Column:
+    """Order of a guarded upsert: the lesser ``rank`` has more authority; of equal
+    ones the later ``sequence`` wins. A null rank has none."""
+    return F.struct(rank.isNotNull().alias("known"), (-rank).alias("rank"), sequence.alias("sequence"))
+
+
+def guarded(stream: DataFrame, keys: list[str], rank: str, sequence: str, out: str | None = None) -> DataFrame:
+    """Upserts of a stream in which a row of lesser authority never replaces
+    another, however late or early either comes."""
+    return merged(stream, keys, authority(F.col(rank), F.col(sequence)), out)
 
 
 def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:

@@ -25,10 +25,21 @@ def test_titles_and_dates(spark):
 
 
 def test_quarterly_window(spark):
-    toc = "Contents ITEM 2. MDA p 5 ITEM 3. x\n" + "z" * 100 + "ITEM 2. MDA " + "y" * 400
-    docs = spark.createDataFrame([(1, toc), (2, "a" * 700 + "bitcoin production"), (3, "plain"), (4, None)], "id int, t string")
-    got = {r["id"]: (r["start"], r["text"][:8]) for r in extract.quarterly_window(docs, "id", "t", r"ITEM 2\. MDA", ["bitcoin"]).collect()}
-    assert got[1] == (toc.rindex("ITEM 2"), "ITEM 2. ") and got[2][0] == 200 and got[3] == (0, "plain") and got[4] == (0, "")
+    toc = "Contents Item 7. MDA p 5 ITEM 8. x\n" + "z" * 400 + "\nItem  7. MDA " + "y" * 400
+    late = "Item 2. " + "b" * 310 + " item 7 " + "c" * 299  # the surer header has no section of its own
+    texts = [toc, "a" * 700 + "Bitcoin Production", "plain", None, late, "x Management\u2019s  Discussion " + "d" * 300, "item 7.", "Item 7. Item 8 " + "e" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: (r["start"], r["strategy"]) for r in extract.quarterly_window(docs, "id", "t").collect()}
+    assert got == {
+        0: (toc.rindex("Item  7") - 200, "mda_header"), 1: (200, "keyword_seek"), 2: (0, "start"), 3: (0, "start"), 4: (0, "mda_header"), 5: (0, "mda_header"),
+        6: (0, "start"), 7: (0, "mda_header"),
+    }
+
+
+def test_sliding_windows(spark):
+    docs = spark.createDataFrame([(0, None), (1, ""), (2, "a" * 10), (3, "b" * 11), (4, "c" * 18), (5, "d" * 19)], "id int, t string")
+    got = {(r["id"], r["window"]): len(r["text"]) for r in extract.sliding_windows(docs, "id", "t", 10).collect()}
+    assert got == {(2, 0): 10, (3, 0): 10, (3, 1): 3, (4, 0): 10, (4, 1): 10, (5, 0): 10, (5, 1): 10, (5, 2): 1}
 
 
 def test_broad_values(spark):

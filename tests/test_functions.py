@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import periods, text
+from ledgerline.operators import nearhash
 
 
 def one(spark, column, value=None, kind="string"):
@@ -50,7 +51,7 @@ def test_periods_from_names_and_texts(spark):
     assert one(spark, periods.period_from_text(F.col("x")), "May 2023. Results for the month of April 2023") == date(2023, 4, 1)
     assert one(spark, periods.period_from_text(F.col("x")), "Updated April 2024. Results in March 2024 were") == date(2024, 3, 1)
     assert one(spark, periods.period_from_text(F.col("x")), "May 2024 note. June 2024 mining") == date(2024, 6, 1)
-    assert one(spark, periods.months_mentioned(F.col("x")), "May 2023 june 2023 May 2023") == [date(2023, 5, 1), date(2023, 6, 1)]
+    assert one(spark, periods.months_mentioned(F.col("x")), "May 2023 april 2023 May 2023") == [date(2023, 4, 1), date(2023, 5, 1)]
     assert one(spark, periods.quarterly_document(F.lit("u"), F.col("x")), "First quarter 2024 results") == "2024-Q1"
 
 
@@ -77,7 +78,7 @@ def test_simhash_equals_a_plain_version(spark):
         return h - (1 << 64) if h >= 1 << 63 else h
 
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    got = {r["id"]: r["simhash"] for r in text.simhash(docs, "id", "t").collect()}
+    got = {r["id"]: r["simhash"] for r in nearhash.simhash(docs, "id", "t").collect()}
     assert got == {i: plain(t) for i, t in enumerate(texts)}
 
 
@@ -106,6 +107,4 @@ def test_labels_and_phrases(spark):
     assert score("total btc produced", "btc produced") == 0.85
     assert score("produced bitcoin total", "bitcoin total sold produced x") == pytest.approx(0.6)
     assert score("a", "") == 0.0
-    docs = spark.createDataFrame([(1, "AAAb"), (2, "baa.a"), (3, ""), (4, None)], "k int, t string")
-    assert sorted(tuple(r) for r in text.phrase_hits(docs, "k", "t", "aa").collect()) == [(1, 0), (1, 1), (2, 1)]
     assert one(spark, text.phrase_list(F.col("x")), "A, 'b'\na,,") == ["a", "b"]

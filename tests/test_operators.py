@@ -4,9 +4,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions import text
-from ledgerline.operators import aggregates, coverage, extract, fill, filters, joins, merge, windows
-from ledgerline.plans import rows as plans
+
+from ledgerline.operators import aggregates, coverage, extract, fill, filters, joins, merge, nearhash, windows
+from ledgerline.plans import corpus as plans
 from ledgerline.sources import files
 
 
@@ -91,7 +91,7 @@ def test_hamming_bands_find_all_close_pairs(spark):
     hashes = base + [b ^ sum(1 << k for k in r.sample(range(63), r.randint(1, 5))) for b in base]
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if bin(hashes[i] ^ hashes[j]).count("1") <= 3}
     df = spark.createDataFrame([(i, "g", h) for i, h in enumerate(hashes)], "id int, g string, h long")
-    assert {(x["key_a"], x["key_b"]) for x in joins.near_by_hamming(df, "id", "g", "h").collect()} == want
+    assert {(x["key_a"], x["key_b"]) for x in nearhash.near_by_hamming(df, "id", "g", "h").collect()} == want
 
 
 def test_near_dup_docs_hold_reworded_copies(spark, tmp_path):
@@ -100,7 +100,7 @@ def test_near_dup_docs_hold_reworded_copies(spark, tmp_path):
     texts = [(t, lang) for t in base for lang in ("en", "de")] + [(" ".join([*words, "more"]), "en"), (" ".join([*words, "more"]).upper(), "en"), ("else", "en"), ("", "fr"), ("?", "fr"), (None, "fr"), ("word1", None), ("WORD1", None)]
     docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    hashes = {r["doc_id"]: r["simhash"] for r in text.simhash(docs, "doc_id", "text").collect()}
+    hashes = {r["doc_id"]: r["simhash"] for r in nearhash.simhash(docs, "doc_id", "text").collect()}
     assert len({hashes[i] for i in (0, 2, 4, 6)}) == 1
     near = lambda i, j: texts[i][1] and texts[i][1] == texts[j][1] and ((hashes[i] ^ hashes[j]) & (2**64 - 1)).bit_count() <= 3
     want = {(i, j) for i in hashes for j in hashes if i < j and near(i, j)}

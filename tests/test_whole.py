@@ -1,13 +1,12 @@
 """Queries over whole tables against their SQL, and that no rows are left out."""
 
-import re
 from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import aggregates, windows
+from ledgerline.operators import windows
 from ledgerline.plans import catalogue
 
 TABLES = "customer supplier orders lineitem events documents conversations".split()
@@ -43,23 +42,6 @@ def test_whole_tables(spark, sql, name):
         assert keys == {r[0] for r in sql("SELECT DISTINCT l_suppkey FROM lineitem")}
 
 
-def test_ngrams_of_both_sizes_from_two_on(spark):
-    rows = ["a b c d 1", "x a b c d", "p q r", None]
-    docs = spark.createDataFrame([(t,) for t in rows], "text string")
-    want = Counter(" ".join(w[i : i + n]) for t in rows if t for w in [t.replace("1", "X").split()] for n in (3, 4) for i in range(len(w) - n + 1))
-    got = {r["gram"]: r["n"] for r in aggregates.frequent_ngrams(docs, "text").collect()}
-    assert got == {g: n for g, n in want.items() if n >= 2} and set(got) == {"a b c", "b c d", "a b c d"}
-
-
-def test_templates_of_columnar_lines(spark, tmp_path):
-    rows = ["Hash rate   120\nHash rate   340", "a | 1\na | 2", "no table 5\nno table 6\n      7\n      8", "Größe    5\nGröße    6"]
-    pattern = re.compile(r"[\w\s]{3,}\s{3,}[\d,]{1,10}")
-    want = Counter(re.sub("[0-9]+", "X", line.strip()) for t in rows for line in t.split("\n") if "|" in line or pattern.search(line.strip()))
-    spark.createDataFrame([(t,) for t in rows], "text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["template"]: r["n"] for r in catalogue.QUERIES["line_templates_all"](spark, str(tmp_path)).collect()}
-    assert got == {t: n for t, n in want.items() if n >= 2} and "Hash rate   X" in got
-
-
 @pytest.mark.parametrize("name", ["context_windows_monthly", "context_windows_quarterly", "chunk_packing_monthly", "chunk_packing_quarterly"])
 def test_production_budgets(spark, sql, name):
     got = same(spark, sql, name)
