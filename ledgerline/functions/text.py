@@ -122,7 +122,11 @@ def normal_label(text: Column) -> Column:
 def label_score(cell: Column, alias: Column) -> Column:
     """1 if equal, 0.85 if one holds the other, else the share of the alias's
     words in the cell if at least 0.6, else 0."""
-    c, a = normal_label(cell), normal_label(alias)
+    return normal_score(normal_label(cell), normal_label(alias))
+
+
+def normal_score(c: Column, a: Column) -> Column:
+    """``label_score`` of labels that are in normal form already."""
     words = F.array_distinct(F.split(a, " "))
     share = F.size(F.array_intersect(F.split(c, " "), words)) / F.size(words)
     return (

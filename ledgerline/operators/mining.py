@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,30 +47,24 @@ def tokens(line: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(line), r"(?U)\b[\d,]+\b", "X"), F.lit("[a-z'X]+"), F.lit(0))
 
 
-def ngrams(words: Column, size: int) -> Column:
-    """All runs of ``size`` words, joined by spaces."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " ")
-    )
+def prose_ngrams(docs: DataFrame, text: str, sizes: tuple[int, ...] = (3, 4), name: str = "template") -> DataFrame:
+    """A row for each n-gram of a line that is no table line; none runs over a line end."""
+    rows = docs.select(F.explode(lines_of(F.col(text))).alias("line")).where(~is_table_line(F.col("line"))).select(tokens(F.col("line")).alias("words"))
+    rows = rows.where(F.size("words") >= min(sizes))
+    for n in sizes:
+        rows = NGram(n=n, inputCol="words", outputCol=f"_{n}").transform(rows)
+    return rows.select(F.explode(F.concat(*(f"_{n}" for n in sizes))).alias(name))
 
 
-def _grams(words: Column, sizes: tuple[int, ...]) -> Column:
-    return F.concat(*(F.when(F.size(words) >= k, ngrams(words, k)).otherwise(F.array().cast("array<string>")) for k in sizes))
+def table_templates(docs: DataFrame, text: str, name: str = "template") -> DataFrame:
+    """A row for each table line, as its template."""
+    lines = docs.select(F.explode(lines_of(F.col(text))).alias("line")).where(is_table_line(F.col("line")))
+    return lines.select(template(F.col("line")).alias(name))
 
 
-def prose_ngrams(text: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
-    """N-grams of all lines that are no table lines; none runs over a line end."""
-    prose = F.filter(lines_of(text), lambda x: ~is_table_line(x))
-    return F.flatten(F.transform(prose, lambda x: F.flatten(F.transform(F.array(tokens(x)), lambda w: _grams(w, sizes)))))
-
-
-def table_templates(text: Column) -> Column:
-    return F.transform(F.filter(lines_of(text), is_table_line), template)
-
-
-def frequent(docs: DataFrame, items: Column, name: str, least: int = LEAST) -> DataFrame:
-    """All items that come at least ``least`` times, with their number."""
-    return docs.select(F.explode(items).alias(name)).groupBy(name).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def frequent(items: DataFrame, least: int = LEAST) -> DataFrame:
+    """Rows that come at least ``least`` times, with their number ``n``."""
+    return items.groupBy(*items.columns).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def report(docs: DataFrame, text: str, most: dict[str, int] | None = None, least: int = LEAST) -> DataFrame:
@@ -85,10 +80,8 @@ def report(docs: DataFrame, text: str, most: dict[str, int] | None = None, least
     template. Null texts have no lines.
     """
     most = most or MOST
-    kinds = {"table": table_templates(F.col(text)), "prose": prose_ngrams(F.col(text))}
-    of_kind = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("template"))
-    item = F.concat(*(F.transform(v, of_kind(k)) for k, v in kinds.items()))
-    items = docs.select(F.explode(item).alias("i")).select("i.*")
+    kinds = {"table": table_templates(docs, text), "prose": prose_ngrams(docs, text)}
+    items = reduce(DataFrame.unionAll, (v.select(F.lit(k).alias("kind"), "template") for k, v in kinds.items()))
     placed = items.withColumns({f"_{k}": F.pmod(F.xxhash64("template", F.lit(k)), F.lit(WIDTH)).cast("int") for k in range(DEPTH)})
     spots = placed.select("kind", F.posexplode(F.array(*(f"_{k}" for k in range(DEPTH)))).alias("row", "place"))
     sketch = written(spots.groupBy("kind", "row", "place").agg(F.count("*").alias("n")), "sketch")

@@ -123,17 +123,17 @@ _GRAMS = rf"""x AS (SELECT regexp_extract_all({_MASKED.format("lower(line)")}, '
 
 @query(f"WITH {_LINES}, {_TABLES} SELECT template, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 2")
 def line_templates(spark, d):
-    return mining.frequent(table(spark, d, "documents"), mining.table_templates(F.col("text")), "template")
+    return mining.frequent(mining.table_templates(table(spark, d, "documents"), "text"))
 
 
 @query(f"WITH {_LINES}, {_GRAMS} SELECT gram, count(*) AS n FROM g WHERE s = 3 GROUP BY ALL HAVING count(*) >= 5")
 def frequent_ngrams(spark, d):
-    return mining.frequent(table(spark, d, "documents"), mining.prose_ngrams(F.col("text"), (3,)), "gram", 5)
+    return mining.frequent(mining.prose_ngrams(table(spark, d, "documents"), "text", (3,), "gram"), 5)
 
 
 @query(f"WITH {_LINES}, {_GRAMS} SELECT gram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 2")
 def frequent_ngrams_all(spark, d):
-    return mining.frequent(table(spark, d, "documents"), mining.prose_ngrams(F.col("text")), "gram")
+    return mining.frequent(mining.prose_ngrams(table(spark, d, "documents"), "text", name="gram"))
 
 
 QUERIES["line_templates_all"], SQL["line_templates_all"] = line_templates, SQL["line_templates"]

@@ -111,8 +111,8 @@ def plain_snippets(texts):
 def test_templates_and_ngrams(spark, monkeypatch):
     docs = spark.createDataFrame([(t,) for t in SNIPPETS], "t string")
     tables, prose = plain_snippets(SNIPPETS)
-    assert {r["x"]: r["n"] for r in mining.frequent(docs, mining.table_templates(F.col("t")), "x", 1).collect()} == tables
-    assert {r["x"]: r["n"] for r in mining.frequent(docs, mining.prose_ngrams(F.col("t")), "x", 1).collect()} == prose
+    assert {r["x"]: r["n"] for r in mining.frequent(mining.table_templates(docs, "t", "x"), 1).collect()} == tables
+    assert {r["x"]: r["n"] for r in mining.frequent(mining.prose_ngrams(docs, "t", name="x"), 1).collect()} == prose
     assert tables["BTC held | X | X"] == 2 and prose["we mined X coins"] == 3 and "coins in may" not in prose and "a X a" not in prose
     for width in (8, 1 << 16):  # places that nearly all items share, too
         monkeypatch.setattr(mining, "WIDTH", width)
