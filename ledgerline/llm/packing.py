@@ -3,13 +3,18 @@
 Pieces differ only by length, and a length is at most the capacity, so the
 whole corpus is a histogram of at most ``capacity`` bars. Over it the
 configuration LP (fewest sequences, each filled by one configuration of
-lengths, every length covered) is solved on the driver by multiplicative
-weights: each step prices the best configuration by a knapsack dynamic
-program and lowers the weights of the lengths that it covers. The solution is
-rounded down to whole sequences; what is left is placed by best fit,
-longest first, on runs of equal sequences. The plan is a list of runs, whose
-number depends on the capacity and not on the corpus; Spark numbers the pieces
-of each length and looks up their runs.
+lengths, every length covered) is approached on the driver by multiplicative
+weights: each step prices the configuration of greatest weight by a knapsack
+dynamic program, takes a share of it that covers none of its lengths by more
+than one more turn, and lowers the weights of the lengths by how often they are
+covered so far. The weights begin with the best of some known dual solutions,
+and every step's weights prove a bound that no packing is below. The mean of
+the steps is rounded down to whole sequences; what is left is placed by best
+fit, longest first, on runs of equal sequences. The same best fit alone is the
+other plan; the one with fewer sequences counts. The steps end when that is
+within 1 % of the bound (and one sequence), or after ``STEPS``. A plan is a list
+of runs, whose number depends on the capacity and not on the corpus; Spark
+numbers the pieces of each length and looks up their runs.
 """
 
 from __future__ import annotations
@@ -26,7 +31,9 @@ from .common import ranked, stash
 from .words import WordEncoder, slices
 
 CAPACITY = 2048
-STEPS = 800
+#: Steps of the weights at most, between two looks at the plan, how fast weights
+#: fall, and how near to the bound is near enough.
+STEPS, LOOK, RATE, NEAR = 800, 100, 0.5, 1.01
 
 
 def priced(weights: np.ndarray, capacity: int) -> list[int]:
@@ -50,34 +57,50 @@ def priced(weights: np.ndarray, capacity: int) -> list[int]:
     return out
 
 
-def solve(counts: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[dict[tuple[int, ...], float], float]:
-    """A fractional cover of ``counts`` (by length, 0 to capacity), and a bound
-    that no cover can be below.
+def dual_weights(counts: np.ndarray, capacity: int) -> np.ndarray:
+    """Of known dual feasible functions of a length the one that proves most.
 
-    The weights of a step, over the value of their best configuration, are a
-    solution of the dual program; the bound is the best value that one has.
-    After ``steps`` the cover may be incomplete.
+    They are a length's share of the capacity; the same with long lengths
+    counted whole and as short ones left out; and these rounded to multiples
+    of 1/k, up or down as their k + 1-fold tells. No filled sequence weighs over 1.
     """
-    there = counts > 0
-    covered = np.zeros(capacity + 1)
-    size = np.arange(capacity + 1) / capacity
+    length = np.arange(capacity + 1)
+    share = length / capacity
+    best, most = share, float(share @ counts)
+    for short in range(capacity // 2 + 1):
+        whole = np.where(length > capacity - short, 1.0, np.where(length >= short, share, 0.0))
+        numerator = np.where(length > capacity - short, capacity, np.where(length >= short, length, 0))
+        for k in range(7):
+            times = (k + 1) * numerator
+            weights = np.where(times % capacity == 0, whole, times // capacity / k) if k else whole
+            if (value := float(weights @ counts)) > most:
+                best, most = weights, value
+    return best
+
+
+def solve(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Iterator[tuple[dict[tuple[int, ...], float], float]]:
+    """After every ``LOOK`` steps: a fractional solution for ``counts`` (by length,
+    0 to capacity), and the best bound that the weights have proved. The solution
+    covers the lengths on average once, some more and some less."""
+    start, need = dual_weights(counts, capacity), np.maximum(counts, 1)
+    there, size = counts > 0, np.arange(capacity + 1) * counts
+    turns = np.zeros(capacity + 1)  # how often each length is covered
     chosen: dict[tuple[int, ...], float] = {}
-    need = np.maximum(counts, 1)
-    bound = 0.0
-    for _ in range(min(steps, 4 * int(there.sum()))):
-        open_ = there & (covered < counts)
-        if not open_.any():
-            break
-        weights = np.where(open_, size * np.exp(-covered / need), 0.0)
+    bound = float(start @ counts)
+    for step in range(1, steps + 1 if there.any() else 0):
+        weights = np.where(there, start * np.exp(-RATE * (turns - turns[there].min())), 0.0)
+        if not weights.any():
+            weights = np.where(there, np.arange(capacity + 1) / capacity, 0.0)
         config = priced(weights, capacity)
         bound = max(bound, float(weights @ counts) / float(weights[config].sum()))
         lengths, times = np.unique(config, return_counts=True)
-        step = float(np.min((counts[lengths] - covered[lengths]) / times)) * 0.6
-        step = max(step, min(1.0, float(np.min(counts[lengths] / times))))
-        covered[lengths] += step * times
+        share = float(np.min(need[lengths] / times))
+        turns[lengths] += share * times / need[lengths]
         key = tuple(sorted(config, reverse=True))
-        chosen[key] = chosen.get(key, 0.0) + step
-    return chosen, bound
+        chosen[key] = chosen.get(key, 0.0) + share
+        if step % LOOK == 0 or step == steps:
+            mean = float(turns @ size) / float(size.sum())
+            yield {k: v / mean for k, v in chosen.items()}, bound
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -89,6 +112,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         counts[length] = n
+    full, rest = int(counts[capacity]), counts.copy()
+    rest[capacity] = 0
+    best, fewest = _filled(counts, {}, capacity)
+    for solution, bound in solve(rest, capacity):
+        runs, n = _filled(counts, solution, capacity)
+        if n < fewest:
+            best, fewest = runs, n
+        if fewest - full <= NEAR * bound + 1:
+            break
+    return best
+
+
+def _filled(counts: np.ndarray, solution: dict[tuple[int, ...], float], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The runs of whole sequences of a fractional solution, then best fit; and
+    how many sequences they take."""
     runs, sequences = [], 0
     used = np.zeros(capacity + 1, dtype=np.int64)
     if counts[capacity]:
@@ -96,7 +134,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         sequences, used[capacity] = int(counts[capacity]), counts[capacity]
     open_runs: dict[int, list[tuple[int, int]]] = {}
     rest = counts - used
-    solution, _ = solve(rest, capacity)
     for config, share in sorted(solution.items(), key=lambda x: -x[1]):
         lengths, times = np.unique(config, return_counts=True)
         n = min(int(share + 1e-9), int(np.min((rest[lengths]) // times)))
@@ -136,7 +173,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
             if left > length:
                 open_runs.setdefault(left - length, []).append((first, take))
                 room[left - length] = True
-    return runs
+    return runs, sequences
 
 
 def _pieces(path: str, end_id: int, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

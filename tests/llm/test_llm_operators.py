@@ -322,16 +322,45 @@ def fewest(lengths, capacity):
     return best
 
 
-def test_packing_and_the_dual_bound():
-    """The bound holds; on these mixes of lengths over a third it is not reached (README)."""
-    r = random.Random(6)
-    for _ in range(5):
-        lengths = collections.Counter(r.choice([r.randint(1, 100), r.randint(34, 60)]) for _ in range(3000))
-        rows = np.array([lengths[k] for k in range(101)])
-        _, bound = packing.solve(rows, 100)
-        runs = packing.plan(dict(lengths), 100)
-        used = len({first + i for _, _, n, first, _ in runs for i in range(n)})
-        assert sum(k * n for k, n in lengths.items()) / 100 - 1e-6 <= bound <= used <= 1.08 * bound
+def sequences(runs):
+    return len({first + i for _, _, n, first, _ in runs for i in range(n)})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_is_near_the_bound_and_never_above_best_fit(seed):
+    """Mixes of lengths of a capacity of 100, half of them 34 to 60."""
+    r = random.Random(seed)
+    lengths = collections.Counter(r.choice([r.randint(1, 100), r.randint(34, 60)]) for _ in range(r.choice([50, 3000, 30000])))
+    rows = np.array([lengths[k] for k in range(101)])
+    *_, (_, bound) = packing.solve(rows, 100, packing.LOOK)
+    used = sequences(packing.plan(dict(lengths), 100))
+    assert sum(k * n for k, n in lengths.items()) / 100 - 1e-6 <= bound <= used + 1e-6
+    assert used <= 1.01 * bound + 1 and used <= packing._filled(rows, {}, 100)[1]
+
+
+def test_packing_at_the_production_capacity():
+    r = random.Random(1)
+    lengths = collections.Counter(r.choice([r.randint(1, 2048), r.randint(700, 1230)]) for _ in range(20000))
+    rows = np.array([lengths[k] for k in range(2049)])
+    bound = float(packing.dual_weights(rows, 2048) @ rows)
+    assert bound <= sequences(packing.plan(dict(lengths))) <= 1.01 * bound + 1
+
+
+@pytest.mark.parametrize("capacity", [7, 12, 30])
+def test_dual_weights_never_weigh_a_sequence_over_one(capacity):
+    r = np.random.default_rng(capacity)
+    for _ in range(40):
+        counts = r.integers(0, 50, capacity + 1)
+        counts[0] = 0
+        weights = packing.dual_weights(counts, capacity)
+        assert weights[packing.priced(weights, capacity)].sum() <= 1 + 1e-9
+
+
+def test_a_program_beats_best_fit_where_it_can():
+    """Pairs of 51 + 49 and triples of 34 + 33 + 33 that best fit mixes up."""
+    lengths = {51: 400, 49: 400, 34: 600, 33: 1200}
+    rows = np.array([lengths.get(k, 0) for k in range(101)])
+    assert sequences(packing.plan(lengths, 100)) <= min(1001, packing._filled(rows, {}, 100)[1])
 
 
 def test_packing_plan_covers_every_piece():
