@@ -33,9 +33,10 @@ class InOrder(StatefulProcessor):
         early: dict[int, tuple] = {}
         for frame in rows:
             for row in frame[self.row.names].itertuples(index=False, name=None):
-                n = row[self.row.names.index(self.sequence)]
+                kept = tuple(self._plain(x, f.dataType) for x, f in zip(row, self.row.fields, strict=True))
+                n = kept[self.row.names.index(self.sequence)]
                 if n is not None and n >= due:
-                    early.setdefault(int(n), tuple(None if x is pd.NA or x is pd.NaT else getattr(x, "item", lambda x=x: x)() for x in row))
+                    early.setdefault(n, kept)
         ready = []
         while True:
             if due in early:
@@ -53,6 +54,13 @@ class InOrder(StatefulProcessor):
             self.due.update((due,))
             yield pd.DataFrame(ready, columns=self.row.names).assign(**dict(zip(("_k",), key[:1], strict=False)))
 
+    @staticmethod
+    def _plain(x, kind: T.DataType):
+        """A value as Python has it; pandas makes floats of numbers beside nulls."""
+        if x is None or x is pd.NA or x is pd.NaT or (x != x and not isinstance(kind, T.FractionalType)):
+            return None
+        return int(x) if isinstance(kind, T.IntegralType) else getattr(x, "item", lambda: x)()
+
     def close(self) -> None:
         pass
 
