@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import periods
-from ..operators import aggregates, coverage, extract, fill, filters, joins, merge, windows
+from ..operators import aggregates, anomalies, coverage, extract, fill, filters, joins, merge, windows
 from .views import CELLS, KEPT, OBS, QOBS, SPINE, kept, observations, quarterly, table
 
 QUERIES, SQL = {}, {}
@@ -281,6 +281,46 @@ def anomaly_rules(spark, d):
     return rows.select("entity", "metric", "period", rule.alias("rule")).where("rule is not null")
 
 
+@query(f"""WITH {OBS}, o AS (SELECT entity, period, metric, (entity * 5 + month(period) + year(period)) % 5 AS k, CASE WHEN (entity + month(period)) % 11 = 0 THEN 0 ELSE floor(value / 60) * 60 END AS v FROM obs),
+    x AS (
+        SELECT entity, period, CASE metric WHEN 'A' THEN 'production_btc' WHEN 'N' THEN 'hashrate_eh_operational' ELSE 'treasury_btc_total' END AS metric, k, CASE metric WHEN 'N' THEN v / 2 ELSE v END AS v FROM o
+        UNION ALL SELECT entity, period, 'sold_btc', k, CASE WHEN k = 0 THEN 5.0 ELSE 0.0 END FROM o WHERE metric = 'R' UNION ALL SELECT entity, period, 'ytd_production_btc', k, CASE WHEN k < 2 THEN v ELSE v * 2 + 1 END FROM o WHERE metric = 'A'),
+    e AS (SELECT *, lower(coalesce(CASE k WHEN 0 THEN 'Output in ' || monthname(period) WHEN 1 THEN 'Q2 figures' WHEN 2 THEN 'After an OUTAGE we sold' WHEN 3 THEN 'Rated ' || CAST(v AS BIGINT) || ' PH/s' END, '')) AS said, (k + 1) / 5.0 AS trust FROM x),
+    w AS (SELECT e.*, b1.v AS p1, b2.v AS p2, (SELECT CASE WHEN count(*) = 3 THEN sum(q.v) END FROM e q WHERE q.entity = e.entity AND q.metric = e.metric AND date_trunc('quarter', q.period) = date_trunc('quarter', e.period) - INTERVAL 3 MONTH) AS lq,
+        h.v AS h, s.v AS sold, y.v AS ytd FROM e LEFT JOIN e b1 ON b1.entity = e.entity AND b1.metric = e.metric AND b1.period = e.period - INTERVAL 1 MONTH LEFT JOIN e b2 ON b2.entity = e.entity AND b2.metric = e.metric AND b2.period = e.period - INTERVAL 2 MONTH
+        LEFT JOIN e h ON h.entity = e.entity AND h.period = e.period AND h.metric = 'hashrate_eh_operational' LEFT JOIN e s ON s.entity = e.entity AND s.period = e.period AND s.metric = 'sold_btc'
+        LEFT JOIN e y ON y.entity = e.entity AND y.period = e.period AND y.metric = 'ytd_production_btc'),
+    r AS (
+        SELECT *, 'mom_swing_unexplained' AS code FROM w WHERE metric IN ('production_btc', 'hashrate_eh_operational', 'treasury_btc_total') AND abs(v - p1) / greatest(p1, 1) > 0.5 AND NOT contains(said, 'outage')
+        UNION ALL SELECT *, 'production_hashrate_impossible' FROM w WHERE metric = 'production_btc' AND h IS NOT NULL AND v / greatest(h, 0.001) > 500
+        UNION ALL SELECT *, 'hashrate_implausible_pre2025' FROM w WHERE metric = 'hashrate_eh_operational' AND period < DATE '2025-01-01' AND v > 200
+        UNION ALL SELECT *, 'treasury_drop_unexplained' FROM w WHERE metric = 'treasury_btc_total' AND p1 > 0 AND (p1 - v) / p1 > 0.2 AND coalesce(sold, 0) = 0 AND NOT contains(said, 'sold')
+        UNION ALL SELECT *, 'ytd_confusion_exact_match' FROM w WHERE metric = 'production_btc' AND v = ytd AND month(period) <> 1
+        UNION ALL SELECT *, 'quarterly_imputation_pattern' FROM w WHERE abs(v * 3 - lq) <= 0.01 * abs(lq) AND lq <> 0 AND k = 1
+        UNION ALL SELECT *, 'zero_production_unexplained' FROM w WHERE metric = 'production_btc' AND v = 0 AND NOT contains(said, 'outage')
+        UNION ALL SELECT *, 'low_confidence_no_agreement' FROM w WHERE trust < 0.6 AND entity % 2 = 0
+        UNION ALL SELECT *, 'stale_value_repetition' FROM w WHERE v = p1 AND v = p2 AND metric <> 'sold_btc'
+        UNION ALL SELECT *, 'hashrate_unit_mismatch' FROM w WHERE metric = 'hashrate_eh_operational' AND k = 3)
+    SELECT entity, period AS month, metric, CAST(v AS DOUBLE) AS value, code, CASE WHEN code IN ('mom_swing_unexplained', 'treasury_drop_unexplained', 'quarterly_imputation_pattern', 'low_confidence_no_agreement', 'stale_value_repetition') THEN 'medium' ELSE 'high' END AS severity FROM r""")
+def documented_anomalies(spark, d):
+    """All ten rules on quantities by month, some of them zero, with five kinds of evidence."""
+    obs = observations(spark, d)
+    k = ((F.col("entity") * 5 + F.month("period") + F.year("period")) % 5).alias("k")
+    v = F.when((F.col("entity") + F.month("period")) % 11 == 0, 0.0).otherwise(F.floor(F.col("value") / 60) * 60.0)
+    o = obs.select("entity", F.col("period").alias("month"), F.col("metric").alias("m"), k, v.alias("v"))
+    name = F.when(F.col("m") == "A", "production_btc").when(F.col("m") == "N", "hashrate_eh_operational").otherwise("treasury_btc_total")
+    rows = o.select("entity", "month", name.alias("metric"), "k", F.when(F.col("m") == "N", F.col("v") / 2).otherwise(F.col("v")).alias("value"))
+    sold = o.where("m = 'R'").select("entity", "month", F.lit("sold_btc"), "k", F.when(F.col("k") == 0, 5.0).otherwise(0.0))
+    year = o.where("m = 'A'").select("entity", "month", F.lit("ytd_production_btc"), "k", F.when(F.col("k") < 2, F.col("v")).otherwise(F.col("v") * 2 + 1))
+    rows = rows.union(sold).union(year)
+    said = (
+        F.when(F.col("k") == 0, F.concat(F.lit("Output in "), F.date_format("month", "MMMM"))).when(F.col("k") == 1, "Q2 figures").when(F.col("k") == 2, "After an OUTAGE we sold")
+        .when(F.col("k") == 3, F.concat(F.lit("Rated "), F.col("value").cast("long").cast("string"), F.lit(" PH/s")))
+    )
+    rows = rows.withColumns({"evidence": said, "confidence": (F.col("k") + 1) / 5.0, "agreed": F.col("entity") % 2 == 1})
+    return anomalies.anomalies(rows, ("sold_btc",)).drop("action")
+
+
 @query("""SELECT l_orderkey, l_linenumber, arg_min(l_suppkey, (CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END, -l_partkey, -l_suppkey)) AS l_suppkey,
     min(CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END) AS priority FROM lineitem GROUP BY ALL""")
 def priority_merge(spark, d):
