@@ -65,17 +65,37 @@ def spine(series: DataFrame, keys: list[str], period: str = "period") -> DataFra
     return span.select(*keys, F.explode(month_spine(F.col("_lo"), F.col("_hi"))).alias("month"))
 
 
+def _until_next(series: DataFrame, keys: list[str], period: str) -> Column:
+    """The month before the next one of a series that has a row, null at its end."""
+    return F.add_months(F.lead(period).over(Window.partitionBy(*keys).orderBy(period)), -1)
+
+
+def filled(series: DataFrame, keys: list[str], period: str = "period", value: str = "value") -> DataFrame:
+    """Every month from a series' first to its last as (keys, month, value,
+    present), value null where there is no row.
+
+    Each row stands for itself and the empty months up to the next one, so the
+    series is sorted once and joined with nothing. Periods are first days of
+    months and come once in a series.
+    """
+    month = F.col(period)
+    months = F.sequence(month, F.greatest(month, F.coalesce(_until_next(series, keys, period), month)), F.expr("interval 1 month"))
+    rows = series.select(*keys, F.col(value).alias("_value"), months.alias("_months")).select(*keys, "_value", F.posexplode("_months").alias("_n", "month"))
+    rows = rows.select(*keys, "month", F.when(F.col("_n") == 0, F.col("_value")).alias("value"))
+    return rows.withColumn("present", F.col("value").isNotNull())
+
+
 def missing_periods(series: DataFrame, keys: list[str], period: str = "period") -> DataFrame:
-    there = series.select(*keys, F.col(period).alias("month")).distinct()
-    return spine(series, keys, period).join(there, [*keys, "month"], "left_anti")
+    """(keys, month): months between the first and last of a series without a row."""
+    rows = series.select(*keys, F.add_months(period, 1).alias("_from"), _until_next(series, keys, period).alias("_to")).where("_from <= _to")
+    return rows.select(*keys, F.explode(F.sequence("_from", "_to", F.expr("interval 1 month"))).alias("month"))
 
 
 def completeness(series: DataFrame, keys: list[str]) -> DataFrame:
-    """present, expected and their ratio to 4 places."""
-    joined = spine(series, keys).join(series.withColumnRenamed("period", "month"), [*keys, "month"], "left")
-    return joined.groupBy(*keys).agg(
-        F.count("value").alias("present"), F.count("*").alias("expected"), F.round(F.count("value") / F.count("*"), 4).alias("ratio")
-    )
+    """present, expected (months from the first to the last) and their ratio to 4 places."""
+    expected = (F.months_between(F.trunc(F.max("period"), "MM"), F.trunc(F.min("period"), "MM")) + 1).cast("long")
+    counts = series.groupBy(*keys).agg(F.count("value").alias("present"), expected.alias("expected"))
+    return counts.withColumn("ratio", F.round(F.col("present") / F.col("expected"), 4))
 
 
 def expected_periods(windows: DataFrame, key: str, as_of: Column) -> DataFrame:

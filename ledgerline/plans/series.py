@@ -23,9 +23,7 @@ def query(sql: str):
 @query(f"""WITH {OBS}, {SPINE} SELECT s.entity, s.metric, s.month, o.value, o.value IS NOT NULL AS present
     FROM spine s LEFT JOIN obs o ON s.entity = o.entity AND s.metric = o.metric AND s.month = o.period""")
 def timeseries_spine(spark, d):
-    obs = observations(spark, d).withColumnRenamed("period", "month")
-    months = coverage.spine(observations(spark, d), KEYS)
-    return months.join(obs, [*KEYS, "month"], "left").withColumn("present", F.col("value").isNotNull())
+    return coverage.filled(observations(spark, d), KEYS)
 
 
 @query(f"""WITH {OBS}, {SPINE} SELECT s.entity, s.metric, count(o.value) AS present, count(*) AS expected,
