@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stash
+from .common import dealt, for_all_parts, hot_keys, ranked, stash
 
 _STEP = math.log(1.01)
 
@@ -73,6 +73,10 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     ``size`` is the text's UTF-8 bytes plus 1. A null text counts as an empty
     one and is in its group. Ties of size are ordered by digest. Slots count
     from 0 in each shard in the order of doc_id. An empty table gives no rows.
+    Null and repeated ids are rows like others. The heap takes the groups of a
+    size class by their mean, so a shard's bytes are at most 1 % of its largest
+    groups' sizes off what the groups one by one would give. A group with very
+    many rows finds its shard in several tasks; a long text is one row.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -85,10 +89,10 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         ),
         "sized",
     )
-    groups = rows.groupBy("group").agg(F.sum("size").alias("group_bytes"))
+    groups = rows.groupBy("group").agg(F.sum("size").alias("group_bytes"), F.count("*").alias("copies"))
     groups = groups.withColumn("size_class", -F.floor(F.log("group_bytes") / _STEP).cast("int"))
     groups = ranked(groups, [F.desc("group_bytes"), F.col("group")], "size_class", "rank")
-    totals = groups.groupBy("size_class").agg(F.count("*").alias("n"), F.avg("group_bytes").alias("mean")).collect()
+    totals = groups.groupBy("size_class").agg(F.count("*").alias("n"), F.avg("group_bytes").alias("mean"), F.sum("copies").alias("rows")).collect()
     runs = deal(sorted((r["size_class"], r["n"], r["mean"]) for r in totals), shards)
     shared = spark.sparkContext.broadcast(_Runs(runs))
 
@@ -97,7 +101,9 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         return pd.Series(shared.value.shards(size_class.to_numpy(), rank.to_numpy()), index=rank.index)
 
     placed = groups.select("group", shard_of("size_class", "rank").alias("shard"))
-    slotted = ranked(rows.join(placed, "group").drop("group"), [F.col("doc_id")], "shard", "slot")
+    copied = hot_keys(groups.select("group", F.col("copies").alias("n")), "group", sum(r["rows"] for r in totals))
+    found = dealt(rows, "group", copied, "doc_id").join(for_all_parts(placed, "group", copied), ["group", "part"])
+    slotted = ranked(found.drop("group", "part"), [F.col("doc_id")], "shard", "slot")
     return slotted.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -23,11 +23,13 @@ from .common import stash, whole_row
 from .words import Pieces, PieceTable, distinct, slices
 
 #: Labelled rows that a model is fitted to at most (in the order of a hash of
-#: the id), hashed features, and features that survive screening: those whose
-#: share of toxic rows is furthest from the average, by standard deviations.
+#: the id), hashed features, and features that survive screening unless ``fit`` is
+#: told another number: those whose share of toxic rows is furthest from the
+#: average, by standard deviations.
 SAMPLE, SPACE, SCREENED = 8_000, 1 << 20, 4096
 PREFIXES = (4, 5, 6, 7)
-#: Identity terms by kind; a swap takes the next one of its kind.
+#: Identity terms by kind, in English, German, French and Spanish; a swap takes the
+#: next one of its kind. Terms that two languages share stand in one list only.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -37,6 +39,25 @@ IDENTITY = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("disabled", "deaf", "blind", "old", "young"),
     ("mexican", "american", "chinese", "french", "german", "spanish", "turkish"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische"),
+    ("schwule", "lesben", "bisexuelle", "transsexuelle", "heterosexuelle"),
+    ("türken", "deutsche", "franzosen", "spanier", "amerikaner", "chinesen"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "lesbiennes", "bisexuels", "transgenres", "hétérosexuels"),
+    ("turcs", "allemands", "français", "espagnols", "américains", "chinois"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "asiáticos", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "bisexuales", "transexuales", "heterosexuales"),
+    ("turcos", "alemanes", "franceses", "españoles", "americanos", "chinos"),
 )
 _SWAP = {a: group[(k + 1) % len(group)] for group in IDENTITY for k, a in enumerate(group)}
 _SMALL = 4  # documents that a feature must be in
@@ -90,7 +111,7 @@ def _matrix(lists: list, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[cols >= 0], cols[cols >= 0]
 
 
-def fit_weights(toxic: np.ndarray, own: list, swapped: list, l1: float = 2e-4, fair: float = 1.0, steps: int = 400) -> dict[int, float]:
+def fit_weights(toxic: np.ndarray, own: list, swapped: list, l1: float = 2e-4, fair: float = 1.0, steps: int = 400, screened: int = SCREENED) -> dict[int, float]:
     """Weights by feature, and the intercept under -1: accelerated proximal gradient."""
     n = len(toxic)
     if not n or not own or toxic.min() == toxic.max():
@@ -101,7 +122,7 @@ def fit_weights(toxic: np.ndarray, own: list, swapped: list, l1: float = 2e-4, f
     df, pos = np.bincount(flat, minlength=SPACE), np.bincount(flat, weights=toxic[rows], minlength=SPACE)
     rate = toxic.mean()
     lift = (pos - df * rate) / np.sqrt(df * rate * (1 - rate) + 1)
-    best = np.argsort(-np.abs(lift), kind="stable")[:SCREENED]
+    best = np.argsort(-np.abs(lift), kind="stable")[:screened]
     best = best[df[best] >= _SMALL]
     column = np.full(SPACE, -1, dtype=np.int32)
     column[best] = np.arange(len(best))
@@ -137,8 +158,9 @@ def fit_weights(toxic: np.ndarray, own: list, swapped: list, l1: float = 2e-4, f
     return {-1: b, **{int(f): float(x) for f, x in zip(best, w, strict=True) if x}}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
-    """Fit to at most ``sample`` labelled rows; null labels and ids are no rows.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, screened: int = SCREENED, fair: float = 1.0) -> dict[int, float]:
+    """Fit to at most ``sample`` labelled rows and ``screened`` of their features,
+    with ``fair`` as the weight of the penalty; null labels and ids are no rows.
 
     A doc_id with several labels has the greatest. Where it is on several rows
     of ``docs``, each is learnt from, or one only if they would be more than
@@ -161,15 +183,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, f
     tally = table.select("toxic", "features").mapInArrow(_tallied, "feature int, n long, toxic long")
     tally = tally.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     lift = F.abs((F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)) + 1))
-    best = tally.where(F.col("n") >= _SMALL).orderBy(lift.desc(), "feature").limit(SCREENED).collect()
-    screened = pa.array(sorted(r["feature"] for r in best), pa.int32())
+    best = tally.where(F.col("n") >= _SMALL).orderBy(lift.desc(), "feature").limit(screened).collect()
+    wanted = pa.array(sorted(r["feature"] for r in best), pa.int32())
 
     def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["toxic"], *(_only(batch[c], screened) for c in ("features", "swapped"))], ["toxic", "features", "swapped"])
+            yield pa.RecordBatch.from_arrays([batch["toxic"], *(_only(batch[c], wanted) for c in ("features", "swapped"))], ["toxic", "features", "swapped"])
 
     told = table.orderBy("doc_id", "toxic").select("toxic", "features", "swapped").mapInArrow(telling, "toxic int, features array<int>, swapped array<int>").toArrow()
-    return fit_weights(told["toxic"].to_numpy().astype(float), _arrays(told["features"]), _arrays(told["swapped"]))
+    return fit_weights(told["toxic"].to_numpy().astype(float), _arrays(told["features"]), _arrays(told["swapped"]), fair=fair, screened=screened)
 
 
 def _only(lists: pa.ListArray, wanted: pa.Array) -> pa.ListArray:

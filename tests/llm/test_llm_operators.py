@@ -633,6 +633,45 @@ def test_naming_a_group_changes_little():
     assert gap(5.0) < 0.5 * gap(0.0)
 
 
+def auc(scores, labels):
+    order = sorted(zip(scores, labels, strict=True))
+    ranks = {x: (2 * k + 1 + sum(y == x for y, _ in order) - 1) / 2 for k, (x, _) in reversed(list(enumerate(order)))}
+    good = [ranks[x] for x, bad in order if bad]
+    n, m = len(good), len(order) - len(good)
+    return (sum(good) - n * (n - 1) / 2) / (n * m) if n and m else 0.5
+
+
+def test_neutral_mentions_of_groups_in_four_languages(spark):
+    """Labels that go with one term of each kind: the penalty of production weight lets
+    fewer neutral mentions of it pass for toxic, and still tells toxic texts."""
+    r = random.Random(3)
+    groups = [("women", "men"), ("muslims", "christians"), ("frauen", "männer"), ("muslime", "christen"), ("femmes", "hommes"), ("musulmans", "chrétiens"), ("mujeres", "hombres"), ("musulmanes", "cristianos")]
+    plain = [f"{a}{b}" for a in ("stein", "maison", "river", "campo", "wood", "ligne") for b in ("", "o", "es", "en")]
+    rows = []
+    for i in range(1600):
+        bad, pair = r.random() < 0.25, r.choice(groups)
+        w = [r.choice(plain) for _ in range(12)] + [pair[0] if r.random() < (0.8 if bad else 0.15) else pair[1]]
+        w += [r.choice(["idiot", "scum", "dreck", "ordure"])] if bad and r.random() < 0.75 else []
+        r.shuffle(w)
+        rows.append((i, " ".join(w), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    neutral = spark.createDataFrame([(i, f"{r.choice(plain)} {r.choice(plain)} {g[0]} {r.choice(plain)}") for i in range(50) for g in groups], "doc_id long, text string")
+    figures = {}
+    for fair in (0.0, 1.0):
+        model = toxicity.fit(docs, docs.where("doc_id % 4 <> 2").select("doc_id", "toxic"), fair=fair)
+        false = sum(x["score"] >= 0.3 for x in toxicity.score(neutral, model, ["doc_id"]).collect()) / 400
+        held = toxicity.score(docs, model, ["doc_id", "toxic"]).where("doc_id % 4 = 2").collect()
+        figures[fair] = false, auc([x["score"] for x in held], [x["toxic"] for x in held])
+    assert figures[1.0][0] <= 0.5 * figures[0.0][0] and figures[0.0][0] > 0.2
+    assert figures[1.0][1] > 0.85
+
+
+def test_screened_features_are_a_parameter(spark):
+    rows = [(i, f"word{i % 7} {'idiot' if i % 3 == 0 else 'tree'}", int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert len(toxicity.fit(docs, docs.select("doc_id", "toxic"), screened=2)) <= 3 < len(toxicity.fit(docs, docs.select("doc_id", "toxic")))
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     scores = {r["score"] for r in toxicity.score(odd, toxicity.fit(odd, none), ["doc_id"]).collect()}
