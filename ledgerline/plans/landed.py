@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents, filters, registry
+from ..functions import text
+from ..operators import documents, filters, joins, registry
 from ..sources import files
 from ..streaming.merge import _folder
 from .views import table
@@ -137,3 +138,33 @@ def seeded_sample(spark, d):
     one = filters.sampled(orders, 500, 7, "o_orderkey")
     known = orders.select(F.col("o_orderkey").alias("k"))
     return one.join(known, F.col("k") == F.col("o_orderkey"), "left").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("distinct_rows"), F.bool_and(F.col("k").isNotNull()).alias("all_known"))
+
+
+@query("""SELECT page_id, page_id % 7 = 0 OR regexp_matches(lower(html), 'just a moment|attention required|verify you are human|captcha|access denied') AS challenged, regexp_matches(lower(html), 'cookies|the the') AS cookies FROM pages""")
+def challenged_pages(spark, d):
+    """Pages that stop robots, by status or by what they say."""
+    status = F.when(F.col("page_id") % 7 == 0, 403).otherwise(200)
+    said = text.has_any(F.col("html"), ["Cookies", "the the"])
+    return table(spark, d, "pages").select("page_id", text.bot_challenge(F.col("html"), status).alias("challenged"), said.alias("cookies"))
+
+
+@query(r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', '') AS path FROM pages),
+    r AS (SELECT unnest(['example.com', 'example.com', 'example.net', 'org', 'm.ththth.example.net']) AS h, unnest(['/en', '', '/fr', '/de', '']) AS prefix, unnest(['com-en', 'com', 'net-fr', 'org-de', 'mobile']) AS rule, unnest([2, 3, 4, 5, 1]) AS rank)
+    SELECT page_id, rule FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, prefix) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank) = 1""")
+def host_rules(spark, d):
+    """Rules of a domain, of a part of it, of a top domain, and of one host, by rank."""
+    rules = [("example.com", "/en", "com-en", 2), ("example.com", "", "com", 3), ("example.net", "/fr", "net-fr", 4), ("org", "/de", "org-de", 5), ("m.ththth.example.net", "", "mobile", 1)]
+    known = spark.createDataFrame(rules, "host string, prefix string, rule string, rank int")
+    return registry.matched_rules(table(spark, d, "pages").select("page_id", "url"), known).select("page_id", "rule")
+
+
+@query("""WITH w AS (SELECT o_custkey AS entity, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INTEGER) END AS e, o_orderpriority AS cadence FROM orders WHERE o_orderstatus = 'F'),
+    x AS (SELECT o_orderkey AS id, o_custkey AS entity, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus <> 'F')
+    SELECT id, coalesce(cadence, 'none') AS cadence FROM x LEFT JOIN w ON w.entity = x.entity AND day >= s AND (e IS NULL OR day <= e) QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, cadence DESC) = 1""")
+def asof_windows(spark, d):
+    """The latest of several windows of a customer, closed and open ones, that holds a day."""
+    orders = table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+    last = F.when(F.col("o_orderkey") % 4 != 0, F.date_add("day", (F.col("o_orderkey") % 900).cast("int")))
+    windows = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("entity"), F.col("day").alias("start"), last.alias("end"), F.col("o_orderpriority").alias("cadence"))
+    rows = orders.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity"), "day")
+    return joins.as_of(rows, windows, "entity", "day", "cadence", "none").select("id", "cadence")

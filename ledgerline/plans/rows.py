@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import periods, text
+from ..functions import html, periods, text
 from ..operators import aggregates, coverage, extract, filters, joins, merge, windows
-from ..sources.files import html_parts
 from ..streaming import merge as streams
 from .views import table
 
@@ -297,10 +296,28 @@ def boilerplate_cut(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(cut, 256).alias("digest"))
 
 
-@query(None)
+_SHOWN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<script\b[^>]*>.*?</script\s*>', '', 'gis'), '<style\b[^>]*>.*?</style\s*>', '', 'gis'), '<noscript\b[^>]*>.*?</noscript\s*>', '', 'gis'), '<head\b[^>]*>.*?</head\s*>', '', 'gis')"
+_PLAIN = """replace(replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&')"""
+_ONE = r"trim(regexp_replace({0}, '[\s\x0B\x{{A0}}]+', ' ', 'g'))"
+_BROKEN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(shown, '</t[dh]\s*>\s*</tr', '</tr', 'gi'), '</t[dh]\s*>', ' | ', 'gi'), '</?(?:p|div|br|li|tr|h[1-6]|section|article|table)\b[^>]*>', chr(10), 'gi'), '<[A-Za-z/!?][^>]*>', '', 'g')"
+_TITLED = r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title', 1)"
+_HREF = r"""regexp_extract(a, '(?is)\bhref\s*=\s*["'']([^"'']*)', 1)"""
+
+
+@query(rf"""WITH s AS (SELECT page_id, html, {_SHOWN} AS shown FROM pages), t AS (SELECT page_id, html, shown, {_PLAIN.format(_BROKEN)} AS said FROM s)
+    SELECT page_id, nullif({_ONE.format(_PLAIN.format(_TITLED))}, '') AS title,
+        sha256(array_to_string(list_filter(list_transform(string_split(said, chr(10)), lambda x: {_ONE.format('x')}), lambda x: regexp_matches(x, '[^| ]')), chr(10))) AS text_sha256,
+        CAST(len(regexp_extract_all(shown, '(?is)<a\b([^>]*)>(.*?)</a\s*>')) AS INTEGER) AS links FROM t""")
 def html_plain(spark, d):
-    parts = table(spark, d, "pages").select("page_id", html_parts("html").alias("p"))
-    return parts.select("page_id", F.col("p.title").alias("title"), F.sha2("p.text", 256).alias("text_sha256"), F.size("p.links").alias("links"))
+    page = F.col("html")
+    return table(spark, d, "pages").select("page_id", html.page_title(page).alias("title"), F.sha2(html.plain_text(page), 256).alias("text_sha256"), F.size(html.page_links(page)).alias("links"))
+
+
+@query(rf"""WITH s AS (SELECT page_id, unnest(regexp_extract_all({_SHOWN}, '(?is)<a\b[^>]*>.*?</a\s*>')) AS a FROM pages)
+    SELECT page_id, {_PLAIN.format(_HREF)} AS href, {_ONE.format(_PLAIN.format("regexp_replace(a, '<[^>]*>', '', 'g')"))} AS label FROM s""")
+def listed_links(spark, d):
+    links = table(spark, d, "pages").select("page_id", F.explode(html.page_links(F.col("html"))).alias("l"))
+    return links.select("page_id", "l.href", "l.label")
 
 
 @query("""SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', '') || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS url FROM (

@@ -24,6 +24,26 @@ def test_titles_and_dates(spark):
     assert [r["x"] for r in got] == [date(2024, 5, 3), date(2024, 6, 1), date(2023, 9, 5), None]
 
 
+def test_plain_text_of_odd_pages(spark):
+    pages = [
+        ("<p>a  b</p>c<br/>d\ne", "a b\nc\nd\ne"),
+        ("<table><tr><th>BTC</th><td> 1,200 </td><td></td></tr><tr><td></td><td></td></tr></table>", "BTC | 1,200 |"),
+        ("x<!-- <p>no</p> -->y<script>var t='</p>';</script>z<STYLE>p{}</STYLE><noscript>q</noscript>", "xyz"),
+        ("<head><title>t</title></head><body><DIV class='a>b'>c</DIV>", "b'>c"),  # a bracket in a value ends the tag
+        ("1 &lt; 2 &amp;lt; &#8364;&#x1F600;&#99999999; &eacute;&nbsp;&bogus; &copy", "1 < 2 &lt; €😀&#99999999; é &bogus; &copy"),
+        ("a < b > c <5", "a < b > c <5"),
+        ("<p><b>un<i>closed<p>next", "unclosed\nnext"),
+        ("|<p> | </p>", ""),
+        (None, ""),
+        ("", ""),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "i int, h string")
+    assert [r["t"] for r in df.select("i", html.plain_text(F.col("h")).alias("t")).orderBy("i").collect()] == [t for _, t in pages]
+    one = spark.createDataFrame([("<title> A &amp;\n B </title><a class=x href=/u?a=1&amp;b=2>go <b>on</b></a><!-- <a href='no'>x</a> --><A HREF = 'v'></A><a>none</a>",)], "h string")
+    row = one.select(html.page_title(F.col("h")).alias("t"), html.page_links(F.col("h")).alias("l")).first()
+    assert row["t"] == "A & B" and [tuple(x) for x in row["l"]] == [("/u?a=1&b=2", "go on"), ("v", ""), ("", "none")]
+
+
 def test_quarterly_window(spark):
     toc = "Contents Item 7. MDA p 5 ITEM 8. x\n" + "z" * 400 + "\nItem  7. MDA " + "y" * 400
     late = "Item 2. " + "b" * 310 + " item 7 " + "c" * 299  # the surer header has no section of its own

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 
+from ledgerline.functions import html as pages
 from ledgerline.operators import aggregates, coverage, extract, fill, filters, joins, merge, nearhash, windows
 from ledgerline.plans import corpus as plans
 from ledgerline.sources import files
@@ -165,10 +166,10 @@ def test_sources(spark, tmp_path):
     m = files.manifest(scan)
     assert {r["state"] for r in files.manifest_drift(m, m).collect()} == {"ok"}
     html = scan.where("path like '%.html'").select(F.lit(1).alias("id"), F.col("content").cast("string").alias("h"))
-    parts = html.select("id", files.html_parts("h").alias("p"))
-    row = parts.select("p.*").first()
+    parts = html.select("id", pages.plain_text(F.col("h")).alias("text"), pages.page_title(F.col("h")).alias("title"), pages.page_links(F.col("h")).alias("links"))
+    row = parts.first()
     assert row["title"] == "T x" and "BTC | 1,200" in row["text"] and row["links"][0]["href"] == "/u"
-    values = extract.table_values(parts.select("id", F.col("p.text").alias("t")), "id", "t").collect()
+    values = extract.table_values(parts.select("id", F.col("text").alias("t")), "id", "t").collect()
     assert [(r["label"], r["value"]) for r in values] == [("BTC", 1200.0)]
     rss = spark.createDataFrame([("<rss><channel><item><title>A</title><link>l</link><pubDate>d</pubDate></item><item><title>B</title></item></channel></rss>",)], "xml string")
     assert [r["title"] for r in files.feed_items(rss).collect()] == ["A", "B"]
