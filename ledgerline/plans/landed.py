@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import documents, filters, joins, registry
+from ..operators import crawl, documents, filters, joins, registry
 from ..sources import files
 from ..streaming.merge import _folder
 from .views import table
@@ -168,3 +168,51 @@ def asof_windows(spark, d):
     windows = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("entity"), F.col("day").alias("start"), last.alias("end"), F.col("o_orderpriority").alias("cadence"))
     rows = orders.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity"), "day")
     return joins.as_of(rows, windows, "entity", "day", "cadence", "none").select("id", "cadence")
+
+
+@query(r"""WITH d AS (SELECT doc_id, source AS entity, 'https://x.org/' || doc_id // 3 AS url, coalesce(text, '') AS t FROM documents),
+    b AS (SELECT *, CASE WHEN contains(lower(t), 'access denied') OR contains(lower(t), 'not found') OR contains(lower(t), 'idiot') THEN 'error_page'
+        WHEN len(list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) < 50 THEN 'insufficient_content' END AS bad FROM d),
+    f AS (SELECT entity, url, min(doc_id) AS first FROM b WHERE bad IS NULL GROUP BY ALL)
+    SELECT doc_id, coalesce(bad, CASE WHEN (doc_id // 3) % 10 = 0 OR doc_id <> first THEN 'duplicate' ELSE 'ingested' END) AS verdict FROM b LEFT JOIN f USING (entity, url)""")
+def crawl_gate(spark, d):
+    """Documents as fetched pages: three share a URL, in spellings of it, every tenth is known."""
+    docs = table(spark, d, "documents")
+    n = F.floor(F.col("doc_id") / 3).cast("string")
+    url = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("HTTPS://X.org/"), n, F.lit("?utm_source=a"))).otherwise(F.concat(F.lit("https://x.org/"), n, F.lit("#top")))
+    pages = docs.select("doc_id", F.col("source").alias("entity"), url.alias("url"), "text")
+    known = docs.where("floor(doc_id / 3) % 10 = 0").select(F.col("source").alias("entity"), F.concat(F.lit("https://x.org/"), n).alias("url"))
+    return crawl.gated(pages, known, "doc_id", (*crawl.ERRORS, "idiot")).select("doc_id", "verdict")
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, o_orderkey AS id FROM orders), c AS (SELECT DISTINCT k FROM o)
+    SELECT k AS key, CASE WHEN id % 3 = 0 THEN 'ACME' ELSE CAST(k AS VARCHAR) END AS entity, 'https://x.org/' || id AS url, 'ok' AS status FROM o WHERE k % 5 < 3
+    UNION ALL SELECT k, NULL, NULL, CASE k % 5 WHEN 3 THEN 'bad_format' ELSE 'missing' END FROM c WHERE k % 5 >= 3""")
+def crawl_artifacts(spark, d):
+    """An artifact of each customer's orders; of every five one is no list and one is missing."""
+    id_, kind = F.col("o_orderkey").cast("string"), F.col("o_custkey") % 5
+    url = F.concat(F.lit("https://x.org/"), id_)
+    one = F.struct(F.when(F.col("o_orderkey") % 3 == 0, "acme").when(F.col("o_orderkey") % 3 == 1, " ").alias("ticker"), F.when(F.col("o_orderkey") % 2 == 0, url).alias("source_url"), url.alias("url"))
+    made = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.to_json(F.collect_list(one)).alias("json"))
+    kind = F.col("key") % 5
+    raw = F.when(kind < 3, F.col("json")).when(kind == 3, F.concat(F.lit('{"documents": '), F.col("json"), F.lit("}")))
+    return crawl.artifact_documents(made.select("key", raw.alias("raw")), "key", "raw").drop("text")
+
+
+@query(r"""WITH p AS (SELECT page_id % 7 AS entity, coalesce(nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), ''), '(unknown)') AS host, CASE WHEN page_id % 3 > 0 THEN '20' || (10 + page_id % 13) || '-Q1' END AS period FROM pages)
+    SELECT entity, host, count(*) AS docs, CASE WHEN min(period) IS NULL THEN '?' WHEN min(period) = max(period) THEN min(period) ELSE min(period) || '–' || max(period) END AS span FROM p GROUP BY ALL""")
+def crawl_index_notes(spark, d):
+    period = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("20"), (10 + F.col("page_id") % 13).cast("string"), F.lit("-Q1")))
+    return crawl.index_notes(table(spark, d, "pages").select((F.col("page_id") % 7).alias("entity"), "url", period.alias("period")))
+
+
+@query("""WITH s AS (SELECT o_custkey AS c, arg_min(CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 2001) ELSE 'note ' || o_orderkey END, -o_orderkey) AS t FROM orders GROUP BY ALL)
+    SELECT coalesce(c_custkey, c) AS key, md5(trim(CASE WHEN t IS NULL OR t = '' OR length(t) > 2000 THEN coalesce(p, '') WHEN coalesce(p, '') = '' THEN t ELSE p || chr(10) || chr(10) || t END)) AS prompt
+    FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS p FROM customer) FULL JOIN s ON c = c_custkey""")
+def suggested_prompts(spark, d):
+    """The last suggestion of each customer below its prompt, if it has one; blank and long ones don't count."""
+    k = F.col("o_orderkey") % 4
+    text_ = F.when(k == 0, " ").when(k == 1, F.repeat(F.lit("x"), 2001)).otherwise(F.concat(F.lit(" note "), F.col("o_orderkey").cast("string")))
+    said = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), text_.alias("text"), F.col("o_orderkey").alias("seq"))
+    prompts = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("").alias("prompt"))
+    return crawl.suggestions_applied(prompts, said, "key").select("key", F.md5("prompt").alias("prompt"))
