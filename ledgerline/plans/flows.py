@@ -26,7 +26,7 @@ def ordered_commit(spark, d):
     """Orders of each customer come scrambled over several batches and are released by date."""
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
     numbered = documents.chronology(orders, "o_custkey", F.lit(0), "day", "o_orderkey").select("o_custkey", F.col("sequence").cast("long").alias("sequence"), "o_orderkey")
-    landed = streams._folder(spark, "scrambled")
+    landed = streams.shared_folder(spark, "scrambled")
     numbered.repartition(4, F.xxhash64("o_orderkey")).write.parquet(landed)
     released = streams.written(in_order(streams.landed_stream(spark, landed, 1), "o_custkey", "sequence"), "released")
     before = released.select("o_custkey", (F.col("sequence") + 1).alias("sequence"), F.col("_batch").alias("_before"))
@@ -49,7 +49,7 @@ def authority_stream(spark, d):
 @query("""SELECT o_orderkey AS id, 'kept' AS place FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'archived' FROM orders WHERE o_orderstatus = 'F'""")
 def archived_purge(spark, d):
     """Finished orders are archived and purged in one publication."""
-    root = streams._folder(spark, "snapshot")
+    root = streams.shared_folder(spark, "snapshot")
     orders = table(spark, d, "orders")
     snapshots.archive_and_purge(orders, orders.where("o_orderstatus = 'F'"), ["o_orderkey"], root)
     kept = snapshots.current(spark, root, "rows").select(F.col("o_orderkey").alias("id"), F.lit("kept").alias("place"))

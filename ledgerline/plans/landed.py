@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import crawl, documents, filters, joins, registry
 from ..sources import files
-from ..streaming.merge import _folder
+from ..streaming.merge import shared_folder
 from .views import table
 
 QUERIES, SQL = {}, {}
@@ -30,7 +30,7 @@ def _archive(spark, d, changed: bool = False):
         pages = pages.where(k != 0).withColumn("html", F.when(k == 1, F.concat("html", F.lit("<!-- new -->"))).otherwise(F.col("html")))
     else:
         pages = pages.where("page_id % 5 != 4")
-    root = _folder(spark, "archive")
+    root = shared_folder(spark, "archive")
     pages.repartition(4, "page_id").write.partitionBy("page_id").text(root, lineSep="\r\n")
     found = files.manifest(files.scan_archive(spark, root, "*.txt"))
     return found.withColumn("path", F.regexp_extract("path", r"page_id=(\d+)", 1))

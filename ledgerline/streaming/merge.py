@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 _own: list[str] = []
 
 
-def _folder(spark: SparkSession, label: str) -> str:
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``; where that is unset and
+    Spark runs in one process (tests), below a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
@@ -26,7 +28,7 @@ def _folder(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again, so that it is computed once."""
-    df.write.parquet(out := _folder(df.sparkSession, label))
+    df.write.parquet(out := shared_folder(df.sparkSession, label))
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
@@ -61,7 +63,7 @@ def _run(stream: DataFrame, mode: str, label: str, out: str | None = None) -> Da
     taken up where it stopped.
     """
     spark = stream.sparkSession
-    out = out or _folder(spark, label)
+    out = out or shared_folder(spark, label)
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", out + "-state")

@@ -52,7 +52,7 @@ class InOrder(StatefulProcessor):
                 self.held.updateValue((n,), row)
         if due != start:
             self.due.update((due,))
-            yield pd.DataFrame(ready, columns=self.row.names).assign(**dict(zip(("_k",), key[:1], strict=False)))
+            yield pd.DataFrame(ready, columns=self.row.names).assign(_k=key[0])
 
     @staticmethod
     def _plain(x, kind: T.DataType):
