@@ -13,9 +13,9 @@ from ..streaming.merge import written
 #: How many of each kind a report lists, and how often they come at least.
 MOST = {"table": 10, "prose": 15}
 LEAST = 2
-#: Places of one row of the count sketch, its rows, and the places of the first
-#: row that are looked into to learn how often the last item of the report comes.
-WIDTH, DEPTH, FIRST = 1 << 16, 3, 128
+#: Places of the count sketch, and how many of the fullest are looked into to learn
+#: how often the last item of the report comes.
+WIDTH, FIRST = 1 << 18, 128
 
 _TRIM = r"^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
 
@@ -71,38 +71,32 @@ def report(docs: DataFrame, text: str, most: dict[str, int] | None = None, least
     """The most frequent (kind, template, frequency) of the texts: table lines
     and n-grams of 3 and 4 words of prose lines, numbers as X.
 
-    Items are first counted by hash in a sketch of ``DEPTH`` rows of ``WIDTH``
-    places, which tasks add up before the shuffle: a place counts at least what
-    any of its items does. Items of the fullest places are then counted exactly,
-    and the last of the report among them is a bound; in the end only items
-    whose places all reach it are counted as strings. So what is shuffled is
-    bounded for each task, and the result is exact. Ties go to the lesser
-    template. Null texts have no lines.
+    Items are first counted by hash in a sketch of ``WIDTH`` places for each kind,
+    which tasks add up before the shuffle: a place counts at least what any of
+    its items does. Items of the fullest places are then counted exactly, and
+    the last of the report among them is a bound; in the end only items whose
+    place reaches it are counted as strings. So what is shuffled is bounded for
+    each task, and the result is exact. Ties go to the lesser template. Null
+    texts have no lines.
     """
     most = most or MOST
     kinds = {"table": table_templates(docs, text), "prose": prose_ngrams(docs, text)}
     items = reduce(DataFrame.unionAll, (v.select(F.lit(k).alias("kind"), "template") for k, v in kinds.items()))
-    placed = items.withColumns({f"_{k}": F.pmod(F.xxhash64("template", F.lit(k)), F.lit(WIDTH)).cast("int") for k in range(DEPTH)})
-    spots = placed.select("kind", F.posexplode(F.array(*(f"_{k}" for k in range(DEPTH)))).alias("row", "place"))
-    sketch = written(spots.groupBy("kind", "row", "place").agg(F.count("*").alias("n")), "sketch")
-    bound = {}
+    placed = items.withColumn("_place", F.pmod(F.xxhash64("template"), F.lit(WIDTH)).cast("int"))
+    sketch = written(placed.groupBy("kind", "_place").agg(F.count("*").alias("n")), "sketch")
+    out = []
     for kind, k in most.items():
-        fullest = sketch.where((F.col("kind") == kind) & (F.col("row") == 0)).orderBy(F.desc("n"), "place").limit(FIRST)
-        top = _counted(_within(placed, fullest, 1), least).orderBy(F.desc("frequency")).limit(k).collect()
-        bound[kind] = top[-1]["frequency"] if len(top) == k else least
-    enough = F.col("n") >= F.create_map(*(F.lit(x) for p in bound.items() for x in p))[F.col("kind")]
-    best = _counted(_within(placed, sketch.where(enough), DEPTH), least)
-    first = [best.where(F.col("kind") == kind).orderBy(F.desc("frequency"), "template").limit(k) for kind, k in most.items()]
-    return reduce(DataFrame.unionAll, first)
-
-
-def _within(placed: DataFrame, allowed: DataFrame, rows: int) -> DataFrame:
-    """Items whose places in the first rows of the sketch are all allowed; these
-    are at most WIDTH for each row and kind."""
-    for k in range(rows):
-        spot = allowed.where(F.col("row") == k).select("kind", F.col("place").alias(f"_{k}"))
-        placed = placed.join(F.broadcast(spot), ["kind", f"_{k}"], "left_semi")
-    return placed
+        mine, spots = placed.where(F.col("kind") == kind), sketch.where(F.col("kind") == kind)
+        top = _counted(_within(mine, spots.orderBy(F.desc("n"), "_place").limit(FIRST)), least).orderBy(F.desc("frequency")).limit(k).collect()
+        bound = top[-1]["frequency"] if len(top) == k else least
+        best = _counted(_within(mine, spots.where(F.col("n") >= bound)), least)
+        out.append(best.orderBy(F.desc("frequency"), "template").limit(k))
+    return reduce(DataFrame.unionAll, out)
+
+
+def _within(placed: DataFrame, spots: DataFrame) -> DataFrame:
+    """Items in one of these places of the sketch, of which there are at most WIDTH."""
+    return placed.join(F.broadcast(spots.select("_place")), "_place", "left_semi")
 
 
 def _counted(items: DataFrame, least: int) -> DataFrame:

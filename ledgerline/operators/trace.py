@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.merge import written
 from .coverage import metric_cell_state
 
 #: Ranks of sources, the best first; others come last.
@@ -69,7 +70,7 @@ def trails(cells: DataFrame, links: DataFrame, kinds: tuple[str, ...] = KINDS) -
     ``cells`` has (kind, id) and any columns that name the cell; ``links``
     (kind, id, to_kind, to_id) lead from an earlier kind to a later one. Kinds
     are ordered, so there are as many steps down and up at most as there are
-    kinds, each one join on (kind, id); a step that is reached on several ways
+    kinds, each one join on (kind, id) whose rows are written once; a step that is reached on several ways
     stays one row.
     """
     name = [c for c in cells.columns if c not in ("kind", "id")]
@@ -79,7 +80,9 @@ def trails(cells: DataFrame, links: DataFrame, kinds: tuple[str, ...] = KINDS) -
     for way in (down, up):
         step = cells
         for _ in kinds[1:]:
-            step = step.join(way, ["kind", "id"]).select(*name, F.col("_kind").alias("kind"), F.col("_id").alias("id")).distinct()
+            step = written(step.join(way, ["kind", "id"]).select(*name, F.col("_kind").alias("kind"), F.col("_id").alias("id")).distinct(), "trail")
+            if step.isEmpty():
+                break
             found.append(step)
     return reduce(DataFrame.unionByName, found).distinct()
 
