@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dealt, for_all_parts, hot_keys, measured, stash
-from .words import Pieces, mixed, slices
+from .words import Pieces, forget_encoders, mixed, slices
 
 CHUNK = 5
 #: Probabilities that a pair at the threshold doesn't meet, or is too far apart.
@@ -107,6 +107,7 @@ def _digests(offsets: np.ndarray, hashes: np.ndarray) -> pa.Array:
 
 
 def _sketched(size: int, symbols: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_encoders()
     for batch in batches:
         for a, b in slices(batch["text"]):
             offsets, hashes = shingle_sets(batch["text"][a:b], size)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash, whole_row
+from .words import forget_encoders
 
 _SYMBOLS = b"#*$%&|<>"
 #: Function words of English, French, German and Spanish.
@@ -60,6 +61,7 @@ def text_counts(text: bytes) -> tuple[int, ...]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_encoders()
     for batch in batches:
         texts = batch["text"].cast(pa.large_binary()).to_pylist()
         rows = [text_counts(t or b"") for t in texts]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash, whole_row
-from .words import Pieces, PieceTable, distinct, slices
+from .words import Pieces, PieceTable, distinct, forget_encoders, slices
 
 #: Labelled rows that a model is fitted to at most (in the order of a hash of
 #: the id), hashed features, and features that survive screening unless ``fit`` is
@@ -76,6 +76,7 @@ def text_features(words: set[str]) -> np.ndarray:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_encoders()
     for batch in batches:
         for a, b in slices(batch["text"]):
             found = Pieces(batch["text"][a:b])
@@ -242,6 +243,7 @@ class _Known:
 
 
 def _scored(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_encoders()
     weights = model.value
     known = _Known(weights)
     for batch in batches:

@@ -44,6 +44,12 @@ _KIND[0x80:0xC0] = _TAIL
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
+def forget_encoders() -> None:
+    """Drop the caches that a reused worker keeps from earlier jobs; for tasks
+    that don't encode."""
+    _encoders.clear()
+
+
 def load_tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
