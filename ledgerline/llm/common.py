@@ -81,6 +81,30 @@ def for_all_parts(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     return df.join(F.broadcast(hot), key, "left").withColumn("part", F.explode(parts)).drop("parts")
 
 
+#: Bits of a sieve, and of one row of it: 512 rows of 4 kB at most.
+_BITS, _ROW = 1 << 24, 1 << 15
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the hashes of ``key``, whose values are distinct, for
+    ``sifted``. Its size is bounded whatever the number of keys; the more there
+    are, the more others pass."""
+    at = F.pmod(F.xxhash64(key), F.lit(_BITS))
+    places = keys.select(F.shiftright(at, 15).alias("_sieve_row"), (at % _ROW).alias("_sieve_at")).repartition("_sieve_row")
+    return places.groupBy("_sieve_row").agg(F.bitmap_construct_agg("_sieve_at").alias("_sieve_bits"))
+
+
+def sifted(df: DataFrame, key: str, bits: DataFrame, within: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among the sieve's, or (not
+    ``within``) those whose key is surely not: so rows that no key of a join
+    concerns need no shuffle for it."""
+    at = F.pmod(F.xxhash64(key), F.lit(_BITS))
+    byte = F.conv(F.hex(F.substring("_sieve_bits", (at % _ROW / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    joined = df.join(F.broadcast(bits), F.shiftright(at, 15) == F.col("_sieve_row"), "left")
+    return joined.where(found if within else ~found).drop("_sieve_row", "_sieve_bits")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, for_all_parts, hot_keys, measured, stash
+from .common import dealt, for_all_parts, hot_keys, measured, sieve, sifted, stash
 from .words import Pieces, forget_encoders, mixed, slices
 
 CHUNK = 5
@@ -147,58 +147,75 @@ def _near(a: str, b: str, percent: int) -> Column:
     return (small * 100 >= large * percent) & (F.size(F.filter(same, lambda x: x)) >= symbols - distance)
 
 
+#: Rounds of spreading after which labels also jump; stars need no more.
+_SPREAD = 3
+
+
 def components(links: DataFrame, own: DataFrame) -> DataFrame:
     """(node, label) for each node of these (a, b) links: the smallest ``own``
-    value, from (node, own), of all nodes that can be reached.
-
-    Labels spread along links and then jump to the label that their label's
-    own node has got, so the number of rounds grows with the logarithm of the
-    longest path. Nodes of very many links and labels of very many nodes are
-    dealt to several tasks.
+    value, from (node, own), of all nodes that can be reached, as a struct with
+    the node that has it (the smallest of several).
+
+    Labels spread along links, where each node is also linked with itself. If
+    that takes more than a few rounds, they jump as well: to the label that
+    their label's own node has got, so the number of rounds grows with the
+    logarithm of the longest path. Nodes of very many links and labels of very
+    many nodes are dealt to several tasks.
     """
-    both, seen = measured(links.select("a", "b").union(links.select("b", "a")).distinct(), "links", n=F.count(F.lit(1)))
+    ends = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"))
+    both, seen = measured(links.select(F.inline(ends)).distinct(), "links", n=F.count(F.lit(1)))
     hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", seen["n"])
     both = dealt(both, "b", hubs, "a")
-    labels = stash(own.join(both.select(F.col("a").alias("node")).distinct(), "node").select("node", "own", F.col("own").alias("label")), "labels")
+    labels, rounds = own.select("node", F.struct("own", "node").alias("label")), 0
     while True:
         told = for_all_parts(labels.select(F.col("node").alias("b"), "label"), "b", hubs)
-        near = both.join(told, ["b", "part"]).groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        spread = labels.join(near, "node", "left").select("node", "own", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        spread, seen = measured(spread, "spread", n=F.count(F.lit(1)), changed=F.sum((F.col("label") < F.col("old")).cast("long")))
+        before = F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("before")
+        spread = both.join(told, ["b", "part"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"), before)
+        spread, seen = measured(spread, "spread", n=F.count(F.lit(1)), changed=F.sum((F.col("label") < F.col("before")).cast("long")))
+        labels, rounds = spread.select("node", "label"), rounds + 1
         if not seen["changed"]:
-            return spread.select("node", "label")
-        popular = hot_keys(spread.groupBy("label").agg(F.count("*").alias("n")), "label", seen["n"])
-        up = spread.groupBy(F.col("own").alias("label")).agg(F.min("label").alias("up"))
-        jumped = dealt(spread, "label", popular, "node").join(for_all_parts(up, "label", popular), ["label", "part"], "left")
-        labels = stash(jumped.select("node", "own", F.least("label", "up").alias("label")), "labels")
+            return labels
+        if rounds >= _SPREAD:
+            labels = stash(relabelled(labels, labels, seen["n"]), "labels")
+
+
+def relabelled(labels: DataFrame, new: DataFrame, total: int | None) -> DataFrame:
+    """The rows with node and label, each with the label that its label's own node has in
+    ``new``, if it has one there."""
+    labels = labels.withColumn("root", F.col("label.node"))
+    popular = hot_keys(labels.groupBy("root").agg(F.count("*").alias("n")), "root", total)
+    up = for_all_parts(new.select(F.col("node").alias("root"), F.col("label").alias("up")), "root", popular)
+    jumped = dealt(labels, "root", popular, "node").join(up, ["root", "part"], "left")
+    return jumped.withColumn("label", F.coalesce("up", "label")).drop("root", "part", "up")
 
 
 def _set_of(docs: DataFrame, size: int, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the ``wanted`` nodes, read from one text of each."""
+    """(node, shingles) of the ``wanted`` nodes, read from one text of each.
+
+    Texts stay where they are read: a sieve of the ids passes those of the
+    wanted nodes and few others, and sets are told by their digests.
+    """
     chosen = stash(nodes.join(wanted, "node", "left_semi").select("set", "node", "own"), "chosen")
-    ids = chosen.select(F.col("own").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(lambda batches: _sets(size, batches), "set binary, shingles array<long>")
-    sets = sets.join(chosen.select("set", "node"), "set").select("node", "shingles")
-    return stash(sets.dropDuplicates(["node"]), "sets")
+    texts = sifted(docs.select("doc_id", "text"), "doc_id", sieve(chosen, "own"))
+    sets = texts.select("text").mapInArrow(lambda batches: _sets(size, batches), "set binary, shingles array<long>")
+    return stash(sets.join(chosen.select("set", "node"), "set").dropDuplicates(["set"]).select("node", "shingles"), "sets")
 
 
-def _tested(docs: DataFrame, size: int, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs with their full sets' sizes na and nb, the size ``common`` of
-    their intersection, and ``apart``: what is in one set and not the other."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _tested(docs: DataFrame, size: int, nodes: DataFrame, pairs: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """The pairs (and their other columns) with their full sets' sizes na and nb, the size ``common`` of
+    their intersection, and ``apart``: what is in one set and not the other.
+    ``hubs``: the nodes ``a`` of very many pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = _set_of(docs, size, nodes, wanted)
-    degrees, seen = measured(pairs.groupBy("a").agg(F.count("*").alias("n")), "degrees", n=F.sum("n"))
-    hubs = hot_keys(degrees, "a", seen["n"])
     left = for_all_parts(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a", hubs)
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     out = dealt(pairs.join(right, "b"), "a", hubs, "b").join(left, ["a", "part"]).withColumn("more", F.array_except("sb", "sa"))
     sizes = (F.size("sa").alias("na"), F.size("sb").alias("nb"), (F.size("sb") - F.size("more")).alias("common"))
-    return stash(out.select("a", "b", *sizes, F.concat("more", F.array_except("sa", "sb")).alias("apart")), "tested")
+    return stash(out.select(*pairs.columns, *sizes, F.concat("more", F.array_except("sa", "sb")).alias("apart")), "tested")
 
 
 def _links(tested: DataFrame, percent: int) -> DataFrame:
-    return tested.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
+    return tested.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -229,16 +246,15 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     )
     nodes, seen = measured(same.withColumn("node", F.monotonically_increasing_id()), "nodes", n=F.sum("n"))
     copied = hot_keys(nodes.select("set", "n"), "set", seen["n"])
-    labels = _labels(docs, shingle, percent, nodes)
-    told = nodes.join(labels, "node", "left").select("set", F.coalesce("label", "own").alias("component_id"))
+    told = _labelled(docs, shingle, percent, nodes)
     found = dealt(rows.where("set is not null"), "set", copied, "doc_id").join(for_all_parts(told, "set", copied), ["set", "part"])
     alone = rows.where("set is null").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "set", "n_shingles", "component_id"]
     return found.select(columns).union(alone.select(columns)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _labels(docs: DataFrame, shingle: int, percent: int, nodes: DataFrame) -> DataFrame:
-    """(node, label) of all nodes with a link: the smallest id of their class."""
+def _labelled(docs: DataFrame, shingle: int, percent: int, nodes: DataFrame) -> DataFrame:
+    """(set, component_id) of all nodes: the smallest id of their class."""
     symbols, _ = indexed(percent)
     # a set of n shingles can at best be all of another of n + 1
     usable = (F.col("n_shingles") + 1) * percent <= F.col("n_shingles") * 100
@@ -256,42 +272,48 @@ def _labels(docs: DataFrame, shingle: int, percent: int, nodes: DataFrame) -> Da
     of = lambda name: nodes.select(F.col("node").alias(name), F.struct("n_shingles", "signature").alias(f"of_{name}"))
     stars = dealt(stars.join(of("b"), "b"), "a", hubs, "b").join(for_all_parts(of("a"), "a", hubs), ["a", "part"])
     stars = stash(stars.where(_near("of_a", "of_b", percent)).select("a", "b"), "near")
-    tested = _tested(docs, shingle, nodes, stars)
+    tested = _tested(docs, shingle, nodes, stars, hubs)
     own = nodes.select("node", "own")
-    links = _links(tested, percent)
-    labels = components(links, own)
-    more = _within_families(tested, labels, own, percent)
-    rest = _across(docs, shingle, nodes, keyed, centres, common, labels, tested, percent)
+    labels = components(_links(tested, percent), own)
+    found = labels.select("node", F.col("label.node").alias("label"))
+    more = _within_families(tested, found, percent)
+    rest = _across(docs, shingle, nodes, keyed, centres, common, found, tested, percent)
     if rest is not None:
-        more = more.union(_links(_tested(docs, shingle, nodes, rest), percent))
-    more, seen = measured(more, "more", n=F.count(F.lit(1)))
-    return components(links.union(more), own) if seen["n"] else labels
+        hubs = hot_keys(rest.groupBy("a").agg(F.count("*").alias("n")), "a", rest.count())
+        more = more.union(_links(_tested(docs, shingle, nodes, rest, hubs), percent).select("la", "lb"))
+    # links between components: each is one node from here on, that with its smallest id
+    more, seen = measured(more.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "more", n=F.count(F.lit(1)))
+    every = nodes.select("set", "node", "own").join(labels, "node", "left").withColumn("label", F.coalesce("label", F.struct("own", "node")))
+    if seen["n"]:
+        every = relabelled(every, components(more, own), nodes.count())
+    return every.select("set", F.col("label.own").alias("component_id"))
 
 
 def _across(
     docs: DataFrame, shingle: int, nodes: DataFrame, keyed: DataFrame, centres: DataFrame, common: DataFrame | None, labels: DataFrame, tested: DataFrame, percent: int
 ) -> DataFrame | None:
-    """Pairs under one key, in different components, of which at least one was
-    too far from the key's centre to be tested against it.
+    """Pairs under one key, in different components la and lb, of which at least
+    one was too far from the key's centre to be tested against it.
 
     Few members of a key are compared by their signatures. Many are paired only
     if they share one of their rarest shingles, as all that are linked do.
     """
-    own = nodes.select("node", "own", F.struct("n_shingles", "signature").alias("of_node"))
-    member = keyed.select("node", "key", "part").join(labels, "node", "left").join(own, "node").withColumn("label", F.coalesce("label", "own"))
+    of = nodes.select("node", F.struct("n_shingles", "signature").alias("of_node"))
+    member = keyed.select("node", "key", "part").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     near_centre = tested.select("a", F.col("b").alias("node"), F.lit(True).alias("tested"))
     member = member.join(for_all_parts(centres, "key", common), ["key", "part"]).where("node != a").join(near_centre, ["a", "node"], "left")
+    member = stash(member.select("key", "part", "node", "label", "tested"), "key_members")
     far = F.sum(F.col("tested").isNull().cast("long")).alias("far")
     open_ = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), far, F.count("*").alias("n")).where("lo < hi and far > 0")
     open_, seen = measured(open_.select("key", "n"), "open", n=F.count(F.lit(1)), most=F.max("n"))
     if not seen["n"]:
         return None
-    member = member.join(for_all_parts(open_, "key", common), ["key", "part"]).select("key", "node", "label", "of_node", "tested", "n")
+    member = member.join(for_all_parts(open_, "key", common), ["key", "part"]).join(of, "node").select("key", "node", "label", "of_node", "tested", "n")
     member = stash(member, "open_members")
     differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
     untested = F.col("x.tested").isNull() | F.col("y.tested").isNull()
     ordered = differ & untested & (F.col("x.node") < F.col("y.node"))
-    pair = (F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pair = (F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
     few = member.where(F.col("n") <= _SMALL)
     pairs = few.alias("x").join(few.alias("y"), ordered & _near("x.of_node", "y.of_node", percent)).select(*pair)
     if seen["most"] > _SMALL:
@@ -315,8 +337,8 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     return each.select("node", F.explode(F.slice("order", 1, limit)).alias("o")).where("o.n > 1").select("node", F.col("o.shingle").alias("shingle"))
 
 
-def _within_families(tested: DataFrame, labels: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different components that have one centre.
+def _within_families(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The components la and lb of linked members of one centre, where they differ.
 
     In a large family many members are not quite like the centre; comparing
     each with everybody else would be quadratic. But with c the centre's set
@@ -327,8 +349,8 @@ def _within_families(tested: DataFrame, labels: DataFrame, own: DataFrame, perce
     among the first |D| - R + 1 in any common order. With the rarest first,
     joining on these elements gives few pairs, and all that are linked.
     """
-    label = F.coalesce("label", "own").alias("label")
-    member = tested.withColumnRenamed("b", "node").join(labels, "node", "left").join(own, "node").select("a", "node", "na", "nb", "common", "apart", label)
+    label = F.coalesce("label", "node").alias("label")
+    member = tested.withColumnRenamed("b", "node").join(labels, "node", "left").select("a", "node", "na", "nb", "common", "apart", label)
     split = member.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a")
     member = stash(member.join(split, "a"), "members")
     beside = member.select("a", "node", F.explode("apart").alias("shingle"))
@@ -342,12 +364,12 @@ def _within_families(tested: DataFrame, labels: DataFrame, own: DataFrame, perce
     differ = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
     same = (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle"))
     pairs = placed.alias("x").join(placed.alias("y"), same & differ & first).select(
-        F.col("x.a").alias("c"), F.col("x.node").alias("a"), F.col("y.node").alias("b"), needed.alias("needed")
+        F.col("x.a").alias("c"), F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"), needed.alias("needed")
     )
     apart = lambda name: member.select(F.col("a").alias("c"), F.col("node").alias(name), F.col("apart").alias(f"apart_{name}"))
     both = pairs.distinct().join(apart("a"), ["c", "a"]).join(apart("b"), ["c", "b"])
     linked = both.where(F.size(F.array_intersect("apart_a", "apart_b")) >= F.col("needed"))
-    return linked.select("a", "b").distinct()
+    return linked.select("la", "lb")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -361,7 +383,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     gone = classes.where("not kept and doc_id is not null").select("doc_id", "set").distinct()
     mixed_ = stash(gone.select("doc_id").join(classes.where("kept"), "doc_id", "left_semi").distinct(), "mixed")
     if mixed_.isEmpty():
-        return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+        ids = stash(gone.select("doc_id").distinct(), "gone")
+        bits = stash(sieve(ids, "doc_id"), "sieve")
+        rest = sifted(docs, "doc_id", bits).join(ids, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+        return sifted(docs, "doc_id", bits, within=False).union(rest)
     told = docs.select("doc_id", "text").join(mixed_, "doc_id", "left_semi").distinct()
     kind = dict(docs.dtypes)["doc_id"]
     told = told.mapInArrow(lambda batches: _told(shingle, batches), f"doc_id {kind}, text string, set binary")

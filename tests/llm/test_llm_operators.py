@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerline.llm import binary, chat, counts, exactdup, neardup, packing, quality, rangecoder, sharding, toxicity, treebpe, words
+from ledgerline.llm import binary, chat, common, counts, exactdup, neardup, packing, quality, rangecoder, sharding, toxicity, treebpe, words
 from ledgerline.llm.queries import TOKENIZER
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -725,3 +725,29 @@ def test_pipeline_on_planted_rows(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert docs == set(range(40)), json.dumps(sorted(docs ^ set(range(40))))
+
+
+def test_components_of_stars_take_few_writes(spark, monkeypatch):
+    """Stars are settled by spreading alone, long chains by jumps as well."""
+    written = []
+    stash = neardup.stash
+    monkeypatch.setattr(neardup, "stash", lambda df, label: written.append(label) or stash(df, label))
+    stars = [(100 * c, 100 * c + k) for c in range(4) for k in range(1, 50)]
+    chain = [(i, i + 1) for i in range(1000, 1040)]
+    own = spark.createDataFrame([(i, 5000 - i) for i in range(1041)], "node long, own long")
+    got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(stars, "a long, b long"), own).collect()}
+    assert not written
+    assert {n: label["own"] for n, label in got.items()} == {n: 5000 - (n // 100 * 100 + 49) for n in got} and len(got) == 200
+    got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(chain, "a long, b long"), own).collect()}
+    assert set(got) == set(range(1000, 1041)) and {tuple(label) for label in got.values()} == {(3960, 1040)} and written
+
+
+def test_a_sieve_passes_its_keys_and_few_others(spark):
+    rows = spark.createDataFrame([(k, "t") for k in [*range(3000), None]], "k long, t string")
+    keys = rows.where("k % 10 = 0 or k is null").select("k")
+    bits = common.sieve(keys, "k")
+    passed = [r["k"] for r in common.sifted(rows, "k", bits).collect()]
+    rest = [r["k"] for r in common.sifted(rows, "k", bits, within=False).collect()]
+    assert {r["k"] for r in keys.collect()} <= set(passed) and len(passed) < 320
+    assert collections.Counter(passed + rest) == collections.Counter([*range(3000), None])
+    assert common.sifted(rows, "k", common.sieve(keys.limit(0), "k"), within=False).count() == 3001
