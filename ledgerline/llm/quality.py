@@ -122,11 +122,12 @@ def fit(patterns: list[tuple[int, ...]], weights: list[float], rounds: int = 300
     return dict(zip(patterns, good.tolist(), strict=True))
 
 
-def judged(counted: DataFrame, least: float) -> DataFrame:
-    """Rows with COUNTS, and what the rules make of them all together."""
+def judged(counted: DataFrame, least: float, alike: DataFrame | None = None) -> DataFrame:
+    """Rows with COUNTS, and what the rules make of them all together; ``alike``
+    gives the same counts where ``counted`` has columns that voting doesn't need."""
     rules = votes()
     voted = counted.withColumns(rules)
-    table = voted.groupBy(*rules).count().collect()  # at most 3 ** len(rules) rows
+    table = (counted if alike is None else alike).select(*(v.alias(k) for k, v in rules.items())).groupBy(*rules).count().collect()  # at most 3 ** len(rules) rows
     known = fit([tuple(r[k] for k in rules) for r in table], [r["count"] for r in table])
     fields = ", ".join(f"{k} int" for k in rules) + ", quality double"
     posterior = counted.sparkSession.createDataFrame([(*k, q) for k, q in known.items()], fields)
@@ -152,6 +153,10 @@ def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all their columns unchanged."""
+    """The rows of ``docs`` that the rules keep, all their columns unchanged.
+
+    Texts are counted twice, for the votes and to choose rows, so that no copy
+    of the whole rows has to be kept in between.
+    """
     whole = docs.select("text", whole_row(docs).alias("_whole"))
-    return judged(stash(count_texts(whole, ["_whole"]), "counts"), least).where("kept").select("_whole.*")
+    return judged(count_texts(whole, ["_whole"]), least, count_texts(docs, [])).where("kept").select("_whole.*")

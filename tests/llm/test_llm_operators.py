@@ -751,3 +751,20 @@ def test_a_sieve_passes_its_keys_and_few_others(spark):
     assert {r["k"] for r in keys.collect()} <= set(passed) and len(passed) < 320
     assert collections.Counter(passed + rest) == collections.Counter([*range(3000), None])
     assert common.sifted(rows, "k", common.sieve(keys.limit(0), "k"), within=False).count() == 3001
+
+
+def test_texts_that_no_copy_concerns_are_not_shuffled(spark):
+    """Rows that stay for sure are no side of a join, and rules write no rows."""
+    docs = spark.createDataFrame([(i, f"text {i // 2 if i < 4 else i}") for i in range(50)], "doc_id long, text string")
+    for kept in (exactdup.keep_first(docs), neardup.keep_one(docs, 2)):
+        assert kept._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+        assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, *range(4, 50)]
+
+
+def test_rules_write_no_copy_of_the_rows(spark, monkeypatch):
+    written = []
+    stash = quality.stash
+    monkeypatch.setattr(quality, "stash", lambda df, label: written.append(df.columns) or stash(df, label))
+    docs = spark.createDataFrame([(i, "the cat and the dog of it " * 3 + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(20)], "doc_id long, text string")
+    assert quality.keep_good(docs).count() == docs.join(quality.quality(docs).where("kept"), "doc_id").count() > 0
+    assert not any("_whole" in columns for columns in written)
