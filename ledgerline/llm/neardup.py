@@ -42,6 +42,8 @@ CHUNK = 5
 _MISS, _FAR = 2e-6, 2e-7
 #: Open members under a key up to which they are paired with each other.
 _SMALL = 32
+#: Sets, and shingles of these, whose counts order the shingles of all.
+_COUNTED, _OFTEN = 1024, 1 << 15
 
 
 @cache
@@ -296,7 +298,7 @@ def _across(
     one was too far from the key's centre to be tested against it.
 
     Few members of a key are compared by their signatures. Many are paired only
-    if they share one of their rarest shingles, as all that are linked do.
+    if they share one of their first shingles, as all that are linked do.
     """
     of = nodes.select("node", F.struct("n_shingles", "signature").alias("of_node"))
     member = keyed.select("node", "key", "part").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -308,33 +310,69 @@ def _across(
     open_, seen = measured(open_.select("key", "n"), "open", n=F.count(F.lit(1)), most=F.max("n"))
     if not seen["n"]:
         return None
-    member = member.join(for_all_parts(open_, "key", common), ["key", "part"]).join(of, "node").select("key", "node", "label", "of_node", "tested", "n")
-    member = stash(member, "open_members")
-    differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
+    member = stash(member.join(for_all_parts(open_, "key", common), ["key", "part"]).select("key", "node", "label", "tested", "n"), "open_members")
+    few = member.where(F.col("n") <= _SMALL).join(of, "node")
     untested = F.col("x.tested").isNull() | F.col("y.tested").isNull()
-    ordered = differ & untested & (F.col("x.node") < F.col("y.node"))
+    ordered = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & untested & (F.col("x.node") < F.col("y.node"))
     pair = (F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
-    few = member.where(F.col("n") <= _SMALL)
     pairs = few.alias("x").join(few.alias("y"), ordered & _near("x.of_node", "y.of_node", percent)).select(*pair)
     if seen["most"] > _SMALL:
-        many = member.where(F.col("n") > _SMALL)
-        first = _rarest(_set_of(docs, shingle, nodes, many.select("node").distinct()), percent)
-        many = many.join(first, "node")
-        alike = ordered & (F.col("x.shingle") == F.col("y.shingle"))
-        pairs = pairs.union(many.alias("x").join(many.alias("y"), alike & _near("x.of_node", "y.of_node", percent)).select(*pair))
+        pairs = pairs.union(_sharing(docs, shingle, nodes, member.where(F.col("n") > _SMALL), of, percent))
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs, seen = measured(pairs.distinct().join(done, ["a", "b"], "left_anti"), "across", n=F.count(F.lit(1)))
     return pairs if seen["n"] else None
 
 
-def _rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, shingle): so many of the rarest shingles of each set that two
-    linked sets share one of them."""
-    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    rare = each.groupBy("shingle").agg(F.count("*").alias("n"))
-    limit = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
-    each = each.join(rare, "shingle").groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("order"))
-    return each.select("node", F.explode(F.slice("order", 1, limit)).alias("o")).where("o.n > 1").select("node", F.col("o.shingle").alias("shingle"))
+def _sharing(docs: DataFrame, shingle: int, nodes: DataFrame, member: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``_across`` among these members that share one of their first shingles.
+
+    A node stands here once, however many keys it has. One of each pair is
+    untested under a key that the other has too, so shingles that are among the
+    first of no such node pair nothing.
+    """
+    far = F.collect_list(F.when(F.col("tested").isNull(), F.col("key"))).alias("far")
+    node = member.groupBy("node").agg(F.first("label").alias("label"), F.collect_list("key").alias("keys"), far).join(of, "node")
+    node, total = measured(node, "open_nodes", n=F.count(F.lit(1)))
+    first = _first(_set_of(docs, shingle, nodes, node.select("node")), total["n"], percent)
+    first = stash(first.join(node.select("node", (F.size("far") > 0).alias("is_far")), "node").select("node", "is_far", F.explode("first").alias("shingle")), "first")
+    shared = first.groupBy("shingle").agg(F.count("*").alias("n"), F.max("is_far").alias("any")).where("n > 1 and any").select("shingle")
+    placed = stash(first.join(shared, "shingle").join(node, "node"), "shared")
+    alike = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & F.arrays_overlap("x.far", "y.keys")
+    ends = [f(F.struct("x.node", "x.label"), F.struct("y.node", "y.label")).alias(k) for k, f in (("a", F.least), ("b", F.greatest))]
+    pairs = placed.where("is_far").alias("x").join(placed.alias("y"), alike & _near("x.of_node", "y.of_node", percent)).select(*ends)
+    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.label").alias("la"), F.col("b.label").alias("lb"))
+
+
+def _first(sets: DataFrame, total: int, percent: int) -> DataFrame:
+    """(node, first): so many of the first shingles of each of these ``total``
+    sets that two linked sets share one of them, in one order of all shingles.
+
+    That holds in any order, so it may be the one in which a bounded sample of
+    the sets has them, rarest first: the sample decides about work only.
+    """
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(-(-total // _COUNTED))) == 0)
+    often = some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    rows = sorted((r["shingle"], r["n"]) for r in often.orderBy(F.desc("n"), "shingle").limit(_OFTEN).collect())
+    known, counts = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(2))
+    return sets.select("node", "shingles").mapInArrow(lambda batches: _firsts(known, counts, percent, batches), "node long, first array<long>")
+
+
+def _firsts(known: np.ndarray, counts: np.ndarray, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``counts`` of the ``known`` shingles, which ascend; others come before them."""
+    for batch in batches:
+        sizes = batch["shingles"].value_lengths().to_numpy()
+        values = batch["shingles"].flatten().to_numpy()
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        seen = np.zeros(len(values), dtype=np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            seen = np.where(known[at] == values, counts[at], 0)
+        order = np.lexsort((values, seen, doc))
+        limit = sizes - (sizes.astype(np.int64) * percent + 99) // 100 + 1
+        place = np.arange(len(values)) - (np.cumsum(sizes) - sizes)[doc]
+        ends = np.concatenate([[0], np.cumsum(np.minimum(limit, sizes))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order][place < limit[doc]]))
+        yield pa.RecordBatch.from_arrays([batch["node"], lists], ["node", "first"])
 
 
 def _within_families(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:

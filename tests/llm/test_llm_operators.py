@@ -542,6 +542,67 @@ def test_near_duplicates_of_hot_groups(spark):
     assert got == {i * 3 + 5: label[t] for i, t in enumerate(rows)}
 
 
+def test_untested_members_of_a_family_are_not_paired_by_each_key(spark, monkeypatch):
+    """Copies of one text in many components, and texts that have half of it and
+    near copies of their own: each node's first shingles stand once, not once a
+    key, and only few of its shingles; against brute force."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = [list(base)]
+    for k in range(160):
+        x = list(base)
+        for at in r.sample(range(120), r.choice([4, 9, 12])):
+            x[at] = f"v{r.randint(0, 400)}"
+        rows.append(x)
+    for k in range(60):
+        x = base[: 70 + k % 9] + [f"own{k // 2}x{i}" for i in range(50)]
+        x[100 + k % 2] = f"odd{k}"
+        rows.append(x)
+    sets = [frozenset(zip(x, x[1:], strict=False)) for x in rows]
+    label = list(range(len(rows)))
+    links = [(a, b) for a in label for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    made = {}
+    stash = neardup.stash
+
+    def counted(df, what):
+        out = stash(df, what)
+        made.setdefault(what, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stash", counted)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 2).collect()} == dict(enumerate(label))
+    assert len(set(label)) > 60
+    needed = max(len(x) - -(-len(x) * 80 // 100) + 1 for x in sets)
+    assert 0 < made["shared"][0] <= made["first"][0] <= len(rows) * needed < sum(map(len, sets)) / 4
+
+
+def test_linked_sets_share_one_of_their_first_shingles(spark, monkeypatch):
+    """Whatever the sample has seen; shingles that many sets have come last."""
+    r = random.Random(8)
+    sets = [[*range(20), *r.sample(range(20, 400), r.randint(0, 60))] for _ in range(40)] + [[5], [7, 5]]
+    sets += [[*s[:-1], 1000 + k] for k, s in enumerate(sets[:20])] + [s[: len(s) - len(s) // 6] for s in sets[:20]]
+    df = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>").repartition(3)
+    for counted, often in ((1024, 1 << 15), (5, 1 << 15), (1024, 2), (1, 1)):
+        monkeypatch.setattr(neardup, "_COUNTED", counted)
+        monkeypatch.setattr(neardup, "_OFTEN", often)
+        first = {x["node"]: set(x["first"]) for x in neardup._first(df, len(sets), 80).collect()}
+        assert {n: len(f) for n, f in first.items()} == {n: len(s) - -(-len(s) * 80 // 100) + 1 for n, s in enumerate(sets)}
+        for a, x in enumerate(sets):
+            assert first[a] <= set(x)
+            for b, y in enumerate(sets[:a]):
+                assert first[a] & first[b] or 100 * len(set(x) & set(y)) < 80 * len(set(x) | set(y))
+        if counted == 1024 and often > 2:
+            assert not first[max(range(40), key=lambda n: len(sets[n]))] & set(range(20))
+
+
 @pytest.mark.parametrize("seed", [633, 4065])
 def test_borderline_pairs_with_far_signatures(spark, seed):
     """Jaccard exactly 0.8, signatures 20 and 22 symbols apart, met under a key."""
