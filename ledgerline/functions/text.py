@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +16,12 @@ HASHRATE_UNITS = {"EH/S": 1.0, "PH/S": 1e-3, "TH/S": 1e-6, "GH/S": 1e-9, "EXAHAS
 CHALLENGES = ("just a moment", "attention required", "verify you are human", "captcha", "access denied")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, for which ``value`` is computed once a row however often
+    and in whatever lambda ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, no tracking parameters, no fragment, same path.
 
@@ -72,7 +79,7 @@ def cut_at_sentinels(text: Column, patterns: tuple[str, ...], share: float) -> C
     ``share`` of the text, without trailing white space. Null gives ''."""
     text = F.coalesce(text, F.lit(""))
     threshold = F.floor(F.char_length(text) * F.lit(share))
-    late = [F.when(first_position(text, p) >= threshold, first_position(text, p)) for p in patterns]
+    late = [bound(first_position(text, p), lambda at: F.when(at >= threshold, at)) for p in patterns]
     cut = F.least(F.char_length(text), *late)
     return F.regexp_replace(F.substring(text, F.lit(1), cut.cast("int")), r"\s+$", "")
 
@@ -84,18 +91,28 @@ def strip_release_frame(text: Column, date_line: str, always: tuple[str, ...], l
     the first two lines, at most 7 lines back), ends before the first line
     that matches ``always`` or, past ``share`` of the lines, ``late``.
     """
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("s")))
-    date_at = F.get(F.filter(numbered, lambda x: x["s"].rlike(date_line)), F.lit(0))["i"]
-    before = F.filter(numbered, lambda x: (x["i"] < date_at) & (x["i"] >= date_at - 7) & (x["s"] != ""))
-    start = F.when(date_at >= 2, F.coalesce(F.try_element_at(before, F.lit(-1))["i"], F.lit(0))).otherwise(0)
-    start = F.coalesce(start, F.lit(0))
-    n = F.size(lines)
-    from_late = start + F.floor((n - start) * F.lit(share)).cast("int")
-    matches = lambda x, patterns: reduce(lambda a, b: a | b, (x["s"].rlike(p) for p in patterns))
-    ends = F.filter(numbered, lambda x: (x["i"] >= start) & (matches(x, always) | ((x["i"] >= from_late) & matches(x, late))))
-    end = F.coalesce(F.get(ends, F.lit(0))["i"], n)
-    return F.trim(F.array_join(F.slice(lines, start + 1, end - start), "\n"))
+    matches = lambda line, patterns: reduce(lambda a, b: a | b, (line.rlike(p) for p in patterns))
+    numbered = lambda lines: F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("s")))
+    dated = lambda rows: F.get(F.filter(rows, lambda x: x["s"].rlike(date_line)), F.lit(0))["i"]
+
+    def first(rows: Column, date_at: Column) -> Column:
+        before = F.slice(rows, F.greatest(date_at - 7, F.lit(0)) + 1, F.least(date_at, F.lit(7)))
+        above = F.try_element_at(F.filter(before, lambda x: x["s"] != ""), F.lit(-1))["i"]
+        return F.when(date_at >= 2, F.coalesce(above, F.lit(0))).otherwise(0)
+
+    def cut(lines: Column, rows: Column, start: Column, from_late: Column) -> Column:
+        ends = F.filter(rows, lambda x: (x["i"] >= start) & (matches(x["s"], always) | ((x["i"] >= from_late) & matches(x["s"], late))))
+        end = F.coalesce(F.get(ends, F.lit(0))["i"], F.size(lines))
+        return F.trim(F.array_join(F.slice(lines, start + 1, end - start), "\n"))
+
+    def frame(lines: Column, rows: Column, start: Column) -> Column:
+        return bound(start + F.floor((F.size(lines) - start) * F.lit(share)).cast("int"), lambda at: cut(lines, rows, start, at))
+
+    # Each step is bound: a line is looked at once in each, and not once for each other line.
+    return bound(
+        F.split(F.coalesce(text, F.lit("")), "\n"),
+        lambda lines: bound(numbered(lines), lambda rows: bound(bound(dated(rows), lambda at: first(rows, at)), lambda start: frame(lines, rows, start))),
+    )
 
 
 def has_any(text: Column, phrases: list[str]) -> Column:

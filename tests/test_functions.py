@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 from datetime import date
 
 import pytest
@@ -101,6 +103,30 @@ def test_release_frame(spark):
     assert got.startswith("Headline here") and got.endswith("Body three")
 
 
+def test_release_frame_looks_at_each_line_once(spark):
+    frame = lambda x: text.strip_release_frame(x, r"(?i)^may\s+\d{1,2},?\s+\d{4}", ("^Source:",), ("^About ",))
+
+    def expected(page: str | None) -> str:
+        lines = (page or "").split("\n")
+        trimmed = [x.strip(" ") for x in lines]
+        at = next((i for i, x in enumerate(trimmed) if re.match(r"(?i)may\s+\d{1,2},?\s+\d{4}", x)), 0)
+        start = max((i for i in range(max(0, at - 7), at) if trimmed[i]), default=0) if at >= 2 else 0
+        late = start + int((len(lines) - start) * 0.4)
+        ends = (i for i, x in enumerate(trimmed) if i >= start and (x.startswith("Source:") or i >= late and x.startswith("About ")))
+        return "\n".join(lines[start : next(ends, len(lines))]).strip(" ")
+
+    rng = random.Random(4)
+    kinds = ["", " ", "words", "more words", " May 3, 2024 x", "About Us", "Source: x", "\U0001f600"]
+    pages = [None, "", *("\n".join(rng.choice(kinds[: rng.randint(1, 8)]) for _ in range(rng.randint(1, 25))) for _ in range(150))]
+    # Until lines were bound, the lines of this page were matched some 800 million times.
+    pages.append("\n".join(["words"] * 500 + ["May 3, 2024"] + ["words"] * 500 + ["About Us"]))
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, x string").repartition(1)
+    began = time.monotonic()
+    got = dict(rows.select("i", frame(F.col("x"))).collect())
+    assert time.monotonic() - began < 60
+    assert [got[i] for i in range(len(pages))] == [expected(p) for p in pages]
+
+
 def test_labels_and_phrases(spark):
     score = lambda a, b: one(spark, text.label_score(F.lit(a), F.lit(b)))
     assert score("BTC Produced!", "btc produced") == 1.0
