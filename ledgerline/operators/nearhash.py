@@ -110,5 +110,6 @@ def near_by_hamming(hashes: DataFrame, key: str, group: str, simhash: str, thres
     differ = F.col("a._hash").bitwiseXOR(F.col("b._hash"))
     shared: Column = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(kept)))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*on, "_part"]]
-    found = one.alias("a").join(other.alias("b"), [*same, F.col("a._key") < F.col("b._key"), F.bit_count(differ) <= threshold])
+    # Spark would take the sides for as large as the file of hashes, whatever the number of keys, and broadcast one.
+    found = one.alias("a").join(other.alias("b").hint("merge"), [*same, F.col("a._key") < F.col("b._key"), F.bit_count(differ) <= threshold])
     return found.where(shared == F.col("a._mask")).select(F.col("a._key").alias("key_a"), F.col("b._key").alias("key_b"), F.bit_count(differ).alias("distance"))

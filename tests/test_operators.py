@@ -197,3 +197,16 @@ def test_attempts_count_every_run(spark):
     rows = [(1, s, n) for n, s in enumerate(["failed"] * 4 + ["done", "failed", "queued"])] + [(2, "failed", 0), (2, "done", 1)] + [(3, "failed", n) for n in range(4)]
     got = {r["k"]: (r["attempts"], r["state"]) for r in merge.attempt_state(spark.createDataFrame(rows, "k int, s string, n int"), "k", "s", "n").collect()}
     assert got == {1: (6, "dead_letter"), 2: (2, "done"), 3: (4, "failed")}
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_hashes_are_not_broadcast(spark, tmp_path):
+    """A small file of hashes has many keys for each: the join on them stays a sort-merge join."""
+    spark.range(1000).selectExpr("id", "'en' AS lang", "xxhash64(id) AS simhash").write.parquet(f"{tmp_path}/hashes")
+    pairs = nearhash.near_by_hamming(spark.read.parquet(f"{tmp_path}/hashes"), "id", "lang", "simhash")
+    by_bits = [line for line in _plan(pairs).splitlines() if "Join" in line and line.count("_bits") >= 2 and "_part" in line]
+    assert by_bits and all("SortMergeJoin" in line for line in by_bits)
+    assert pairs.count() == 0
