@@ -62,16 +62,18 @@ def near_members(hashes: DataFrame, pairs: DataFrame, key: str, group: str, simh
     within the threshold, distance 0 included. Rows without a group or hash are near none.
 
     Rows are counted by class and then by pair of classes, so nothing fans out.
+    No side is broadcast: in compressed files that Spark takes for small there may
+    be as many classes and pairs as there are rows.
     """
     nodes = hashes.where(F.col(simhash).isNotNull()).groupBy(group, simhash).agg(F.min(key).alias("representative"), F.count("*").alias("_n"))
     n = nodes.select(F.col("representative").alias("_b"), "_n")
     both = pairs.select(F.col("key_a").alias("_a"), F.col("key_b").alias("_b")).union(pairs.select("key_b", "key_a"))
-    beside = both.join(n, "_b").groupBy(F.col("_a").alias("representative")).agg(F.sum("_n").alias("_beside"))
-    classes = nodes.join(beside, "representative", "left").select(
+    beside = both.join(n.hint("merge"), "_b").groupBy(F.col("_a").alias("representative")).agg(F.sum("_n").alias("_beside"))
+    classes = nodes.join(beside.hint("merge"), "representative", "left").select(
         F.col(group).alias("_group"), F.col(simhash).alias("_hash"), "representative", (F.col("_n") - 1 + F.coalesce("_beside", F.lit(0))).alias("near")
     )
     same = (F.col(group) == F.col("_group")) & (F.col(simhash) == F.col("_hash"))
-    return hashes.join(classes, same, "left").select(*hashes.columns, "representative", F.coalesce("near", F.lit(0)).alias("near"))
+    return hashes.join(classes.hint("merge"), same, "left").select(*hashes.columns, "representative", F.coalesce("near", F.lit(0)).alias("near"))
 
 
 def by_cover(documents: DataFrame, months: DataFrame) -> DataFrame:

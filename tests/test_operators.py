@@ -210,3 +210,13 @@ def test_keys_of_hashes_are_not_broadcast(spark, tmp_path):
     by_bits = [line for line in _plan(pairs).splitlines() if "Join" in line and line.count("_bits") >= 2 and "_part" in line]
     assert by_bits and all("SortMergeJoin" in line for line in by_bits)
     assert pairs.count() == 0
+
+
+def test_near_members_broadcasts_nothing(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "'en' AS lang", "id div 2 AS simhash").write.parquet(f"{tmp_path}/hashes")
+    spark.createDataFrame([(0, 2, 1), (0, 4, 1)], "key_a long, key_b long, distance int").write.parquet(f"{tmp_path}/pairs")
+    read = spark.read.parquet
+    members = joins.near_members(read(f"{tmp_path}/hashes"), read(f"{tmp_path}/pairs"), "id", "lang", "simhash")
+    assert "Broadcast" not in _plan(members)
+    near = {r["id"]: (r["representative"], r["near"]) for r in members.where("id < 8").collect()}
+    assert near == {0: (0, 5), 1: (0, 5), 2: (2, 3), 3: (2, 3), 4: (4, 3), 5: (4, 3), 6: (6, 1), 7: (6, 1)}
