@@ -68,23 +68,33 @@ def trails(cells: DataFrame, links: DataFrame, kinds: tuple[str, ...] = KINDS) -
     """(cell columns, kind, id): every item that a cell's items lead to, up and down.
 
     ``cells`` has (kind, id) and any columns that name the cell; ``links``
-    (kind, id, to_kind, to_id) lead from an earlier kind to a later one. Kinds
-    are ordered, so there are as many steps down and up at most as there are
-    kinds, each one join on (kind, id) whose rows are written once; a step that is reached on several ways
-    stays one row.
+    (kind, id, to_kind, to_id) lead from an earlier kind to a later one. So one
+    way is done kind by kind: when it is a kind's turn all its items are known,
+    and they meet the links of that kind alone, on id, once. Kinds without items
+    are passed over.
     """
     name = [c for c in cells.columns if c not in ("kind", "id")]
-    down = links.select("kind", "id", F.col("to_kind").alias("_kind"), F.col("to_id").alias("_id")).distinct()
-    up = links.select(F.col("to_kind").alias("kind"), F.col("to_id").alias("id"), F.col("kind").alias("_kind"), F.col("id").alias("_id")).distinct()
+    cells = written(cells, "cells")
+    there = lambda rows: {r[0] for r in rows.select("kind").distinct().collect()}
+    start = (cells, there(cells))
+    down = links.select("kind", "id", F.col("to_kind").alias("_kind"), F.col("to_id").alias("_id"))
+    up = links.select(F.col("to_kind").alias("kind"), F.col("to_id").alias("id"), F.col("kind").alias("_kind"), F.col("id").alias("_id"))
     found = [cells]
-    for way in (down, up):
-        step = cells
-        for _ in kinds[1:]:
-            step = written(step.join(way, ["kind", "id"]).select(*name, F.col("_kind").alias("kind"), F.col("_id").alias("id")).distinct(), "trail")
-            if step.isEmpty():
-                break
-            found.append(step)
-    return reduce(DataFrame.unionByName, found).distinct()
+    for way, order in ((down, kinds), (up, kinds[::-1])):
+        reached = [start]
+        for kind in order[:-1]:
+            parts = [rows.where(F.col("kind") == kind).select(*name, "id") for rows, has in reached if kind in has]
+            if not parts:
+                continue
+            items = reduce(DataFrame.unionByName, parts).repartition("id").distinct()
+            step = items.join(way.where(F.col("kind") == kind).select("id", "_kind", "_id"), "id")
+            step = written(step.select(*name, F.col("_kind").alias("kind"), F.col("_id").alias("id")), "trail")
+            if has := there(step):
+                reached.append((step, has))
+                found.append(step)
+    # By cell, which is what rows are grouped by next: so they are dealt once.
+    every = reduce(DataFrame.unionByName, found)
+    return (every.repartition(*name) if name else every).distinct()
 
 
 def trail_texts(rows: DataFrame, name: list[str], kinds: tuple[str, ...] = KINDS) -> DataFrame:

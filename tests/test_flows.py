@@ -104,6 +104,24 @@ def test_checksums_tell_rows_and_repeats(spark):
     assert tuple(snapshots.checksum(spark.createDataFrame([], "a int")).first()) == (0, 0)
 
 
+def test_trails_are_closures_and_are_dealt_by_cell_once(spark):
+    rng = random.Random(5)
+    kinds = trace.KINDS
+    links = {(kinds[a], rng.randrange(6), kinds[b], rng.randrange(6)) for a, b in (sorted(rng.sample(range(6), 2)) for _ in range(60))}
+    cells = {(cell, kinds[rng.randrange(6)], rng.randrange(6)) for cell in range(12) for _ in range(2)}
+    expected = set(cells)
+    for forth in (links, {(k, i, kind, n) for kind, n, k, i in links}):
+        new = set(cells)
+        while new:
+            expected |= new
+            new = {(c, k, i) for c, kind, n in new for kind_, n_, k, i in forth if (kind, n) == (kind_, n_)}
+    rows = trace.trails(spark.createDataFrame(list(cells), "cell int, kind string, id int"), spark.createDataFrame([*links, *links], "kind string, id int, to_kind string, to_id int"))
+    got = [tuple(r) for r in rows.select("cell", "kind", "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    plan = trace.stage_counts(rows, ["cell"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
 def test_trails_go_up_and_down(spark):
     links = [("document", 1, "chunk", 11), ("document", 1, "chunk", 12), ("chunk", 11, "value", 11), ("value", 11, "review", 5), ("review", 5, "decision", 5), ("decision", 5, "fact", 9), ("value", 11, "fact", 9), ("document", 2, "chunk", 20)]
     links = spark.createDataFrame([*links, links[0]], "kind string, id long, to_kind string, to_id long")
