@@ -1,6 +1,7 @@
 """Streams over restarts, snapshots that fail between their phases, traces."""
 
 import random
+import time
 from collections import Counter
 from datetime import date
 
@@ -39,6 +40,16 @@ def test_rows_are_released_in_order_over_a_restart(spark, tmp_path):
     assert {(k, n): v for k, n, v, _ in told} == {(k, n): v for k, n, v in rows} | ({("a", 5): "again"} if {(k, n): v for k, n, v, _ in told}["a", 5] == "again" else {})
 
 
+def test_many_keys_are_released_in_order(spark, tmp_path):
+    """60,000 groups of a key in a batch, each of which cost several calls of Python's state."""
+    land(spark, f"{tmp_path}/in", [(k, n) for n in (2, 1, 3) for k in range(20_000)], "k long, n long", 3)
+    began = time.monotonic()
+    rows = in_order(streams.landed_stream(spark, f"{tmp_path}/in", 1), "k", "n")
+    got = {(r["n"], r["_batch"]): r["c"] for r in rows.groupBy("n", "_batch").agg(F.count("*").alias("c")).collect()}
+    assert got == {(1, 1): 20_000, (2, 1): 20_000, (3, 2): 20_000}
+    assert time.monotonic() - began < 60
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lesser_authority_never_replaces(spark, tmp_path, seed):
     """The same in any order of arrival, and when a run stops and goes on."""
