@@ -220,3 +220,16 @@ def test_near_members_broadcasts_nothing(spark, tmp_path):
     assert "Broadcast" not in _plan(members)
     near = {r["id"]: (r["representative"], r["near"]) for r in members.where("id < 8").collect()}
     assert near == {0: (0, 5), 1: (0, 5), 2: (2, 3), 3: (2, 3), 4: (4, 3), 5: (4, 3), 6: (6, 1), 7: (6, 1)}
+
+
+def test_archives_of_many_folders_are_read_in_few_tasks(spark, tmp_path):
+    """300 files in as many folders made 10 tasks, and a task for each folder to list them."""
+    for k in range(300):
+        (tmp_path / f"f{k}").mkdir()
+        (tmp_path / f"f{k}/a.txt").write_text(str(k))
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    before = [spark.conf.get(n) for n in names]
+    found = files.scan_archive(spark, str(tmp_path), "*.txt")
+    assert found.rdd.getNumPartitions() <= 6
+    assert found.sparkSession.conf.get(names[1]) == "16" and [spark.conf.get(n) for n in names] == before
+    assert sorted(int(r[0]) for r in found.select(F.decode("content", "utf-8")).collect()) == list(range(300))
