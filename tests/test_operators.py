@@ -233,3 +233,12 @@ def test_archives_of_many_folders_are_read_in_few_tasks(spark, tmp_path):
     assert found.rdd.getNumPartitions() <= 6
     assert found.sparkSession.conf.get(names[1]) == "16" and [spark.conf.get(n) for n in names] == before
     assert sorted(int(r[0]) for r in found.select(F.decode("content", "utf-8")).collect()) == list(range(300))
+
+
+def test_openings_are_computed_once(spark, tmp_path):
+    """A dictionary is read once more than it has shards; the texts were split anew for each."""
+    texts = ["One two three four", " \n One two  three four five", "one two", "", None, "\tA b c", "a b c ", "x y z w v u", " p q  r"]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans._openings(spark, str(tmp_path))
+    assert sorted(r[0] for r in found.collect()) == ["a b c", "one two three", "p q r", "x y z"]
+    assert "split" not in _plan(found)
